@@ -110,7 +110,7 @@ def sync_labels(state: DataFrame, labels: DataFrame, rejected: DataFrame, max_qc
         .when(counts, F.when(qc <= max_qc_retries, F.lit("RETRYABLE")).otherwise(F.lit("QC_REJECTED")))
         .otherwise(F.col("phase"))
     )
-    return marked.withColumn("phase", phase).withColumn("qc_retries", qc.cast("int")).drop("_label", "_bad")
+    return marked.withColumns({"phase": phase, "qc_retries": qc.cast("int")}).drop("_label", "_bad")
 
 
 # ---- results mixed with marks -------------------------------------------------------------------

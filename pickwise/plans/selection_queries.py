@@ -1 +1,234 @@
-"""Queries."""
+"""Queries over acquisition, surrogates and closed-loop campaigns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pickwise.operators import acquire as ac
+from pickwise.operators import similarity as si
+from pickwise.operators.diversity import diversify as reorder
+from pickwise.operators.metrics import report
+from pickwise.operators.surrogate import ForestSurrogate, dense_features
+from pickwise.plans import campaign as ca
+from pickwise.plans import tables as t
+from pickwise.plans.registry import query
+
+U = "('0x' || substr(md5(pool_idx || ':{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _out(selection, digits: int = 9):
+    return selection.select(F.col("rank").cast("bigint").alias("rank"), "pool_idx", F.round("score", digits).alias("score"), "strategy")
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS pool_idx FROM part), s AS (SELECT pool_idx, {U.format(seed=11)} AS score FROM c)
+SELECT row_number() OVER (ORDER BY score DESC, pool_idx) AS rank, pool_idx, round(score, 9) AS score, 'random' AS strategy FROM s QUALIFY rank <= 50""")
+def acq_random(spark, d):
+    return _out(ac.random_batch(t.predictions(spark, d), 50, ac.Params(seed=11)))
+
+
+RANGES = "lim AS (SELECT min(agg0) AS lo0, max(agg0) AS hi0, min(agg1) AS lo1, max(agg1) AS hi1 FROM known)"
+
+
+def _weighted_sql(name: str, beta: str, w0: str, w1: str, k: int, extra: str = "") -> str:
+    term = lambda i, w: f"((mean{i} + {beta} * std{i} - lo{i}) / CASE WHEN hi{i} - lo{i} > 1e-9::DOUBLE THEN hi{i} - lo{i} ELSE 1.0::DOUBLE END) * {w}"
+    return f"""WITH {t.KNOWN}, {RANGES}{extra}, s AS (SELECT pool_idx, {term(0, w0)} + {term(1, w1)} AS score FROM pred, lim{', wt' if extra else ''})
+SELECT row_number() OVER (ORDER BY score DESC, pool_idx) AS rank, pool_idx, round(score, 9) AS score, '{name}' AS strategy FROM s QUALIFY rank <= {k}"""
+
+
+def _params(spark, d, **kw):
+    return ac.Params(n_objectives=2, labels=t.known_labels(spark, d), **kw)
+
+
+@query(_weighted_sql("greedy", "0.0::DOUBLE", "0.5::DOUBLE", "0.5::DOUBLE", 50))
+def acq_greedy(spark, d):
+    return _out(ac.greedy_batch(t.predictions(spark, d), 50, _params(spark, d)))
+
+
+@query(_weighted_sql("ucb", "0.5::DOUBLE", "0.5::DOUBLE", "0.5::DOUBLE", 50))
+def acq_ucb(spark, d):
+    return _out(ac.ucb_batch(t.predictions(spark, d), 50, _params(spark, d, beta=0.5)))
+
+
+def _weight(i: int) -> str:
+    return f"('0x' || substr(md5('w:{i}:3'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(_weighted_sql("weighted", "0.0::DOUBLE", "w0", "w1", 50, f", wt AS (SELECT {_weight(0)} / ({_weight(0)} + {_weight(1)}) AS w0, {_weight(1)} / ({_weight(0)} + {_weight(1)}) AS w1)"))
+def acq_weighted(spark, d):
+    return _out(ac.weighted_batch(t.predictions(spark, d), 50, _params(spark, d, seed=3)))
+
+
+@query(f"""WITH {t.PREDICTIONS}, lim AS (SELECT min(mean0) AS lo0, max(mean0) AS hi0, min(mean1) AS lo1, max(mean1) AS hi1 FROM pred),
+s AS (SELECT pool_idx, (mean0 + 0.5::DOUBLE * std0 - lo0) / (hi0 - lo0) * 0.5::DOUBLE + (mean1 + 0.5::DOUBLE * std1 - lo1) / (hi1 - lo1) * 0.5::DOUBLE AS score FROM pred, lim)
+SELECT row_number() OVER (ORDER BY score DESC, pool_idx) AS rank, pool_idx, round(score, 9) AS score, 'ucb' AS strategy FROM s QUALIFY rank <= 50""")
+def acq_ucb_unlabelled(spark, d):
+    """Without labels the raw predicted means give the range."""
+    return _out(ac.ucb_batch(t.predictions(spark, d), 50, ac.Params(n_objectives=2, beta=0.5)))
+
+
+PENDING_SQL = f"""WITH {t.FPS}, refs AS (SELECT pool_idx AS r FROM fps WHERE label = 1),
+i AS (SELECT a.pool_idx, b.pool_idx AS r, count(*) AS n FROM bits a JOIN bits b ON a.b = b.b JOIN refs ON refs.r = b.pool_idx GROUP BY ALL),
+s AS (SELECT i.pool_idx, max(i.n / (p.n + q.n - i.n)::DOUBLE) AS sim FROM i JOIN pop p ON p.pool_idx = i.pool_idx JOIN pop q ON q.pool_idx = i.r GROUP BY i.pool_idx),
+sc AS (SELECT fps.pool_idx, label::DOUBLE - 0.5::DOUBLE * coalesce(sim, 0) AS score FROM fps LEFT JOIN s USING (pool_idx))"""
+
+
+@query(PENDING_SQL + " SELECT row_number() OVER (ORDER BY score DESC, pool_idx) AS rank, pool_idx, round(score, 9) AS score, 'greedy' AS strategy FROM sc QUALIFY rank <= 40")
+def acq_pending(spark, d):
+    """Candidates similar to those under evaluation are ranked down."""
+    fps = t.fingerprints(spark, d).withColumn("score", F.col("label").cast("double"))
+    rated = si.pending_penalty(fps, fps.filter("label = 1"), 0.5, n_bits=t.EMBEDDING_BITS)
+    return _out(ac.ranked(ac.top_k(rated, "score", 40), 40, "greedy"))
+
+
+PARETO_SQL = f"""WITH {t.KNOWN}, lim AS (SELECT min(agg0) - 0.05::DOUBLE * (max(agg0) - min(agg0)) AS rx, min(agg1) - 0.05::DOUBLE * (max(agg1) - min(agg1)) AS ry FROM known),
+opt AS (SELECT pool_idx, mean0 + 0.5::DOUBLE * std0 AS x, mean1 + 0.5::DOUBLE * std1 AS y FROM pred), cap AS (SELECT * FROM opt ORDER BY x + y DESC, pool_idx LIMIT 60),
+cand AS (SELECT NULL AS pool_idx UNION ALL SELECT pool_idx FROM cap),
+pts AS (SELECT cand.pool_idx, agg0 AS x, agg1 AS y FROM cand, known UNION ALL SELECT pool_idx, x, y FROM cap),
+g AS (SELECT pool_idx, x, max(y) AS y FROM pts, lim WHERE x > rx AND y > ry GROUP BY ALL),
+h AS (SELECT pool_idx, x, max(y) OVER w AS top, lead(x) OVER w AS nx FROM g WINDOW w AS (PARTITION BY pool_idx ORDER BY x DESC)),
+v AS (SELECT pool_idx, sum((x - coalesce(nx, rx)) * (top - ry)) AS v FROM h, lim GROUP BY pool_idx),
+gain AS (SELECT pool_idx, v - (SELECT v FROM v WHERE pool_idx IS NULL) AS gain FROM v WHERE pool_idx IS NOT NULL)"""
+
+
+def _pareto_params(spark, d):
+    from pickwise.operators.pareto import reference_point
+
+    labels = t.known_labels(spark, d)
+    ref = tuple(reference_point(labels, ["agg0", "agg1"]).first())
+    return ac.Params(n_objectives=2, beta=0.5, labels=labels, ref_point=ref, candidate_cap=60)
+
+
+@query(PARETO_SQL + " SELECT pool_idx, round(gain, 4) AS gain FROM gain ORDER BY round(gain, 6) DESC, pool_idx LIMIT 1")
+def acq_pareto_step(spark, d):
+    """First greedy step: the candidate that adds most hypervolume."""
+    first = ac.pareto_batch(t.predictions(spark, d), 1, _pareto_params(spark, d))
+    return first.select("pool_idx", F.round("score", 4).alias("gain"))
+
+
+@query()
+def acq_pareto(spark, d):
+    return ac.pareto_batch(t.predictions(spark, d), 5, _pareto_params(spark, d)).select("rank", "pool_idx", F.round("score", 6).alias("score"), "strategy")
+
+
+@query(f"""WITH done AS (SELECT DISTINCT l_partkey AS pool_idx FROM lineitem WHERE l_returnflag = 'N'), c AS (SELECT p_partkey AS pool_idx FROM part WHERE p_partkey NOT IN (SELECT pool_idx FROM done)
+ UNION ALL SELECT p_partkey FROM part WHERE p_size > 25 AND p_partkey IN (SELECT pool_idx FROM done)), s AS (SELECT pool_idx, {U.format(seed=4)} AS score FROM c)
+SELECT row_number() OVER (ORDER BY score DESC, pool_idx) AS rank, pool_idx, round(score, 9) AS score, 'random' AS strategy FROM s
+QUALIFY rank <= least(80, greatest(1, floor(0.02::DOUBLE * (SELECT count(*) FROM part))))""")
+def init_batch(spark, d):
+    """First random batch from what is available, within one plate."""
+    part = t.table(spark, d, "part").select(F.col("p_partkey").alias("pool_idx"), "p_size")
+    done = t.table(spark, d, "lineitem").filter("l_returnflag = 'N'").select(F.col("l_partkey").alias("pool_idx")).distinct()
+    state = done.join(part.filter("p_size <= 25"), "pool_idx").select("pool_idx", F.lit("LABELED").alias("phase"))
+    free = ca.available_candidates(part, state)
+    return _out(ac.initial_batch(free, part.count(), 0.02, 4, 80))
+
+
+DIVERSIFY_SQL = """WITH f AS (SELECT vec_id AS pool_idx, label, list_filter(range(64), lambda i: embedding[i + 1] > 0) AS fp, ('0x' || substr(md5(vec_id || ':2'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS score FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, pool_idx) AS rk FROM f), b AS (SELECT *, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS g FROM r WHERE rk <= 12 WINDOW w AS (PARTITION BY label)),
+one AS (SELECT * FROM b WHERE rk = 1),
+s1 AS (SELECT b.*, len(list_intersect(b.fp, one.fp)) / (len(b.fp) + len(one.fp) - len(list_intersect(b.fp, one.fp)))::DOUBLE AS m FROM b JOIN one USING (label)),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY 0.6::DOUBLE * g - 0.4::DOUBLE * m DESC, rk) AS k FROM s1 WHERE rk > 1) WHERE k = 1),
+s2 AS (SELECT s1.*, greatest(s1.m, len(list_intersect(s1.fp, two.fp)) / (len(s1.fp) + len(two.fp) - len(list_intersect(s1.fp, two.fp)))::DOUBLE) AS m2, two.pool_idx AS second FROM s1 JOIN two USING (label)),
+three AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY 0.6::DOUBLE * g - 0.4::DOUBLE * m2 DESC, rk) AS k FROM s2 WHERE rk > 1 AND pool_idx <> second) WHERE k = 1)
+SELECT label, pool_idx, 1 AS div_rank FROM one UNION ALL SELECT label, pool_idx, 2 FROM two UNION ALL SELECT label, pool_idx, 3 FROM three"""
+
+
+@query(DIVERSIFY_SQL)
+def diversify(spark, d):
+    """Three diverse picks out of the best twelve of every class, all classes at once."""
+    from pickwise.functions.hashing import seeded_uniform
+
+    f = t.fingerprints(spark, d).withColumn("score", seeded_uniform(2, F.col("pool_idx")))
+    return reorder(f, ["label"], 3, 0.4, t.EMBEDDING_BITS, oversample=4).select("label", "pool_idx", "div_rank")
+
+
+# ---- surrogate and campaigns --------------------------------------------------------------------
+
+RULES = ca.Rules(batch_size=20, init_fraction=0.04, n_trees=20, beta=0.5, max_depth=12)
+
+
+def _library(spark, d):
+    """Candidates with model features, and their hidden labels apart."""
+    e = dense_features(t.table(spark, d, "embeddings"), "embedding")
+    candidates = e.select(F.col("vec_id").alias("pool_idx"), "features")
+    truth = e.select(F.col("vec_id").alias("pool_idx"), F.col("label").cast("double").alias("activity"))
+    return candidates, truth
+
+
+@query()
+def rf_fit_predict(spark, d):
+    """Forest mean and spread for every candidate, trained on the revealed ones."""
+    candidates, truth = _library(spark, d)
+    first = ac.initial_batch(candidates, candidates.count(), 0.2, 0)
+    training = first.select("pool_idx").join(candidates, "pool_idx").join(truth, "pool_idx")
+    out = ForestSurrogate(20, 0, 12).fit(training, ["activity"]).predict(candidates)
+    return out.select("pool_idx", F.round("mean0", 6).alias("mean"), F.round("std0", 6).alias("std"))
+
+
+@query()
+def select_round(spark, d):
+    """One round: availability, feasibility, surrogate, acquisition."""
+    from dataclasses import replace
+
+    candidates, truth = _library(spark, d)
+    ease = candidates.withColumn("sa_ease", -(F.col("pool_idx") % 50).cast("double"))
+    first = ac.initial_batch(candidates, candidates.count(), 0.2, 0).select("pool_idx")
+    labels = first.join(candidates, "pool_idx").join(truth, "pool_idx")
+    rules = replace(RULES, acquisition="ucb", ease_quantile=0.1)
+    return _out(ca.select_round(ease, labels, rules, taken=first))
+
+
+@query()
+def backtest(spark, d):
+    """A closed loop of three rounds, reported per round."""
+    from dataclasses import replace
+
+    candidates, truth = _library(spark, d)
+    labels = ca.run_campaign(candidates, ca.evaluate_from(truth, ["activity"]), replace(RULES, acquisition="greedy"), 3)
+    r = ca.history(truth, labels, ["activity"])
+    return r.select("round", "n_labeled", "mean_activity", "top1_recall", "ef_top1", "bedroc")
+
+
+@query()
+def compare_strategies(spark, d):
+    """Random, greedy and upper confidence bound under the same budget."""
+    candidates, truth = _library(spark, d)
+    r = ca.compare(candidates, truth, RULES, ["random", "greedy", "ucb"], 2)
+    return r.select("strategy", "seed", "n_labeled", "mean_activity", "top1_recall", "ef_top1", "bedroc")
+
+
+@query(f"""WITH {t.LABELLED}, tr AS (SELECT vec_id AS pool_idx, label::DOUBLE AS a FROM embeddings), n AS (SELECT count(*) AS n FROM tr),
+ranked AS (SELECT pool_idx, a, row_number() OVER (ORDER BY a DESC, pool_idx) - 1 AS r FROM tr), h AS (SELECT * FROM ranked, n WHERE r < greatest(1, ceil(0.01::DOUBLE * n))),
+lab AS (SELECT tr.* FROM tr JOIN labelled USING (pool_idx)), f AS (SELECT * FROM h JOIN (SELECT pool_idx FROM lab) USING (pool_idx))
+SELECT (SELECT count(*) FROM lab) AS n_labeled, round((SELECT avg(a) FROM lab), 6) AS mean_activity, round((SELECT count(*) FROM f) / (SELECT count(*) FROM h)::DOUBLE, 9) AS top1_recall""")
+def single_objective_report(spark, d):
+    """With one objective the Pareto figures do not apply."""
+    _, truth = _library(spark, d)
+    r = report(truth, t.labelled(spark, d), ["activity"])
+    return r.select("n_labeled", F.round("mean_activity", 6).alias("mean_activity"), F.round("top1_recall", 9).alias("top1_recall"))
+
+
+EVAL_SQL = """WITH e AS (SELECT p_partkey AS pool_idx, CASE WHEN p_size > 45 THEN 'timeout' WHEN p_size > 40 THEN 'embed failed' WHEN length(p_name) > 12 THEN 'name too long' ELSE 'ok' END AS m, length(p_name) AS n FROM part)
+SELECT pool_idx, CASE m WHEN 'ok' THEN 'COMPLETED' ELSE 'FAILED' END AS state, CASE m WHEN 'timeout' THEN 'evaluation timeout' ELSE m END AS message, CASE m WHEN 'ok' THEN n::DOUBLE END AS activity FROM e"""
+
+
+def _score_text(text: str):
+    """Stand-in for a user's evaluation function: value by length, some failures, some errors."""
+    name, size = text.rsplit("/", 1)
+    if int(size) > 45:
+        return None, "timeout"
+    if int(size) > 40:
+        return None, "embed failed"
+    if len(name) > 12:
+        raise ValueError("name too long")
+    return -float(len(name)), "ok"
+
+
+@query(EVAL_SQL)
+def evaluate_plugin(spark, d):
+    """A user function scores every item in Spark tasks; its errors become row messages."""
+    items = t.table(spark, d, "part").select(
+        F.col("p_partkey").alias("pool_idx"), F.lit("experimental").alias("kind"),
+        F.concat_ws("/", "p_name", F.col("p_size").cast("string")).alias("smiles"),
+    )
+    return ca.evaluate_with(_score_text)(items).select("pool_idx", "state", "message", "activity")

@@ -267,13 +267,14 @@ p AS (SELECT doc_id, unnest(list_distinct(flatten(list_transform([1, 2, 3], lamb
 b AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(pair), 1, 8))::BIGINT % 2048 AS bit FROM p)"""
 
 
-@query(PAIR_BITS_SQL + """ SELECT toks.doc_id, len(w) >= 2 AS valid, CASE WHEN len(w) >= 2 THEN (SELECT count(*) FROM b WHERE b.doc_id = toks.doc_id) END AS popcount,
- (SELECT sum(bit)::BIGINT FROM b WHERE b.doc_id = toks.doc_id) AS bit_sum FROM toks""")
+@query(PAIR_BITS_SQL + """ SELECT toks.doc_id, len(w) >= 2 AS valid, (SELECT count(*) FROM b WHERE b.doc_id = toks.doc_id) AS popcount,
+ coalesce((SELECT sum(bit)::BIGINT FROM b WHERE b.doc_id = toks.doc_id), 0) AS bit_sum FROM toks""")
 def pair_fingerprint(spark, d):
     docs = t.table(spark, d, "documents").select("doc_id", "text")
     fps = fpf.fingerprint(docs)
     total = F.aggregate("fp", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return fps.select("doc_id", "valid", F.col("popcount").cast("bigint").alias("popcount"), total.alias("bit_sum"))
+    count = F.coalesce("popcount", F.lit(0)).cast("bigint")
+    return fps.select("doc_id", "valid", count.alias("popcount"), F.coalesce(total, F.lit(0)).alias("bit_sum"))
 
 
 @query("""WITH bad AS (SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 2)

@@ -1 +1,85 @@
-"""Queries."""
+"""Queries that run a stream over the given tables to its end and return what it left behind."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pickwise.plans import state_queries as sq
+from pickwise.plans import tables as t
+from pickwise.plans.registry import query
+from pickwise.session import scratch_path
+from pickwise.sources.stores import load_version
+from pickwise.streaming import ingest as ing
+
+
+def _stream(spark, sf_dir: str, view, files: int = 4):
+    """A table view as a file stream of several micro-batches."""
+    rows = view(spark, sf_dir)
+    path = scratch_path(spark, "incoming")
+    rows.repartition(files).write.parquet(path)
+    return ing.read_stream(spark, path, rows.schema, files_per_trigger=2)
+
+
+def _run(spark, stream, sink, mode="append"):
+    ing.run_available(stream, scratch_path(spark, "stream-state"), sink, mode)
+
+
+@query(f"WITH {t.OBS} SELECT item_id, 1::BIGINT AS n FROM obs GROUP BY item_id")
+def stream_dedupe(spark, d):
+    """Every item id passes once, over several micro-batches."""
+    out = scratch_path(spark, "deduped")
+    _run(spark, ing.stream_dedupe(_stream(spark, d, t.observations)), ing.append_to_log(out))
+    return spark.read.parquet(out).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {t.OBS} SELECT pool_idx, count(*) AS n, round(avg(v), 6) AS agg0, round(stddev_pop(v), 6) AS std0 FROM obs WHERE {t.CONTRIBUTES} GROUP BY pool_idx")
+def stream_labels(spark, d):
+    out = scratch_path(spark, "labels")
+    _run(spark, ing.stream_labels(_stream(spark, d, t.observations)), ing.upsert_latest(out, "pool_idx"), "update")
+    return load_version(spark, out).select("pool_idx", "n", F.round("agg0", 6).alias("agg0"), F.round("std0", 6).alias("std0"))
+
+
+@query(f"WITH {t.OBS} SELECT pool_idx, round(median(v), 6) AS agg0 FROM obs WHERE {t.CONTRIBUTES} GROUP BY pool_idx")
+def stream_medians(spark, d):
+    """Medians of touched candidates are recomputed per micro-batch; the last one per candidate counts."""
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "medians")
+    _run(spark, _stream(spark, d, t.observations), ing.median_of_touched(log, out))
+    rows = spark.read.parquet(out)
+    return rows.groupBy("pool_idx").agg(F.round(F.max_by("agg0", "version"), 6).alias("agg0"))
+
+
+@query(sq.FOLD_SQL + " SELECT * FROM state")
+def stream_candidates(spark, d):
+    """The batch rules on a stream; the order of arrival does not matter."""
+    out = scratch_path(spark, "phases")
+    _run(spark, ing.stream_phases(_stream(spark, d, t.events), "ord"), ing.upsert_latest(out, "pool_idx"), "update")
+    return load_version(spark, out)
+
+
+@query(sq._marks_sql(f"CASE WHEN event_type = 'purchase' THEN 'RELEASE' ELSE {sq.MARK_OPS} END"))
+def stream_marks(spark, d):
+    """Marks and results folded on top of the last snapshot, micro-batch after micro-batch in order."""
+    def view(s, sf):
+        return sq._marks(s, sf, True)
+
+    rows = view(spark, d)
+    path, out = scratch_path(spark, "incoming"), scratch_path(spark, "snapshots")
+    cut = rows.agg(F.expr("percentile_approx(ord, 0.5)")).first()[0]
+    early, late = f"{path}/a", f"{path}/b"
+    rows.filter(F.col("ord") <= cut).coalesce(1).write.parquet(early)
+    state = scratch_path(spark, "stream-state")
+    sink = ing.fold_into_snapshots(out, "ord")
+    ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
+    rows.filter(F.col("ord") > cut).coalesce(1).write.parquet(late)
+    # a second run goes on from the checkpoint of the first
+    ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
+    return load_version(spark, out).withColumn("job_id", F.coalesce("job_id", F.lit("-")))
+
+
+@query(f"WITH {t.OBS} SELECT (SELECT count(*) FROM obs) AS n_obs, (SELECT count(DISTINCT pool_idx) FROM obs WHERE {t.CONTRIBUTES}) AS n_labels, 2::BIGINT AS n_batches")
+def stream_progress(spark, d):
+    """One progress row per micro-batch; together they cover the whole log."""
+    log, out = scratch_path(spark, "log"), scratch_path(spark, "progress")
+    _run(spark, _stream(spark, d, t.observations), ing.progress_rows(log, out, t.ledger(spark, d)))
+    rows = spark.read.parquet(out)
+    return rows.agg(F.sum("n_new_obs").alias("n_obs"), F.sum("n_new_labels").alias("n_labels"), F.count(F.lit(1)).alias("n_batches"))

@@ -53,7 +53,7 @@ def kind(t: str) -> str:
 
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> str | None:
     df = fn(spark, sf_dir)
-    pdf = df.toPandas()
+    pdf = pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
     if sql is None:
         return None if len(pdf) else "no rows"
     cur = con.execute(sql)
