@@ -9,6 +9,8 @@ from pickwise.functions.hashing import hash32
 
 N_BITS = 2048
 MAX_DISTANCE = 3
+# Odd multipliers that mix the two token hashes and the distance of a pair.
+LEFT_MIX, RIGHT_MIX, DISTANCE_MIX = 1031, 733, 379
 
 
 def tokens(text: Column) -> Column:
@@ -18,15 +20,20 @@ def tokens(text: Column) -> Column:
 def pair_bits(toks: Column, n_bits: int = N_BITS, max_distance: int = MAX_DISTANCE) -> Column:
     """Distinct on-bits of all token pairs up to ``max_distance`` apart, over the whole token list.
 
-    Pairs are made distinct before hashing, so repeated passages cost one hash.
+    Every token is hashed once; a pair's bit mixes its two token hashes and the distance with
+    integer arithmetic, which costs far less than hashing the text of each pair.
     """
-    def at(distance: int) -> Column:
-        left = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - distance, F.lit(0)))
-        right = F.slice(toks, F.lit(1 + distance), F.greatest(F.size(toks) - distance, F.lit(0)))
-        return F.zip_with(left, right, lambda a, b: F.concat_ws("|", a, b, F.lit(str(distance))))
+    # transform over an array first, so each hash is computed once and then only read
+    hashes = F.transform(toks, lambda t: F.pmod(hash32(t), F.lit(n_bits)).cast("int"))
 
-    pairs = F.array_distinct(F.concat(*[at(d) for d in range(1, max_distance + 1)]))
-    return F.array_distinct(F.transform(pairs, lambda p: F.pmod(hash32(p), F.lit(n_bits)).cast("int")))
+    def at(h: Column, distance: int) -> Column:
+        n = F.greatest(F.size(h) - distance, F.lit(0))
+        mix = lambda a, b: F.pmod(a * LEFT_MIX + b * RIGHT_MIX + distance * DISTANCE_MIX, F.lit(n_bits))
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + distance), n), mix)
+
+    # the lambda parameter holds the hashes: referring to them again does not compute them again
+    once = F.transform(F.array(hashes), lambda h: F.array_distinct(F.concat(*[at(h, d) for d in range(1, max_distance + 1)])))
+    return F.get(once, F.lit(0))
 
 
 def fingerprint(rows: DataFrame, text: str = "text", n_bits: int = N_BITS, max_distance: int = MAX_DISTANCE) -> DataFrame:

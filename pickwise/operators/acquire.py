@@ -63,12 +63,10 @@ def objective_ranges(predictions: DataFrame, p: Params) -> Column:
         fields = [f(f"{prefix}{i}").alias(f"{n}{i}") for i in range(p.n_objectives) for f, n in ((F.min, "lo"), (F.max, "hi"))]
         return df.agg(F.struct(*fields).alias("r")).scalar()
 
-    if p.labels is None:
+    # the labels are few; scoring all candidates a second time for a range nobody needs is not free
+    if p.labels is None or p.labels.isEmpty():
         return ends(predictions, "mean")
-    known, guess = ends(p.labels, "agg"), ends(predictions, "mean")
-    return F.struct(*[
-        F.coalesce(known[f"{n}{i}"], guess[f"{n}{i}"]).alias(f"{n}{i}") for i in range(p.n_objectives) for n in ("lo", "hi")
-    ])
+    return ends(p.labels, "agg")
 
 
 def weighted_score(predictions: DataFrame, p: Params, beta: float, weights: Sequence[float]) -> DataFrame:

@@ -171,7 +171,7 @@ def select_round(spark, d):
     from dataclasses import replace
 
     candidates, truth = _library(spark, d)
-    ease = candidates.withColumn("sa_ease", -(F.col("pool_idx") % 50).cast("double"))
+    ease = candidates.join(t.fingerprints(spark, d).select("pool_idx", (-F.col("popcount")).cast("double").alias("sa_ease")), "pool_idx")
     first = ac.initial_batch(candidates, candidates.count(), 0.2, 0).select("pool_idx")
     labels = first.join(candidates, "pool_idx").join(truth, "pool_idx")
     rules = replace(RULES, acquisition="ucb", ease_quantile=0.1)
@@ -189,6 +189,30 @@ def backtest(spark, d):
     return r.select("round", "n_labeled", "mean_activity", "top1_recall", "ef_top1", "bedroc")
 
 
+def text_library(spark, d):
+    """Documents as candidates: pair fingerprints stored once, text length as the hidden activity."""
+    from pickwise.functions.fingerprints import fingerprint
+    from pickwise.session import scratch_path
+    from pickwise.sources.tables import read_fingerprints, write_fingerprints
+
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("pool_idx"), "text")
+    path = scratch_path(spark, "fingerprints")
+    write_fingerprints(fingerprint(docs), path)
+    truth = t.table(spark, d, "documents").select(F.col("doc_id").alias("pool_idx"), F.log(F.col("n_chars") + 1.0).alias("activity"))
+    return read_fingerprints(spark, path), truth
+
+
+ENRICHMENT = ca.Rules(batch_size=50, init_fraction=0.005, n_trees=40, beta=0.5, pending_lambda=0.0, max_bins=2, features="fp")
+
+
+@query()
+def enrichment_campaign(spark, d):
+    """The published comparison: five rounds of fifty over a fingerprint library, three strategies."""
+    candidates, truth = text_library(spark, d)
+    r = ca.compare(candidates, truth, ENRICHMENT, ["random", "greedy", "ucb"], 5)
+    return r.select("strategy", "seed", "n_labeled", "mean_activity", "top01_recall", "top1_recall", "ef_top1", "bedroc", "n_hits_top1")
+
+
 @query()
 def compare_strategies(spark, d):
     """Random, greedy and upper confidence bound under the same budget."""

@@ -263,8 +263,8 @@ def controls_check(spark, d):
 
 
 PAIR_BITS_SQL = """WITH toks AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT doc_id, unnest(list_distinct(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, greatest(len(w) - k, 0)::BIGINT + 1), lambda i: w[i] || '|' || w[i + k] || '|' || k))))) AS pair FROM toks WHERE len(w) >= 2),
-b AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(pair), 1, 8))::BIGINT % 2048 AS bit FROM p)"""
+h AS (SELECT doc_id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 2048) AS h FROM toks WHERE len(w) >= 2),
+b AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, greatest(len(h) - k, 0)::BIGINT + 1), lambda i: (h[i] * 1031 + h[i + k] * 733 + k * 379) % 2048)))) AS bit FROM h)"""
 
 
 @query(PAIR_BITS_SQL + """ SELECT toks.doc_id, len(w) >= 2 AS valid, (SELECT count(*) FROM b WHERE b.doc_id = toks.doc_id) AS popcount,

@@ -155,7 +155,7 @@ def new_terminal(spark, d):
 
 SCORED = """sc AS (SELECT l_orderkey AS job_id, l_linenumber AS line, l_partkey AS part, l_extendedprice AS price, CASE WHEN l_tax > 0.07 THEN 'blank' ELSE 'experimental' END AS kind,
  CASE WHEN l_discount > 0.08 THEN -1 ELSE l_partkey END AS pool_idx, CASE WHEN l_quantity > 10 THEN -l_quantity / 5.0::DOUBLE END AS score,
- CASE WHEN l_quantity > 10 THEN 'ok' WHEN l_quantity > 7 THEN 'timeout' WHEN l_quantity > 4 THEN '' ELSE 'embed failed' END AS message, l_suppkey % 4 AS attempts FROM lineitem)"""
+ CASE WHEN l_quantity > 10 THEN 'ok' WHEN l_quantity > 7 THEN 'timeout' WHEN l_quantity > 4 THEN '' ELSE 'embed failed' END AS message, l_linenumber - 1 AS attempts FROM lineitem)"""
 
 
 def _scored(spark, d):
@@ -166,7 +166,7 @@ def _scored(spark, d):
         F.when(F.col("l_discount") > 0.08, F.lit(-1).cast("bigint")).otherwise(F.col("l_partkey")).alias("pool_idx"),
         F.when(q > 10, -q / 5.0).alias("score"),
         F.when(q > 10, F.lit("ok")).when(q > 7, F.lit("timeout")).when(q > 4, F.lit("")).otherwise(F.lit("embed failed")).alias("message"),
-        (F.col("l_suppkey") % 4).alias("attempts"),
+        (F.col("l_linenumber") - 1).alias("attempts"),
     )
 
 
