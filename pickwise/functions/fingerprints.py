@@ -17,6 +17,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def has_pair(text: Column) -> Column:
+    """At least two tokens; found without splitting the text, so a filter on it is cheap anywhere in a plan."""
+    return F.coalesce(text.rlike(r"\S\s+\S"), F.lit(False))
+
+
 def pair_bits(toks: Column, n_bits: int = N_BITS, max_distance: int = MAX_DISTANCE) -> Column:
     """Distinct on-bits of all token pairs up to ``max_distance`` apart, over the whole token list.
 
@@ -38,12 +43,11 @@ def pair_bits(toks: Column, n_bits: int = N_BITS, max_distance: int = MAX_DISTAN
 
 def fingerprint(rows: DataFrame, text: str = "text", n_bits: int = N_BITS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``fp`` (on-bits), ``popcount`` and ``valid``; a row with fewer than two tokens has no pairs."""
-    with_tokens = rows.withColumn("_tokens", tokens(F.col(text)))
-    valid = F.size("_tokens") >= 2
-    bits = F.when(valid, pair_bits(F.col("_tokens"), n_bits, max_distance))
+    valid = has_pair(F.col(text))
+    bits = F.when(valid, pair_bits(tokens(F.col(text)), n_bits, max_distance))
     return (
-        with_tokens.withColumn("valid", valid).withColumn("fp", bits)
-        .withColumn("popcount", F.when(F.col("valid"), F.size("fp"))).drop("_tokens")
+        rows.withColumn("valid", valid).withColumn("fp", bits)
+        .withColumn("popcount", F.when(F.col("valid"), F.size("fp")))
     )
 
 

@@ -36,20 +36,22 @@ class Params:
     pending_lambda: float = 0.5
     similarity: dict = field(default_factory=dict)  # fp, n_bits, dense
     candidate_cap: int = CANDIDATE_CAP
+    keep: tuple[str, ...] = ()  # columns the selection takes along, so they need no second scan
 
 
 Strategy = Callable[[DataFrame, int, Params], DataFrame]
 
 
-def normalized(value: Column, lo: Column, hi: Column) -> Column:
+def normalized(value: Column, lo: float | None, hi: float | None) -> Column:
     """Min-max scaling; a span of practically zero divides by one."""
-    span = hi - lo
-    return (value - lo) / F.when(span > SPAN_FLOOR, span).otherwise(F.lit(1.0))
+    lo, hi = lo or 0.0, hi or 0.0
+    span = hi - lo if hi - lo > SPAN_FLOOR else 1.0
+    return (value - F.lit(float(lo))) / F.lit(float(span))
 
 
-def ranked(selection: DataFrame, k: int, name: str) -> DataFrame:
+def ranked(selection: DataFrame, k: int, name: str, keep: Sequence[str] = ()) -> DataFrame:
     """Rank 1..k by falling score; a batch too long for one sort is numbered by range."""
-    cols = ["rank", "pool_idx", "score", "strategy"]
+    cols = ["rank", "pool_idx", "score", "strategy", *keep]
     out = selection.withColumn("strategy", F.lit(name))
     order = [F.desc("score"), F.asc("pool_idx")]
     if k <= RANK_LIMIT:
@@ -57,16 +59,14 @@ def ranked(selection: DataFrame, k: int, name: str) -> DataFrame:
     return global_index(out, order, "_p").withColumn("rank", F.col("_p") + 1).select(*cols)
 
 
-def objective_ranges(predictions: DataFrame, p: Params) -> Column:
-    """One struct of lo_i / hi_i: the labels' range, or the raw predicted means' when nothing is labelled."""
-    def ends(df: DataFrame, prefix: str) -> Column:
-        fields = [f(f"{prefix}{i}").alias(f"{n}{i}") for i in range(p.n_objectives) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-        return df.agg(F.struct(*fields).alias("r")).scalar()
+def objective_ranges(predictions: DataFrame, p: Params) -> list[tuple[float, float]]:
+    """(lowest, highest) per objective: the labels' range, or the raw predicted means' when nothing is labelled."""
+    def ends(df: DataFrame, prefix: str) -> list[tuple[float, float]]:
+        row = df.agg(*[f(f"{prefix}{i}") for i in range(p.n_objectives) for f in (F.min, F.max)]).first()
+        return [(row[2 * i], row[2 * i + 1]) for i in range(p.n_objectives)]
 
-    # the labels are few; scoring all candidates a second time for a range nobody needs is not free
-    if p.labels is None or p.labels.isEmpty():
-        return ends(predictions, "mean")
-    return ends(p.labels, "agg")
+    known = ends(p.labels, "agg") if p.labels is not None else [(None, None)]
+    return known if known[0][0] is not None else ends(predictions, "mean")
 
 
 def weighted_score(predictions: DataFrame, p: Params, beta: float, weights: Sequence[float]) -> DataFrame:
@@ -75,7 +75,7 @@ def weighted_score(predictions: DataFrame, p: Params, beta: float, weights: Sequ
     score = None
     for i in range(p.n_objectives):
         value = F.col(f"mean{i}") + F.lit(float(beta)) * F.col(f"std{i}") if beta else F.col(f"mean{i}")
-        term = normalized(value, r[f"lo{i}"], r[f"hi{i}"]) * F.lit(float(weights[i]))
+        term = normalized(value, *r[i]) * F.lit(float(weights[i]))
         score = term if score is None else score + term
     return pending_penalty(predictions.withColumn("score", score), p.pending, p.pending_lambda, **p.similarity)
 
@@ -86,12 +86,12 @@ def _weights(p: Params) -> tuple[float, ...]:
 
 def random_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
     """A sample without replacement: the k largest seeded hashes."""
-    drawn = predictions.select("pool_idx", seeded_uniform(p.seed, F.col("pool_idx")).alias("score"))
-    return ranked(top_k(drawn, "score", k), k, "random")
+    drawn = predictions.select("pool_idx", *p.keep, seeded_uniform(p.seed, F.col("pool_idx")).alias("score"))
+    return ranked(top_k(drawn, "score", k), k, "random", p.keep)
 
 
 def greedy_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
-    return ranked(top_k(weighted_score(predictions, p, 0.0, _weights(p)), "score", k), k, "greedy")
+    return ranked(top_k(weighted_score(predictions, p, 0.0, _weights(p)), "score", k), k, "greedy", p.keep)
 
 
 def simplex_weights(spark, n: int, seed: int) -> tuple[float, ...]:
@@ -103,17 +103,17 @@ def simplex_weights(spark, n: int, seed: int) -> tuple[float, ...]:
 
 def weighted_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
     w = simplex_weights(predictions.sparkSession, p.n_objectives, p.seed)
-    return ranked(top_k(weighted_score(predictions, p, 0.0, w), "score", k), k, "weighted")
+    return ranked(top_k(weighted_score(predictions, p, 0.0, w), "score", k), k, "weighted", p.keep)
 
 
 def ucb_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
-    return ranked(top_k(weighted_score(predictions, p, p.beta, _weights(p)), "score", k), k, "ucb")
+    return ranked(top_k(weighted_score(predictions, p, p.beta, _weights(p)), "score", k), k, "ucb", p.keep)
 
 
 def optimistic(predictions: DataFrame, p: Params) -> DataFrame:
     cols = [(F.col(f"mean{i}") + F.lit(float(p.beta)) * F.col(f"std{i}")).alias(f"o{i}") for i in range(p.n_objectives)]
-    extra = [c for c in (p.similarity.get("fp", "fp"),) if c in predictions.columns]
-    return predictions.select("pool_idx", *cols, *extra)
+    extra = [c for c in (*p.keep, p.similarity.get("fp", "fp")) if c in predictions.columns]
+    return predictions.select("pool_idx", *cols, *dict.fromkeys(extra))
 
 
 def pareto_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
@@ -127,7 +127,7 @@ def pareto_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
     names = [f"o{i}" for i in range(p.n_objectives)]
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     rated = pending_penalty(optimistic(predictions, p).withColumn("score", total), p.pending, p.pending_lambda, **p.similarity)
-    capped = top_k(rated, "score", p.candidate_cap).select("pool_idx", *names)
+    capped = top_k(rated, "score", p.candidate_cap)
     front = np.zeros((0, p.n_objectives))
     if p.labels is not None:
         known = p.labels.select(*[F.col(f"agg{i}").alias(n) for i, n in enumerate(names)])
@@ -149,8 +149,11 @@ def pareto_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
             base = _volume(held, ref)
         return pd.DataFrame(out, columns=["rank", "pool_idx", "score"])
 
-    picked = capped.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "rank INT, pool_idx BIGINT, score DOUBLE")
-    return picked.withColumn("strategy", F.lit("pareto"))
+    rows = capped.select("pool_idx", *names, F.lit(0).alias("_all"))
+    picked = rows.groupBy("_all").applyInPandas(choose, "rank INT, pool_idx BIGINT, score DOUBLE")
+    if p.keep:
+        picked = picked.join(capped.select("pool_idx", *p.keep), "pool_idx")
+    return picked.select("rank", "pool_idx", "score", F.lit("pareto").alias("strategy"), *p.keep)
 
 
 STRATEGIES: dict[str, Strategy] = {
@@ -176,12 +179,14 @@ def strategy(name: str | Strategy) -> Strategy:
         raise ValueError(f"unknown acquisition: {name}") from None
 
 
-def initial_batch(available: DataFrame, n_library: int, fraction: float, seed: int, plate_limit: int | None = None) -> DataFrame:
+def initial_batch(
+    available: DataFrame, n_library: int, fraction: float, seed: int, plate_limit: int | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Random first batch of ``max(1, int(fraction * n))`` available candidates, within one plate."""
     k = max(1, int(fraction * n_library))
     if plate_limit is not None:
         k = min(k, plate_limit)
-    return random_batch(available, k, Params(seed=seed))
+    return random_batch(available, k, Params(seed=seed, keep=keep))
 
 
 def sample_order(seed: int, *parts: Column) -> Column:

@@ -196,6 +196,9 @@ def text_library(spark, d):
     from pickwise.sources.tables import read_fingerprints, write_fingerprints
 
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("pool_idx"), "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # one small file: hashing would run on one core
+        docs = docs.repartition(cores)
     path = scratch_path(spark, "fingerprints")
     write_fingerprints(fingerprint(docs), path)
     truth = t.table(spark, d, "documents").select(F.col("doc_id").alias("pool_idx"), F.log(F.col("n_chars") + 1.0).alias("activity"))

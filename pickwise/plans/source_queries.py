@@ -281,7 +281,7 @@ def pair_fingerprint(spark, d):
 SELECT count(*) AS n_invalid, coalesce((SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM bad ORDER BY doc_id LIMIT 20)), '') AS invalid_ids FROM bad""")
 def invalid_report(spark, d):
     docs = t.table(spark, d, "documents").select("doc_id", "text")
-    valid = (F.size(fpf.tokens(F.col("text"))) >= 2).alias("valid")
+    valid = fpf.has_pair(F.col("text")).alias("valid")
     return fpf.invalid_report(docs.select("doc_id", valid), "doc_id")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from pickwise.operators.bootstrap_forest import BootstrapForest, _score, best_split, grow
 from pickwise.operators.surrogate import ForestSurrogate, bit_features
 from pickwise.plans import campaign as ca
 from pickwise.sources.stores import versions
@@ -76,19 +77,54 @@ def test_two_objectives(spark, library, name):
 def test_forest_mean_and_spread(spark, library):
     cands, truth = library
     training = cands.join(truth, "pool_idx").filter("pool_idx < 80")
-    model = ForestSurrogate(6, 1, 8).fit(training, ["activity"])
-    out = model.predict(cands).orderBy("pool_idx").collect()
-    by_tree = [
-        [t.predict(r.features) for t in m.trees] for r in cands.orderBy("pool_idx").limit(5).collect() for m in [model.models[0]]
-    ] if hasattr(model, "models") else []
-    for got, trees in zip(out, by_tree):
+    forest = ForestSurrogate(6, 1, 8).fit(training, ["activity"])
+    out = forest.predict(cands).orderBy("pool_idx").collect()
+    for row, got in zip(cands.orderBy("pool_idx").limit(5).collect(), out):
+        trees = [t.predict(row.features) for t in forest.models[0].trees]
         assert got.mean0 == pytest.approx(np.mean(trees)) and got.std0 == pytest.approx(np.std(trees))
-    again = ForestSurrogate(6, 1, 8).fit(training, ["activity"]).predict(cands).orderBy("pool_idx").collect()
-    assert [r.mean0 for r in again] == [r.mean0 for r in out] and all(r.std0 >= 0 for r in out)
     with pytest.raises(RuntimeError):
         ForestSurrogate().predict(cands)
 
 
+def test_bootstrap_forest_is_stable_and_learns(spark, library):
+    cands, truth = library
+    training = cands.join(truth, "pool_idx").filter("pool_idx < 120")
+    one = BootstrapForest(20, 1).fit(training.coalesce(1), ["activity"]).predict(cands).orderBy("pool_idx").collect()
+    two = BootstrapForest(20, 1).fit(training.repartition(5), ["activity"]).predict(cands.repartition(3)).orderBy("pool_idx").collect()
+    assert [(r.mean0, r.std0) for r in one] == [(r.mean0, r.std0) for r in two]
+    y = [r.activity for r in truth.orderBy("pool_idx").collect()]
+    assert np.corrcoef([r.mean0 for r in one][120:], y[120:])[0, 1] > 0.7 and all(r.std0 >= 0 for r in one)
+    with pytest.raises(RuntimeError):
+        BootstrapForest().predict(cands)
+
+
+def test_full_depth_tree_reproduces_distinct_rows():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((60, 9)), rng.random(60)
+    tree = tuple(np.array(a) for a in grow(x, y, np.ones(60), rng))
+    assert _score([tree], x)[:, 0] == pytest.approx(y)
+    bits = (rng.random((60, 40)) < 0.5).astype(np.uint8)
+    tree = tuple(np.array(a) for a in grow(bits, y, np.ones(60), rng))
+    assert _score([tree], bits)[:, 0] == pytest.approx(y)
+
+
+def test_best_split_equals_brute_force():
+    rng = np.random.default_rng(4)
+    x, y, w = rng.integers(0, 4, (30, 5)).astype(float), rng.random(30), rng.integers(1, 4, 30).astype(float)
+    sse = lambda m: (w[m] * (y[m] - np.average(y[m], weights=w[m])) ** 2).sum() if m.any() else 0.0
+    cost = lambda c, t: sse(x[:, c] <= t) + sse(x[:, c] > t)
+    every = min(cost(c, t) for c in range(5) for t in (0.5, 1.5, 2.5))
+    assert cost(*best_split(x, y, w)) == pytest.approx(every)
+    assert best_split(np.ones((4, 2)), y[:4], w[:4]) is None
+
+
+def test_many_labels_go_to_mllib(spark, library):
+    cands, truth = library
+    labels = cands.join(truth, "pool_idx").filter("pool_idx < 60")
+    got = ca.select_round(cands, labels, replace(RULES, small_labels=10), taken=labels)
+    assert got.count() == 10
+
+
 def test_bit_features(spark):
     df = bit_features(spark.createDataFrame([(0, [3, 1])], "pool_idx BIGINT, fp ARRAY<INT>"), n_bits=5, name="v")
     assert df.first().v.toArray().tolist() == [0, 1, 0, 1, 0]
