@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwise.operators.acquire import RANK_LIMIT
-from pickwise.operators.pareto import hypervolume, pareto_front
+from pickwise.operators.pareto import grouped_hypervolume, hypervolume, pareto_front
 from pickwise.operators.scale import global_index, order_statistics, top_k
+from pickwise.session import cut_lineage
 
 # The two hit definitions and the early-recognition weight of the report.
 TOP_FRACTIONS = (0.001, 0.01)
@@ -120,16 +121,18 @@ def report(
     """
     first = objectives[0]
     by = list(by)
-    n = truth.count()
+    ends = [f(o) for o in objectives for f in (F.min, F.max)]
+    n, *lo_hi = truth.agg(F.count(F.lit(1)), *ends).first()
     top1 = hit_ranks(truth, first, fractions[1], n).select("pool_idx", F.col("rank").alias("_rank"))
     k01, k1 = top_count(n, fractions[0]), top_count(n, fractions[1])
     mine = labelled.select(*by, "pool_idx").distinct().join(truth.select("pool_idx", *objectives), "pool_idx")
     marked = mine.join(top1, "pool_idx", "left")
     several = len(objectives) > 1
     if several:
-        front = pareto_front(truth, objectives).select("pool_idx", F.lit(1).alias("_front"))
-        marked = marked.join(front, "pool_idx", "left")
+        # the front is wanted three times: as a flag, as a count and for its volume
+        front = cut_lineage(pareto_front(truth, objectives).select("pool_idx", *objectives))
         n_front = front.count()
+        marked = marked.join(front.select("pool_idx", F.lit(1).alias("_front")), "pool_idx", "left")
     hit = F.col("_rank").isNotNull()
     found = F.count_if(hit)
     weight = F.sum(F.when(hit, F.exp(F.lit(-alpha) * (F.col("_rank") + 1) / F.lit(float(n)))))
@@ -146,25 +149,21 @@ def report(
     if not several:
         null = F.lit(None).cast("double")
         return rows.withColumn("hv_frac", null).withColumn("pareto_recall", null)
-    lo_hi = truth.agg(*[f(o).alias(f"{f.__name__}{i}") for i, o in enumerate(objectives) for f in (F.min, F.max)]).first()
     ref = [lo_hi[2 * i] - 0.05 * (lo_hi[2 * i + 1] - lo_hi[2 * i]) for i in range(len(objectives))]
-    whole = hypervolume(truth, objectives, ref).first()[0]
-    return _with_hypervolume(rows, mine, objectives, ref, whole, by).withColumn("global_hv", F.lit(whole))
-
-
-def _with_hypervolume(rows: DataFrame, mine: DataFrame, objectives, ref, whole: float, by: list[str]) -> DataFrame:
-    if not by:
-        part = hypervolume(mine, objectives, ref)
-        return rows.withColumn("hv_frac", F.coalesce(part.scalar(), F.lit(0.0)) / F.lit(whole) if whole > 0 else F.lit(0.0))
-    # few groups (campaigns or strategies of one comparison): one volume each
-    out = None
-    for g in mine.select(*by).distinct().collect():
-        cond = F.lit(True)
-        for c in by:
-            cond = cond & F.col(c).eqNullSafe(F.lit(g[c]))
-        one = _with_hypervolume(rows.filter(cond), mine.filter(cond), objectives, ref, whole, [])
-        out = one if out is None else out.unionByName(one)
-    return out
+    whole = hypervolume(front, objectives, ref).first()[0]
+    if by:
+        parts = grouped_hypervolume(mine, by, objectives, ref).withColumnRenamed("hypervolume", "_hv")
+        rows = rows.join(parts, by, "left")
+    else:
+        rows = rows.withColumn("_hv", hypervolume(mine, objectives, ref).scalar())
+    share = ratio(F.coalesce("_hv", F.lit(0.0)), F.lit(whole))
+    return rows.withColumn("hv_frac", share).withColumn("global_hv", F.lit(whole)).drop("_hv")
+
+
+def run_summary(rows: DataFrame, wall_s: float, history_len: int, **labels) -> DataFrame:
+    """A run's report row with its wall time, number of rounds and identifying labels."""
+    extra = {k: F.lit(v) for k, v in labels.items()}
+    return rows.withColumns({"wall_clock_s": F.lit(round(wall_s, 3)), "history_len": F.lit(history_len), **extra})
 
 
 def round_history(labels: DataFrame, items: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pickwise.operators.scale import blocks
+from pickwise.operators.scale import BLOCK_ROWS, blocks
 from pickwise.session import cut_lineage
 
 SLABS = 64
@@ -50,6 +50,14 @@ def _local_skyline(names: list[str]):
     return run
 
 
+def local_fronts(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
+    """Every partition's own skyline, pinned: one pass that drops nearly all rows and never a front row."""
+    names = list(objectives)
+    schema = ", ".join(f"{n} DOUBLE" for n in names)
+    clean = df.select(*[F.col(n).cast("double").alias(n) for n in names]).dropna()
+    return cut_lineage(clean.mapInPandas(_local_skyline(names), schema).distinct())
+
+
 def front_points(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Distinct objective vectors of the front.
 
@@ -58,8 +66,7 @@ def front_points(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """
     names = list(objectives)
     schema = ", ".join(f"{n} DOUBLE" for n in names)
-    clean = df.select(*[F.col(n).cast("double").alias(n) for n in names]).dropna()
-    local = cut_lineage(clean.mapInPandas(_local_skyline(names), schema).distinct())
+    local = local_fronts(df, names)
     left = local
     spark = df.sparkSession
     for rows in blocks(local):
@@ -93,19 +100,24 @@ def reference_point(df: DataFrame, objectives: Sequence[str], margin: float = 0.
     return df.agg(*[one(n) for n in objectives])
 
 
-def hypervolume_2d(df: DataFrame, x: str, y: str, ref: tuple[float, float], buckets: int = SLABS) -> DataFrame:
+def hypervolume_2d(
+    df: DataFrame, x: str, y: str, ref: tuple[float, float], buckets: int = SLABS,
+    one_bucket: int = BLOCK_ROWS,
+) -> DataFrame:
     """Area dominated by the points above ``ref``.
 
-    The area is the integral over x of the best y at or beyond x. x is cut into buckets; each bucket
-    integrates alone, given the best y of the buckets beyond it, so no global sort is needed.
+    The area is the integral over x of the best y at or beyond x. A first pass keeps each partition's
+    skyline. Where many points are left, x is cut into buckets; each bucket integrates alone, given
+    the best y of the buckets beyond it, so no global sort is needed.
     """
     rx, ry = (float(r) for r in ref)
-    pts = (
-        df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        .filter((F.col("x") > rx) & (F.col("y") > ry))
-        .groupBy("x").agg(F.max("y").alias("y"))
+    inside = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(
+        (F.col("x") > rx) & (F.col("y") > ry)
     )
-    edges = pts.agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    pts = local_fronts(inside, ["x", "y"]).groupBy("x").agg(F.max("y").alias("y"))
+    edges = []
+    if pts.count() > one_bucket:
+        edges = pts.agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
     edges = sorted(set(edges))
     bucket = F.lit(0)
     for e in edges:
@@ -177,3 +189,42 @@ def hypervolume(df: DataFrame, objectives: Sequence[str], ref: Sequence[float],
         return pd.DataFrame({"v": [_volume(pts, np.array([*ref[:-1], low]))]})
 
     return spread.groupBy("slab").applyInPandas(share, "v DOUBLE").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("hypervolume"))
+
+
+def grouped_hypervolume(df: DataFrame, by: Sequence[str], objectives: Sequence[str], ref: Sequence[float]) -> DataFrame:
+    """Dominated hypervolume per group, for any number of groups in one job.
+
+    Each partition first keeps its skyline per group, so a group brings its front and not its rows
+    to one task. A group whose front is still too long for one task is integrated on its own.
+    """
+    by, names, corner = list(by), list(objectives), np.array([float(r) for r in ref])
+    types = dict(df.dtypes)
+    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(by, dropna=False, sort=False):
+                pts = part[names].to_numpy(dtype=np.float64)
+                pts = pts[(pts > corner).all(axis=1)]
+                held[key] = _skyline(np.vstack([held[key], pts]) if key in held else pts)
+        for key, pts in held.items():
+            yield pd.DataFrame(pts, columns=names).assign(**dict(zip(by, key)))[[*by, *names]]
+
+    def volume(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, _volume(_skyline(pdf[names].to_numpy(dtype=np.float64)), corner))], columns=[*by, "hypervolume"])
+
+    values = ", ".join(f"{n} DOUBLE" for n in names)
+    clean = df.select(*by, *[F.col(n).cast("double").alias(n) for n in names]).dropna(subset=names)
+    fronts = cut_lineage(clean.mapInPandas(local, f"{keys}, {values}"))
+    sizes = fronts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    long = sizes.filter(F.col("_n") > BLOCK_ROWS).drop("_n")
+    short = fronts.join(long, by, "left_anti") if not long.isEmpty() else fronts
+    out = short.groupBy(*by).applyInPandas(volume, f"{keys}, hypervolume DOUBLE")
+    for g in long.collect():
+        cond = F.lit(True)
+        for c in by:
+            cond = cond & F.col(c).eqNullSafe(F.lit(g[c]))
+        one = hypervolume(fronts.filter(cond), names, ref)
+        out = out.unionByName(one.select(*[F.lit(g[c]).cast(types[c]).alias(c) for c in by], "hypervolume"))
+    return out

@@ -40,13 +40,19 @@ class Plate:
         return self
 
 
+def padded(number: Column, width: int) -> Column:
+    """Zero-padded text; longer numbers keep all their digits."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def compound_id(pool_idx: Column) -> Column:
-    return F.format_string("CMP%07d", pool_idx)
+    return F.concat(F.lit("CMP"), padded(pool_idx, 7))
 
 
 def well(slot: Column, cols: int) -> Column:
     """Slot 0 is A01, then along the row."""
-    return F.concat(F.chr(F.lit(65) + F.floor(slot / cols)), F.format_string("%02d", slot % cols + 1))
+    return F.concat(F.chr(F.lit(65) + F.floor(slot / cols)), padded(slot % cols + 1, 2))
 
 
 def over_capacity(items: DataFrame, plate: Plate) -> DataFrame:

@@ -17,6 +17,15 @@ BLOCK_ROWS = 50_000
 _LOCAL_BITS = 33
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread an input that fills fewer partitions than there are cores, such as one small file.
+
+    A large input already has more partitions than cores and is left alone, so no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def order_statistics(df: DataFrame, value: str | Column, ranks: Sequence[int]) -> dict[int, float]:
     """Exact ``rank``-th smallest values (1-based), nulls and NaN left out.
 

@@ -178,6 +178,46 @@ def select_round(spark, d):
     return _out(ca.select_round(ease, labels, rules, taken=first))
 
 
+def _pick(prev: str, r: int, seed: int, k: str) -> str:
+    u = U.format(seed=seed)
+    return f"""r{r} AS (SELECT pool_idx, a, {r} AS round FROM (SELECT pool_idx, a, row_number() OVER (ORDER BY {u} DESC, pool_idx) AS n FROM tr WHERE pool_idx NOT IN (SELECT pool_idx FROM ({prev}))) WHERE n <= {k})"""
+
+
+BACKTEST_SQL = f"""WITH tr AS (SELECT vec_id AS pool_idx, label::DOUBLE AS a FROM embeddings),
+{_pick('SELECT -1 AS pool_idx', 0, 0, '(SELECT greatest(1, floor(0.04::DOUBLE * count(*))) FROM tr)')}, {_pick('FROM r0', 1, 1, '20')},
+{_pick('FROM r0 UNION ALL FROM r1', 2, 2, '20')}, l AS (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2), rounds AS (SELECT DISTINCT round FROM l),
+ranked AS (SELECT pool_idx, row_number() OVER (ORDER BY a DESC, pool_idx) AS rk FROM tr), h AS (SELECT pool_idx FROM ranked WHERE rk <= greatest(1, ceil(0.01::DOUBLE * (SELECT count(*) FROM tr))))
+SELECT rounds.round, count(*) AS n_labeled, round(avg(a), 9) AS mean_activity, round(count(*) FILTER (WHERE pool_idx IN (SELECT pool_idx FROM h)) / (SELECT count(*) FROM h)::DOUBLE, 9) AS top1_recall
+FROM rounds JOIN l ON l.round <= rounds.round GROUP BY 1"""
+BACKTEST_SQL = BACKTEST_SQL.replace("SELECT pool_idx FROM (FROM r0 UNION ALL FROM r1)", "SELECT pool_idx FROM r0 UNION ALL SELECT pool_idx FROM r1").replace("SELECT pool_idx FROM (FROM r0)", "SELECT pool_idx FROM r0")
+
+
+@query(BACKTEST_SQL)
+def backtest_random(spark, d):
+    """The closed loop under random selection, which SQL can follow step by step."""
+    from dataclasses import replace
+
+    candidates, truth = _library(spark, d)
+    labels = ca.run_campaign(candidates, ca.evaluate_from(truth, ["activity"]), replace(RULES, acquisition="random"), 2)
+    r = ca.history(truth, labels, ["activity"])
+    return r.select("round", "n_labeled", F.round("mean_activity", 9).alias("mean_activity"), F.round("top1_recall", 9).alias("top1_recall"))
+
+
+@query(f"""WITH {t.TRUTH}, obs AS (SELECT DISTINCT l_returnflag AS g, l_partkey AS pool_idx FROM lineitem WHERE l_quantity >= 49), m AS (SELECT g, t.* FROM obs JOIN truth t USING (pool_idx)),
+lim AS (SELECT min(activity) - 0.05::DOUBLE * (max(activity) - min(activity)) AS rx, min(qed) - 0.05::DOUBLE * (max(qed) - min(qed)) AS ry FROM truth),
+ga AS (SELECT 'all' AS g, activity AS x, max(qed) AS y FROM truth GROUP BY ALL UNION ALL SELECT g, activity, max(qed) FROM m GROUP BY ALL),
+h AS (SELECT g, x, max(y) OVER w AS top, lead(x) OVER w AS nx FROM ga WINDOW w AS (PARTITION BY g ORDER BY x DESC)), v AS (SELECT g, sum((x - coalesce(nx, rx)) * (top - ry)) AS v FROM h, lim GROUP BY g),
+front AS (SELECT pool_idx FROM truth a WHERE NOT EXISTS (SELECT 1 FROM truth b WHERE b.activity >= a.activity AND b.qed >= a.qed AND (b.activity > a.activity OR b.qed > a.qed)))
+SELECT g, count(*) AS n_labeled, round(max(v) / (SELECT v FROM v WHERE g = 'all'), 9) AS hv_frac, round(count(*) FILTER (WHERE pool_idx IN (SELECT pool_idx FROM front)) / (SELECT count(*) FROM front)::DOUBLE, 9) AS pareto_recall
+FROM m JOIN v USING (g) GROUP BY g""")
+def grouped_report(spark, d):
+    """One report row per group of labelled candidates, with the Pareto figures."""
+    li = t.table(spark, d, "lineitem").filter("l_quantity >= 49")
+    labelled = li.select(F.col("l_returnflag").alias("g"), F.col("l_partkey").alias("pool_idx"))
+    r = report(t.truth(spark, d), labelled, ["activity", "qed"], by=["g"])
+    return r.select("g", "n_labeled", F.round("hv_frac", 9).alias("hv_frac"), F.round("pareto_recall", 9).alias("pareto_recall"))
+
+
 @query()
 def backtest(spark, d):
     """A closed loop of three rounds, reported per round."""
@@ -192,15 +232,13 @@ def backtest(spark, d):
 def text_library(spark, d):
     """Documents as candidates: pair fingerprints stored once, text length as the hidden activity."""
     from pickwise.functions.fingerprints import fingerprint
+    from pickwise.operators.scale import use_all_cores
     from pickwise.session import scratch_path
     from pickwise.sources.tables import read_fingerprints, write_fingerprints
 
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("pool_idx"), "text")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # one small file: hashing would run on one core
-        docs = docs.repartition(cores)
     path = scratch_path(spark, "fingerprints")
-    write_fingerprints(fingerprint(docs), path)
+    write_fingerprints(fingerprint(use_all_cores(docs)), path)
     truth = t.table(spark, d, "documents").select(F.col("doc_id").alias("pool_idx"), F.log(F.col("n_chars") + 1.0).alias("activity"))
     return read_fingerprints(spark, path), truth
 

@@ -11,6 +11,7 @@ from pickwise.functions.states import contributes, usable
 from pickwise.operators import align as al
 from pickwise.operators import feasibility as fe
 from pickwise.operators import jobs as jb
+from pickwise.operators.scale import use_all_cores
 from pickwise.plans import tables as t
 from pickwise.plans.registry import query
 from pickwise.session import scratch_path
@@ -271,7 +272,7 @@ b AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform([1, 2, 3], lambda k:
  coalesce((SELECT sum(bit)::BIGINT FROM b WHERE b.doc_id = toks.doc_id), 0) AS bit_sum FROM toks""")
 def pair_fingerprint(spark, d):
     docs = t.table(spark, d, "documents").select("doc_id", "text")
-    fps = fpf.fingerprint(docs)
+    fps = fpf.fingerprint(use_all_cores(docs))
     total = F.aggregate("fp", F.lit(0).cast("bigint"), lambda a, x: a + x)
     count = F.coalesce("popcount", F.lit(0)).cast("bigint")
     return fps.select("doc_id", "valid", count.alias("popcount"), F.coalesce(total, F.lit(0)).alias("bit_sum"))

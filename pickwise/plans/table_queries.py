@@ -13,6 +13,7 @@ from pickwise.operators import pareto as pa
 from pickwise.operators import similarity as si
 from pickwise.plans import tables as t
 from pickwise.plans.registry import query
+from pickwise.session import cut_lineage
 
 # ---- joins --------------------------------------------------------------------------------------
 
@@ -384,10 +385,11 @@ f AS (SELECT campaign_id, pool_idx, min(round) AS round FROM it WHERE {t.CONTRIB
 s AS (SELECT campaign_id, round, count(*) AS submitted, count(*) FILTER (WHERE {t.CONTRIBUTES}) AS completed, count(*) FILTER (WHERE state = 'FAILED') AS failed, count(*) FILTER (WHERE state = 'QC_REJECTED') AS qc_rejected FROM it GROUP BY ALL)
 SELECT s.*, sum(coalesce(g, 0)) OVER (PARTITION BY campaign_id ORDER BY round)::BIGINT AS n_labeled FROM s LEFT JOIN g USING (campaign_id, round)""")
 def round_history(spark, d):
-    obs = ob.dedupe(t.observations(spark, d), t.OBS_ORDER)
     led = t.ledger(spark, d).select("job_id", "campaign_id", "round")
-    items = obs.join(led, "job_id")
-    outcomes = ob.outcome_counts(obs, obs).join(led, "job_id")
+    obs = ob.dedupe(t.observations(spark, d).drop("smiles", "compound_id"), t.OBS_ORDER)
+    # wanted three times below: de-duplicated once
+    items = cut_lineage(obs.join(led, "job_id").drop("ts", "quantity", "price"))
+    outcomes = ob.outcome_counts(items, items).join(led, "job_id")
     return me.round_history(ob.contributing(items), items, outcomes)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pickwise.functions.fingerprints import positive_bits
 from pickwise.operators.plates import compound_id
+from pickwise.operators.scale import use_all_cores
 
 OBS_ORDER = ["ts", "pool_idx", "quantity", "price"]
 EMBEDDING_BITS = 64
@@ -50,7 +51,7 @@ TRUTH = "truth AS (SELECT p_partkey AS pool_idx, -p_retailprice AS activity, p_s
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result events; item ids repeat, so the log holds real duplicates."""
     flag = F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").select(
+    return use_all_cores(table(spark, sf_dir, "lineitem")).select(
         F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"),
         F.col("l_orderkey").alias("job_id"),
         F.col("l_partkey").alias("pool_idx"),

@@ -128,3 +128,25 @@ def test_many_labels_go_to_mllib(spark, library):
 def test_bit_features(spark):
     df = bit_features(spark.createDataFrame([(0, [3, 1])], "pool_idx BIGINT, fp ARRAY<INT>"), n_bits=5, name="v")
     assert df.first().v.toArray().tolist() == [0, 1, 0, 1, 0]
+
+
+def test_plate_round(spark):
+    from pickwise.operators.plates import Plate
+
+    cands = spark.createDataFrame([(i, [i % 5, 5 + i % 3]) for i in range(12)], "pool_idx BIGINT, fp ARRAY<INT>")
+    sel = spark.createDataFrame([(i + 1, i, 1.0 - i / 20, "ucb") for i in range(8)], "rank INT, pool_idx BIGINT, score DOUBLE, strategy STRING")
+    controls = spark.createDataFrame([("positive", 0, 10), ("negative", 0, 11)], "kind STRING, rank INT, pool_idx BIGINT")
+    wells = ca.plate_round(sel, cands, controls, Plate(6, 1, 1, 1, 2), "j", n_bits=8).collect()
+    assert len(wells) == 11
+    first = [w.pool_idx for w in sorted(wells, key=lambda w: w.slot) if w.kind == "experimental"]
+    assert first[0] == 0 and len(set(first)) == 6 and set(first) <= set(range(8))
+    plain = ca.plate_round(sel.withColumn("strategy", F.lit("random")), cands, controls, Plate(6, 1, 1, 1, 2), "j").collect()
+    assert [w.pool_idx for w in sorted(plain, key=lambda w: w.slot)][:6] == list(range(6))
+
+
+def test_run_summary(spark, library):
+    from pickwise.operators.metrics import run_summary
+
+    _, truth = library
+    row = run_summary(ca.history(truth, truth.limit(5), ["activity"], rounds=False), 1.23456, 6, acquisition="ucb", seed=0).first()
+    assert (row.wall_clock_s, row.history_len, row.acquisition, row.n_labeled) == (1.235, 6, "ucb", 5)

@@ -52,7 +52,11 @@ def test_hypervolume_equals_the_grid(spark, dim):
 def test_hypervolume_many_buckets(spark):
     y = np.random.default_rng(9).random((500, 2))
     df, names = points(spark, y)
-    assert pa.hypervolume(df, names, [0.0, 0.0]).first()[0] == pytest.approx(pa._volume(y, np.zeros(2)))
+    whole = pytest.approx(pa._volume(y, np.zeros(2)))
+    assert pa.hypervolume(df, names, [0.0, 0.0]).first()[0] == whole
+    wide = np.column_stack([np.arange(300.0), 300 - np.arange(300.0)]) + 1  # every point is on the front
+    df2, _ = points(spark, wide)
+    assert pa.hypervolume_2d(df2, "o0", "o1", (0.0, 0.0), one_bucket=0).first()[0] == pytest.approx(pa._volume(wide, np.zeros(2)))
     assert pa.hypervolume(df.filter("o0 > 5"), names, [0.0, 0.0]).first()[0] == 0.0
 
 
@@ -91,3 +95,13 @@ def test_dense_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.0, 0.0])], "pool_idx BIGINT, fp ARRAY<DOUBLE>")
     got = {r.pool_idx: r.max_sim for r in si.max_tanimoto(df, df.filter("pool_idx = 0"), dense=True).collect()}
     assert got == {0: pytest.approx(5 / (3 + 3 - 5)), 1: 0.0}
+
+
+def test_grouped_hypervolume(spark, monkeypatch):
+    y = np.random.default_rng(11).random((120, 3))
+    df, names = points(spark, y)
+    df = df.withColumn("g", df.id % 3)
+    want = {g: pytest.approx(pa._volume(y[[i for i in range(120) if i % 3 == g]], np.zeros(3))) for g in range(3)}
+    assert {r.g: r.hypervolume for r in pa.grouped_hypervolume(df, ["g"], names, [0.0] * 3).collect()} == want
+    monkeypatch.setattr(pa, "BLOCK_ROWS", 5)  # fronts too long for one task
+    assert {r.g: r.hypervolume for r in pa.grouped_hypervolume(df, ["g"], names, [0.0] * 3).collect()} == want
