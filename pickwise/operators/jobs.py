@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pickwise.functions.states import inflight, job_candidate, open_job, terminal
-from pickwise.operators.scale import grouped_index
+from pickwise.operators.scale import global_index, top_k_per
 
 # A job fails after this many poll errors in a row, or when lost again after this many re-submissions.
 MAX_POLL_FAILS = 8
@@ -158,28 +158,38 @@ def poll_outcomes(
 
     A job ends at its first DONE or REFUSED poll, at the ``max_poll_fails``-th ERROR in a row (a LOST
     poll neither adds nor resets), or when LOST once more after ``max_resubmit`` re-submissions.
-    Runs of errors are the gaps between two dense numberings, so no job is replayed in one task.
+    Errors follow each other without a gap when their numbers among all answers and among the errors
+    grow alike, so no job's log is replayed in one task.
     """
-    placed = grouped_index(polls.select("job_id", "outcome", order), ["job_id"], [order], "at")
-    answers = grouped_index(placed.filter(F.col("outcome") != "LOST"), ["job_id"], ["at"], "answer_at")
-    errors = grouped_index(answers.filter(F.col("outcome") == "ERROR"), ["job_id"], ["at"], "error_at")
-    errors = errors.withColumn("run", F.col("answer_at") - F.col("error_at"))
-    in_run = grouped_index(errors, ["job_id", "run"], ["at"], "run_at")
-    lost = grouped_index(placed.filter(F.col("outcome") == "LOST"), ["job_id"], ["at"], "lost_at")
-
-    def first_at(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("job_id").agg(F.min("at").alias(name))
-
+    log = polls.select("job_id", "outcome", F.col(order).alias("ord"))
+    outcome = F.col("outcome")
+    answers = global_index(log.filter(outcome != "LOST"), ["job_id", "ord"], "at")
+    errors = global_index(answers.filter(outcome == "ERROR"), ["at"], "nth").select("job_id", "ord", "at", "nth")
+    back = max_poll_fails - 1
+    begun = errors.select("job_id", (F.col("nth") + back).alias("nth"), (F.col("at") + back).alias("at"))
+    failed = errors.join(begun, ["job_id", "nth", "at"]).groupBy("job_id").agg(F.min("ord").alias("failed_at"))
+    lost = top_k_per(log.filter(outcome == "LOST"), ["job_id"], [F.asc("ord")], max_resubmit + 1, "n")
+    gone = lost.filter(F.col("n") == max_resubmit + 1).select("job_id", F.col("ord").alias("gone_at"))
     ends = (
-        placed.groupBy("job_id").agg(
-            F.min(F.when(F.col("outcome") == "DONE", F.col("at"))).alias("done_at"),
-            F.min(F.when(F.col("outcome") == "REFUSED", F.col("at"))).alias("refused_at"),
+        log.groupBy("job_id").agg(
+            F.min(F.when(outcome == "DONE", F.col("ord"))).alias("done_at"),
+            F.min(F.when(outcome == "REFUSED", F.col("ord"))).alias("refused_at"),
         )
-        .join(first_at(in_run.filter(F.col("run_at") == max_poll_fails - 1), "failed_at"), "job_id", "left")
-        .join(first_at(lost.filter(F.col("lost_at") == max_resubmit), "gone_at"), "job_id", "left")
-        .withColumn("end_at", F.least("done_at", "refused_at", "failed_at", "gone_at"))
+        .join(failed, "job_id", "left").join(gone, "job_id", "left")
+        .select("job_id", "done_at", F.least("done_at", "refused_at", "failed_at", "gone_at").alias("end_at"))
+    )
+    live = log.join(ends, "job_id").filter(F.col("end_at").isNull() | (F.col("ord") <= F.col("end_at")))
+    folded = live.groupBy("job_id", "end_at", "done_at").agg(
+        F.count_if(outcome == "RUNNING").alias("n_running"),
+        F.count_if(outcome == "LOST").alias("n_lost"),
+        F.max(F.when(outcome.isin("RUNNING", "DONE"), F.col("ord"))).alias("reset_at"),
+        F.count(F.lit(1)).alias("n_polls"),
+    )
+    after_reset = F.col("reset_at").isNull() | (F.col("ord") > F.col("reset_at"))
+    open_errors = (
+        live.filter(outcome == "ERROR").select("job_id", "ord").join(folded.select("job_id", "reset_at"), "job_id")
+        .groupBy("job_id").agg(F.count_if(after_reset).alias("_e"))
     )
-    live = placed.join(ends, "job_id").filter(F.col("end_at").isNull() | (F.col("at") <= F.col("end_at")))
     ended = F.col("end_at").isNotNull()
     status = (
         F.when(ended & F.coalesce(F.col("end_at") == F.col("done_at"), F.lit(False)), F.lit("DONE"))
@@ -187,22 +197,7 @@ def poll_outcomes(
         .when(F.col("n_running") + F.col("n_lost") > 0, F.lit("RUNNING"))
         .otherwise(F.lit("SUBMITTED"))
     )
-    reset = F.max(F.when(F.col("outcome").isin("RUNNING", "DONE"), F.col("at")))
-    folded = live.groupBy("job_id", "end_at", "done_at", "failed_at", "gone_at", "refused_at").agg(
-        F.count_if(F.col("outcome") == "RUNNING").alias("n_running"),
-        F.count_if(F.col("outcome") == "LOST").alias("n_lost"),
-        F.coalesce(reset, F.lit(-1)).alias("reset_at"),
-        F.count(F.lit(1)).alias("n_polls"),
-    )
-    open_errors = (
-        live.filter(F.col("outcome") == "ERROR").select("job_id", "at")
-        .join(folded.select("job_id", "reset_at"), "job_id")
-        .groupBy("job_id").agg(F.count_if(F.col("at") > F.col("reset_at")).alias("_e"))
-    )
     return folded.join(open_errors, "job_id", "left").select(
-        "job_id",
-        status.alias("status"),
-        F.least("n_lost", F.lit(max_resubmit)).alias("retry_count"),
-        F.coalesce("_e", F.lit(0)).alias("poll_fail_count"),
-        "n_polls",
+        "job_id", status.alias("status"), F.least("n_lost", F.lit(max_resubmit)).alias("retry_count"),
+        F.coalesce("_e", F.lit(0)).alias("poll_fail_count"), "n_polls",
     )

@@ -245,12 +245,12 @@ def _batches(spark, d):
 
 def _controls(spark, d):
     s = t.table(spark, d, "supplier")
-    kind = F.when(F.col("s_acctbal") > 5000, F.lit("positive")).otherwise(F.lit("negative"))
+    kind = F.when(F.col("s_acctbal") > 1000, F.lit("positive")).otherwise(F.lit("negative"))
     return s.select(kind.alias("kind"), F.col("s_suppkey").alias("rank"), F.col("s_suppkey").alias("pool_idx"))
 
 
-@query(f"""WITH {BATCHES}, p AS (SELECT s_suppkey AS pool_idx, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier WHERE s_acctbal > 5000),
-m AS (SELECT s_suppkey AS pool_idx, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier WHERE s_acctbal <= 5000),
+@query(f"""WITH {BATCHES}, p AS (SELECT s_suppkey AS pool_idx, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier WHERE s_acctbal > 1000),
+m AS (SELECT s_suppkey AS pool_idx, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier WHERE s_acctbal <= 1000),
 w AS (SELECT job_id, slot, pool_idx, 'experimental' AS kind, '-' AS replicate_of FROM x
  UNION ALL SELECT job_id, n + k - 1, pool_idx, 'positive', '-' FROM n, p WHERE k <= 2
  UNION ALL SELECT job_id, n + 2 + k - 1, pool_idx, 'negative', '-' FROM n, m WHERE k <= 1
