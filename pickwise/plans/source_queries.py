@@ -55,7 +55,7 @@ def scan_labels(spark, d):
 
 LABEL_RULES = dict(method="mean", max_std=14.0)
 LABEL_SQL = f"""WITH {t.DEDUPED}, s AS (SELECT pool_idx, count(*) AS n, avg(v) AS a, stddev_pop(v) AS sd FROM deduped WHERE {t.CONTRIBUTES} GROUP BY pool_idx)
-SELECT pool_idx, n, round(a, 6) AS agg0, round(sd, 6) AS std0 FROM s WHERE NOT (n >= 2 AND sd > 14)"""
+SELECT pool_idx, n, round(a, 6) AS agg0, round(sd, 6) AS std0 FROM s WHERE NOT (n >= 2 AND sd > 14 * (1 + 1e-12::DOUBLE))"""
 
 
 @query(LABEL_SQL)

@@ -121,7 +121,7 @@ def candidate_release(spark, d):
 
 
 SYNC_SQL = FOLD_SQL + """, l AS (SELECT user_id AS pool_idx, stddev_pop(value) AS sd, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1),
-lab AS (SELECT pool_idx FROM l WHERE NOT (n >= 2 AND sd > 10)), bad AS (SELECT pool_idx FROM l WHERE n >= 2 AND sd > 10),
+lab AS (SELECT pool_idx FROM l WHERE NOT (n >= 2 AND sd > 10 * (1 + 1e-12::DOUBLE))), bad AS (SELECT pool_idx FROM l WHERE n >= 2 AND sd > 10 * (1 + 1e-12::DOUBLE)),
 m AS (SELECT state.*, pool_idx IN (SELECT pool_idx FROM lab) AS is_lab, pool_idx IN (SELECT pool_idx FROM bad) AND phase NOT IN ('LABELED', 'QC_REJECTED', 'DEAD_LETTER', 'RETRYABLE', 'FAILED', 'CONTROL') AS is_bad FROM state)
 SELECT pool_idx, CASE WHEN is_lab THEN 'LABELED' WHEN is_bad THEN CASE WHEN qc_retries + 1 <= 1 THEN 'RETRYABLE' ELSE 'QC_REJECTED' END ELSE phase END AS phase,
  fail_retries, CASE WHEN is_bad AND NOT is_lab THEN qc_retries + 1 ELSE qc_retries END AS qc_retries FROM m"""

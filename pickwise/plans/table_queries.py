@@ -215,7 +215,7 @@ def agg_median(spark, d):
     return _stats(spark, d, "median")
 
 
-@query(AGG_SQL + " SELECT pool_idx, n, round(sd, 6) AS std0, n >= 2 AND sd > 14 AS rejected FROM s")
+@query(AGG_SQL + " SELECT pool_idx, n, round(sd, 6) AS std0, n >= 2 AND sd > 14 * (1 + 1e-12::DOUBLE) AS rejected FROM s")
 def agg_qc(spark, d):
     stats = ob.replicate_stats(ob.dedupe(t.observations(spark, d), t.OBS_ORDER), 1, t.OBS_ORDER)
     good, bad = ob.split_labels(stats, 14.0)

@@ -83,3 +83,9 @@ def test_several_objectives(spark):
     rows = [("a", 0, [1.0, 10.0], "COMPLETED", True, "experimental"), ("b", 0, [2.0, 30.0], "COMPLETED", True, "replicate")]
     r = ob.replicate_stats(obs(spark, rows), 2, ["ts"], "median").first()
     assert (r.agg0, r.agg1, r.std0, r.std1) == (1.5, 20.0, 0.5, 10.0)
+
+
+def test_spread_at_the_limit_is_accepted(spark):
+    stats = spark.createDataFrame([(0, 2, 14.000000000000002), (1, 2, 14.0), (2, 2, 14.001)], "pool_idx BIGINT, n BIGINT, std0 DOUBLE")
+    good, bad = ob.split_labels(stats, 14.0)
+    assert sorted(r.pool_idx for r in good.collect()) == [0, 1] and [r.pool_idx for r in bad.collect()] == [2]
