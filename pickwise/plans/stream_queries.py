@@ -8,7 +8,6 @@ from pickwise.plans import state_queries as sq
 from pickwise.plans import tables as t
 from pickwise.plans.registry import query
 from pickwise.session import scratch_path
-from pickwise.sources.stores import load_version
 from pickwise.streaming import ingest as ing
 
 
@@ -35,8 +34,8 @@ def stream_dedupe(spark, d):
 @query(f"WITH {t.OBS} SELECT pool_idx, count(*) AS n, round(avg(v), 6) AS agg0, round(stddev_pop(v), 6) AS std0 FROM obs WHERE {t.CONTRIBUTES} GROUP BY pool_idx")
 def stream_labels(spark, d):
     out = scratch_path(spark, "labels")
-    _run(spark, ing.stream_labels(_stream(spark, d, t.observations)), ing.upsert_latest(out, "pool_idx"), "update")
-    return load_version(spark, out).select("pool_idx", "n", F.round("agg0", 6).alias("agg0"), F.round("std0", 6).alias("std0"))
+    _run(spark, ing.stream_labels(_stream(spark, d, t.observations)), ing.append_updates(out), "update")
+    return ing.latest_rows(spark, out, "pool_idx").select("pool_idx", "n", F.round("agg0", 6).alias("agg0"), F.round("std0", 6).alias("std0"))
 
 
 @query(f"WITH {t.OBS} SELECT pool_idx, round(median(v), 6) AS agg0 FROM obs WHERE {t.CONTRIBUTES} GROUP BY pool_idx")
@@ -52,13 +51,13 @@ def stream_medians(spark, d):
 def stream_candidates(spark, d):
     """The batch rules on a stream; the order of arrival does not matter."""
     out = scratch_path(spark, "phases")
-    _run(spark, ing.stream_phases(_stream(spark, d, t.events), "ord"), ing.upsert_latest(out, "pool_idx"), "update")
-    return load_version(spark, out)
+    _run(spark, ing.stream_phases(_stream(spark, d, t.events), "ord"), ing.append_updates(out), "update")
+    return ing.latest_rows(spark, out, "pool_idx")
 
 
 @query(sq._marks_sql(f"CASE WHEN event_type = 'purchase' THEN 'RELEASE' ELSE {sq.MARK_OPS} END"))
 def stream_marks(spark, d):
-    """Marks and results folded on top of the last snapshot, micro-batch after micro-batch in order."""
+    """Marks and results folded on top of the state so far, micro-batch after micro-batch in order."""
     def view(s, sf):
         return sq._marks(s, sf, True)
 
@@ -68,12 +67,12 @@ def stream_marks(spark, d):
     early, late = f"{path}/a", f"{path}/b"
     rows.filter(F.col("ord") <= cut).coalesce(1).write.parquet(early)
     state = scratch_path(spark, "stream-state")
-    sink = ing.fold_into_snapshots(out, "ord")
+    sink = ing.fold_into_states(out, "ord")
     ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
     rows.filter(F.col("ord") > cut).coalesce(1).write.parquet(late)
     # a second run goes on from the checkpoint of the first
     ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
-    return load_version(spark, out).withColumn("job_id", F.coalesce("job_id", F.lit("-")))
+    return ing.latest_rows(spark, out, "pool_idx").withColumn("job_id", F.coalesce("job_id", F.lit("-")))
 
 
 @query(f"WITH {t.OBS} SELECT (SELECT count(*) FROM obs) AS n_obs, (SELECT count(DISTINCT pool_idx) FROM obs WHERE {t.CONTRIBUTES}) AS n_labels, 2::BIGINT AS n_batches")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pickwise.functions.states import contributes, open_job
+from pickwise.operators.jobs import latest
 from pickwise.operators.lifecycle import fold_events, observation_phases
 from pickwise.operators.observations import event_key, grouped_median
-from pickwise.sources.stores import load_version, versions
+from pickwise.sources.stores import versions
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -57,16 +58,33 @@ def append_to_log(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def fold_into_snapshots(path: str, order: str, max_fail_retries: int = 1, max_qc_retries: int = 1):
-    """Sink for marks mixed with results: each micro-batch is folded on top of the last snapshot."""
+def latest_rows(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    """Last written row per key over all finished micro-batches (those below ``before``)."""
+    root = path.rstrip("/")
+    folders = [f"{root}/version={v}" for v in versions(spark, path) if before is None or v < before]
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", root).parquet(*folders)
+    return latest(rows, key, "version").drop("version")
+
+
+def fold_into_states(path: str, order: str, max_fail_retries: int = 1, max_qc_retries: int = 1):
+    """Sink for marks mixed with results: each micro-batch is folded on top of the state so far.
+
+    Only the candidates a micro-batch touches are read back and written again; ``latest_rows`` gives
+    the whole state.
+    """
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         if not _is_new(spark, path, batch_id):
             return
-        earlier = [v for v in versions(spark, path) if v < batch_id]
-        prior = load_version(spark, path, earlier[-1]) if earlier else None
+        df.persist()
+        prior = latest_rows(spark, path, "pool_idx", before=batch_id)
+        if prior is not None:
+            prior = prior.join(df.select("pool_idx").distinct(), "pool_idx", "left_semi")
         state = fold_events(df, order, max_fail_retries, max_qc_retries, prior)
         state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={batch_id}")
+        df.unpersist()
 
     return write
 
@@ -127,16 +145,6 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable, mode: str
     return query
 
 
-def upsert_latest(out_path: str, key: str):
-    """Sink for update-mode results: each version holds every key's latest row."""
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        if not _is_new(spark, out_path, batch_id):
-            return
-        earlier = [v for v in versions(spark, out_path) if v < batch_id]
-        if earlier:
-            old = load_version(spark, out_path, earlier[-1])
-            df = old.join(df.select(key), key, "left_anti").unionByName(df)
-        df.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/version={batch_id}")
-
-    return write
+def append_updates(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink for update-mode results: writes the changed rows only; read them with ``latest_rows``."""
+    return append_to_log(path)
