@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pickwise.functions.states import inflight
 from pickwise.operators import align as al
 from pickwise.operators import jobs as jb
 from pickwise.operators import metrics as me
