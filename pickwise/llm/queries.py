@@ -110,3 +110,34 @@ def op7_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pickwise.llm.best_region import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    import public_tokenizers
+
+    from pickwise.llm.grouping_pack import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_WORD_SETS = r"""docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+  sets AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs),
+  tokens AS (SELECT r, unnest(s) AS t FROM sets),
+  common AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM tokens a JOIN tokens b ON a.t = b.t AND a.r < b.r GROUP BY ALL),
+  links AS (SELECT x, y FROM common JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n))"""
+
+
+@query(f"""WITH RECURSIVE {_WORD_SETS},
+  both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reach AS (SELECT r, r AS other FROM sets UNION SELECT reach.r, y FROM reach JOIN both_ways ON other = x)
+  SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id FROM reach JOIN sets s ON s.r = reach.r JOIN sets o ON o.r = other
+  GROUP BY s.r, s.doc_id, s.s""")
+def op10_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose five-word shingle sets are at least 0.75 alike."""
+    from pickwise.llm.set_relation_join import components
+
+    return components(table(spark, sf_dir, "documents"))
