@@ -141,3 +141,32 @@ def op10_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pickwise.llm.set_relation_join import components
 
     return components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model fitted on labelled documents outside the held-out fold."""
+    from pickwise.llm.common import held_out
+    from pickwise.llm.crf_langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
+    found = predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "words", "switches")
+
+
+QUALITY_CUT = 0.3
+
+
+@query()
+def op8_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a model fitted on labels outside the held-out fold."""
+    from pickwise.llm.attention_mil import Fit, fit, predict
+    from pickwise.llm.common import bounded_sample, held_out
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    # as many label rows as the fit may use, so the broadcast is bounded
+    some = bounded_sample(labels.filter(F.col("label").isin(0, 1)), ["doc_id", "label"], F.lit(0), Fit.rows, 0)
+    found = predict(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"), "passages", "top_attention")
