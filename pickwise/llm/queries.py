@@ -170,3 +170,13 @@ def op8_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = bounded_sample(labels.filter(F.col("label").isin(0, 1)), ["doc_id", "label"], F.lit(0), Fit.rows, 0)
     found = predict(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"), "passages", "top_attention")
+
+
+@query()
+def op6_wand_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair of a leaked item, with the words it shares."""
+    from pickwise.llm.wand_decontaminate import contaminated, split_item
+
+    question, answer = split_item(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
