@@ -180,3 +180,22 @@ def op6_wand_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     question, answer = split_item(F.col("text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+
+
+_REPEATS = r"""WITH docs AS (SELECT doc_id, text, list_filter(regexp_split_to_array(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL GROUP BY doc_id, text),
+  keyed AS (SELECT row_number() OVER () AS r, doc_id, w FROM docs),
+  wins AS (SELECT r, unnest(list_transform(range(1, len(w) - 48), lambda i: {'at': i - 1, 'g': md5(array_to_string(w[i:i + 49], ' '))})) AS x FROM keyed WHERE len(w) >= 50),
+  shared AS (SELECT x.g AS g FROM wins GROUP BY x.g HAVING min(r) <> max(r)),
+  hit AS (SELECT DISTINCT r, x.at AS s FROM wins JOIN shared ON x.g = shared.g),
+  marked AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+  runs AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS run FROM marked)
+  SELECT doc_id, min(s)::BIGINT AS start, (max(s) + 50)::BIGINT AS "end" FROM runs JOIN keyed USING (r) GROUP BY r, run, doc_id"""
+
+
+@query(_REPEATS)
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of at least 50 words that stand in more than one document, for all documents."""
+    from pickwise.llm.suffix_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

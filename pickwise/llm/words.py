@@ -95,3 +95,10 @@ def per_text(texts: list[str | None], block_bytes: int = 4_000_000):
         size += len(data) + 1
     if parts:
         yield from flush(first, parts)
+
+
+def gram_at(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each stretch [start, end) of words."""
+    up, down = _powers(len(words) + 1)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * up[: len(words)])))
+    return mix((total[end] - total[start]) * down[start])
