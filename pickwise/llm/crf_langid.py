@@ -316,3 +316,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
+
+
+def known_only(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``; a map-only job."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                if not tagger.k:
+                    continue
+                mean, count, _ = tagger(part[text_col].to_pylist())
+                yield part.filter(pa.array((count > 0) & (mean.max(1) >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

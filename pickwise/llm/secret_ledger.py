@@ -1,7 +1,7 @@
 """Secret scans with an incremental ledger of content-addressed blobs.
 
-Every version of every path is addressed by the SHA-256 of its text. The ledger is a table of one row per scanned (blob, rule version)
-pair. A scan reads the ledger, scans only pairs it does not hold yet, each blob once whatever the number of its copies, appends them as
+Every version of every path is addressed by the SHA-256 of its text. The ledger is a table of scanned (blob, rule version)
+pairs, kept as one row per blob and run. A scan reads the ledger, scans only pairs it does not hold yet, each blob once whatever the number of its copies, appends them as
 a new run folder, and joins the findings of all wanted pairs back to every path. A changed rule gets a new version and is scanned anew;
 results of the other rules are reused.
 """
@@ -46,29 +46,27 @@ ADDED = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 )
 RULES = BASE + ADDED
-LEDGER = "sha string, rule string, spans array<struct<start:int,end:int>>"
+LEDGER = "sha binary, rules array<string>, found array<struct<rule:string,start:int,end:int>>"
 _LEDGER_ARROW = pa.schema([
-    ("sha", pa.string()), ("rule", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    ("sha", pa.binary()), ("rules", pa.list_(pa.string())),
+    ("found", pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
 ])
 
 
-def find(rule: re.Pattern, group: int, least: int, text: str) -> list[dict]:
+def find(rule: re.Pattern, group: int, least: int, text: str) -> list[tuple[int, int]]:
     """Spans in code points, end exclusive."""
-    return [{"start": m.start(), "end": m.end()} for m in rule.finditer(text) if m.end(group) - m.start(group) >= least]
+    return [m.span() for m in rule.finditer(text) if m.end(group) - m.start(group) >= least]
 
 
 def _scan(rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {r.key: (re.compile(r.pattern, re.A), r.group, r.least) for r in rules}
         for batch in batches:
-            sha, key, spans = [], [], []
-            for s, text, todo in zip(batch["sha"].to_pylist(), batch["text"], batch["todo"].to_pylist()):
+            found = []
+            for text, todo in zip(batch["text"], batch["todo"].to_pylist()):
                 text = text.as_py()
-                for k in todo:
-                    sha.append(s)
-                    key.append(k)
-                    spans.append(find(*known[k], text))
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((sha, key, spans), _LEDGER_ARROW)], schema=_LEDGER_ARROW)
+                found.append([{"rule": k, "start": a, "end": b} for k in todo for a, b in find(*known[k], text)])
+            yield pa.RecordBatch.from_arrays([batch["sha"], batch["todo"], pa.array(found, _LEDGER_ARROW.field("found").type)], schema=_LEDGER_ARROW)
 
     return run
 
@@ -83,6 +81,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(*runs) if runs else None
 
 
+def blob(text):
+    """Content address of a text column; NULL counts as empty."""
+    return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
+
+
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, version, sha, findings array of (start, end, kind)) for every row of ``versions`` (path, version, text).
 
@@ -90,32 +93,56 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     Findings are sorted by start, then by the rules' order; no findings give an empty array. ``ledger`` is a folder all executors
     reach; run folders are numbered, and the result covers exactly the given rule versions.
     """
-    spark = versions.sparkSession
-    texts = versions.select("path", "version", F.coalesce("text", F.lit("")).alias("text"))
     # ids and addresses only: what is joined to paths at the end, and what picks one row for each unseen blob
-    keys = cut_lineage(texts.select("path", "version", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")))
+    keys = cut_lineage(versions.select("path", "version", blob(F.col("text")).alias("sha")))
+    _extend(versions, keys, ledger, rules)
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    return keys.join(findings(versions.sparkSession, ledger, rules), "sha", "left").select(
+        "path", "version", F.lower(F.hex("sha")).alias("sha"), F.coalesce("findings", none).alias("findings")
+    )
+
+
+def _extend(versions: DataFrame, keys: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> None:
+    """Scans the pairs of blobs and rule versions that the ledger does not hold, and appends them as a run."""
+    spark = versions.sparkSession
     wanted = F.array(*[F.lit(r.key) for r in rules])
     blobs = keys.groupBy("sha").agg(F.min(F.struct("path", "version")).alias("at"))
     have = read_ledger(spark, ledger)
     if have is not None:
-        done = have.groupBy("sha").agg(F.collect_set("rule").alias("done"))  # as many values as there are rule versions
+        done = have.select("sha", F.explode("rules").alias("rule")).groupBy("sha").agg(F.collect_set("rule").alias("done"))  # rule versions only
         blobs = blobs.join(done, "sha", "left").withColumn("todo", F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>"))))
     else:
         blobs = blobs.withColumn("todo", wanted)
-    unseen = cut_lineage(blobs.filter(F.size("todo") > 0).select("sha", "at.path", "at.version", "todo"))
-    same = F.expr("t.path <=> u.path AND t.version <=> u.version AND sha2(encode(t.text, 'UTF-8'), 256) = u.sha")
+    unseen = blobs.filter(F.size("todo") > 0).select("sha", "at.path", "at.version", "todo")
+    texts = versions.select("path", "version", F.coalesce("text", F.lit("")).alias("text"))
+    same = (F.col("t.path").eqNullSafe(F.col("u.path"))) & (F.col("t.version").eqNullSafe(F.col("u.version"))) & (blob(F.col("t.text")) == F.col("u.sha"))
     # the addresses are the hash join's build side; texts stream past it, unsorted
     todo = texts.alias("t").join(unseen.alias("u").hint("shuffle_hash"), same).select("u.sha", "t.text", "u.todo")
-    found = todo.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["sha", "rule"])
+    found = todo.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["sha"])
     number = 0 if have is None else _next_run(spark, ledger)
     found.write.mode("overwrite").parquet(f"{ledger}/run-{number:06d}")
+
+
+def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(sha, findings) of the ledger's blobs that have any under the given rule versions."""
     rank = F.create_map(*[v for i, r in enumerate(rules) for v in (F.lit(r.key), F.lit(i))])
-    every = read_ledger(spark, ledger).filter(F.col("rule").isin([r.key for r in rules]))
-    spans = every.filter(F.size("spans") > 0).select("sha", F.explode("spans").alias("s"), rank["rule"].alias("rank"), F.split_part("rule", F.lit("@"), F.lit(1)).alias("kind"))
-    by_blob = spans.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("s.start", "rank", "s.end", "kind"))).alias("f"))
-    by_blob = by_blob.select("sha", F.transform("f", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("findings"))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return keys.join(by_blob, "sha", "left").select("path", "version", "sha", F.coalesce("findings", none).alias("findings"))
+    every = read_ledger(spark, ledger).filter(F.size("found") > 0).select("sha", F.explode("found").alias("s"))
+    spans = every.filter(F.col("s.rule").isin([r.key for r in rules])).select(
+        "sha", "s.start", "s.end", rank[F.col("s.rule")].alias("rank"), F.split_part("s.rule", F.lit("@"), F.lit(1)).alias("kind")
+    )
+    by_blob = spans.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("f"))
+    return by_blob.select("sha", F.transform("f", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("findings"))
+
+
+def redacted(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every finding in its text masked; rows without findings, NULL texts among them, stay as they are."""
+    versions = docs.select(F.col(id_col).alias("path"), F.lit(0).alias("version"), F.col(text_col).alias("text"))
+    keys = cut_lineage(versions.select("path", "version", blob(F.col("text")).alias("sha")))
+    _extend(versions, keys, ledger, rules)
+    masked = findings(docs.sparkSession, ledger, rules).select(F.col("sha").alias("_sha"), F.col("findings").alias("_findings"))
+    joined = docs.join(masked.hint("shuffle_hash"), blob(docs[text_col]) == F.col("_sha"), "left")
+    clean = F.when(F.col("_findings").isNull(), docs[text_col]).otherwise(redact(docs[text_col], F.col("_findings")))
+    return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def _next_run(spark: SparkSession, path: str) -> int:

@@ -311,3 +311,19 @@ def _across(many: DataFrame, edges: DataFrame, tried: DataFrame, p: Join) -> Dat
     met = met.filter((F.least("x.n", "y.n") >= need) & (room >= need))
     pairs = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     return cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+
+
+def one_of_each(docs: DataFrame, p: Join = Join()) -> DataFrame:
+    """The rows of ``docs``, all columns, that have the smallest doc_id of their component, and those without words.
+
+    Of rows that repeat in id and text one stays; a component of NULL ids only keeps one row.
+    """
+    found = cut_lineage(components(docs, p).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_keep"),
+    ))
+    joined = docs.join(found.filter("_keep").withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    kept = joined.select(*[docs[c] for c in docs.columns], "_rows")
+    if found.filter("_rows > 1 AND _keep").isEmpty():
+        return kept.drop("_rows")
+    single = kept.filter("_rows = 1").drop("_rows")
+    return single.unionByName(kept.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"]))

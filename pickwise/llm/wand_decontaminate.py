@@ -18,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pickwise.llm.words import ngrams, per_text
@@ -188,14 +189,8 @@ def hits_of(words: np.ndarray, index: Index) -> dict[int, tuple]:
     return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, p: Search = Search()) -> DataFrame:
-    """One row per (document, item) whose question and answer stand in a passage of the document.
-
-    ``docs`` (doc_id, text), ``items`` (item_id, question, answer). NULL or blank texts match nothing; an item with an empty question or
-    answer is judged by the other part. Repeated documents are reported as often as they occur, repeated items once. Items are indexed
-    in shards of bounded text, each broadcast by itself; document frequencies and lengths are those of all items.
-    """
-    spark = docs.sparkSession
+def indexes(spark: SparkSession, items: DataFrame, p: Search) -> Iterator[Broadcast]:
+    """One broadcast index after another; together they hold all items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")).distinct()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,18 +209,47 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Search = Search()) -> Dat
     chars = items.agg(F.sum(F.length("question") + F.length("answer"))).first()[0] or 0
     shards = max(1, -(-chars // p.shard_chars))
     df = every.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
     for shard in range(shards):
         here = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard
         rows = items.filter(here).orderBy("item_id", "question", "answer").toArrow()
         known = every.filter(here).select("term").distinct().join(df, "term").toArrow()
-        index = Index(rows["item_id"].to_pylist(), rows["question"].to_pylist(), rows["answer"].to_pylist(), dict(zip(known["term"].to_pylist(), known["df"].to_pylist())), n, mean or 1.0, p)
-        found = narrow.mapInArrow(_search(spark.sparkContext.broadcast(index)), _OUT)
+        both = dict(zip(known["term"].to_pylist(), known["df"].to_pylist()))
+        yield spark.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["question"].to_pylist(), rows["answer"].to_pylist(), both, n, mean or 1.0, p))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, p: Search = Search()) -> DataFrame:
+    """One row per (document, item) whose question and answer stand in a passage of the document.
+
+    ``docs`` (doc_id, text), ``items`` (item_id, question, answer). NULL or blank texts match nothing; an item with an empty question or
+    answer is judged by the other part. Repeated documents are reported as often as they occur, repeated items once. Items are indexed
+    in shards of bounded text, each broadcast by itself; document frequencies and lengths are those of all items.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for index in indexes(docs.sparkSession, items, p):
+        found = narrow.mapInArrow(_search(index), _OUT)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def clean_only(docs: DataFrame, items: DataFrame, p: Search = Search(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; a map-only job for each shard of items."""
+
+    def without(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for i, words, _, _ in per_text(batch[text_col].to_pylist()):
+                    keep[i] = not hits_of(words, shared.value)
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for index in indexes(docs.sparkSession, items, p):
+        docs = docs.mapInArrow(without(index), docs.schema)
+    return docs
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
