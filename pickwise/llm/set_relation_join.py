@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickwise.llm.common import connected_components
+from pickwise.llm.common import connected_components, slices
 from pickwise.llm.words import mix, per_text, shingle_set
 from pickwise.session import cut_lineage
 
@@ -32,12 +32,14 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Join:
     """``words`` to a shingle; linked if percent * union <= 100 * intersection. ``frequent`` bounds the list of shingles put last in the
-    order (16 bytes each, sent to every task); it changes costs, never results."""
+    order (16 bytes each, sent to every task); it changes costs, never results, and so do
+    ``least``, the sum of counts from which a shingle is on it, and ``counted``, the shingles a task counts at a time."""
 
     words: int = 5
     percent: int = 75
     frequent: int = 200_000
     least: int = 12
+    counted: int = 4_000_000
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         """Tokens of which a set of size n shares one with any set it is linked to."""
@@ -77,16 +79,18 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_FACTS = "doc_id long, n int, cls long, bits binary, token long, df int"
-_FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("df", pa.int32())])
+_FACTS = "key long, doc_id long, n int, cls long, bits binary, token long, df int"
+_FACTS_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("df", pa.int32())])
 
 
 def _facts(p: Join):
-    """Per document its size, class and bitmap; per batch the shingles that several of its classes share."""
+    """Per document its size, class and bitmap; per some million shingles those that several of their classes share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, cls, bits, sets = [], [], [], {}
+        sets: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
+        for batch in slices(batches):
+            n, cls, bits = [], [], []
             for _, words, _, _ in per_text(batch["text"].to_pylist()):
                 s = shingle_set(words, p.words)
                 n.append(len(s))
@@ -95,19 +99,24 @@ def _facts(p: Join):
                 bits.append(parity(s) if new else None)
                 if new:
                     sets[cls[-1], len(s)] = s
-            docs = [batch["doc_id"], pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())]
+                    size += len(s)
+            docs = [batch["key"], batch["doc_id"], pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())]
             docs += [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int32())]
             yield pa.RecordBatch.from_arrays(docs, schema=_FACTS_ARROW)
-            if not sets:
-                continue
-            token, df = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            token, df = token[df > 1], df[df > 1]
-            if len(token) > p.frequent // 8:
-                top = np.argpartition(-df, p.frequent // 8)[: p.frequent // 8]
-                token, df = token[top], df[top]
-            k = len(token)
-            shared = [pa.nulls(k, f.type) for f in list(_FACTS_ARROW)[:4]] + [pa.array(token.view(np.int64)), pa.array(df.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(shared, schema=_FACTS_ARROW)
+            if size > p.counted:
+                yield shared(sets)
+                sets, size = {}, 0
+        if sets:
+            yield shared(sets)
+
+    def shared(sets) -> pa.RecordBatch:
+        token, df = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        token, df = token[df > 1], df[df > 1]
+        if len(token) > p.frequent // 8:
+            top = np.argpartition(-df, p.frequent // 8)[: p.frequent // 8]
+            token, df = token[top], df[top]
+        none = [pa.nulls(len(token), f.type) for f in list(_FACTS_ARROW)[:5]]
+        return pa.RecordBatch.from_arrays([*none, pa.array(token.view(np.int64)), pa.array(df.astype(np.int32))], schema=_FACTS_ARROW)
 
     return run
 
@@ -117,12 +126,15 @@ _POSTINGS_ARROW = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", p
 
 
 def _postings(p: Join, shared):
-    """The prefix of every class: one row per token, a class once per batch."""
+    """The prefix of every class: one row per token; a class is left out where its task has met it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, df = shared.value
-        for batch in batches:
-            seen, out = set(), []
+        seen: set[tuple[int, int]] = set()
+        for batch in slices(batches):
+            if len(seen) > 1_000_000:  # copies met again later are told apart by the lists
+                seen.clear()
+            out = []
             for _, words, _, _ in per_text(batch["text"].to_pylist()):
                 s = shingle_set(words, p.words)
                 if not len(s):
@@ -212,7 +224,7 @@ def _near(p: Join):
 
 def _sets(p: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             wanted, cls, data = batch["cls"].to_pylist(), [], []
             for i, words, _, _ in per_text(batch["text"].to_pylist()):
                 s = shingle_set(words, p.words)
@@ -258,10 +270,19 @@ def components(docs: DataFrame, p: Join = Join()) -> DataFrame:
     NULL or blank text: 0 shingles, linked with nothing. component_id is the smallest doc_id reachable by links; a row with a NULL id takes
     part and gets the smallest id of its component, NULL if there is none. Repeated rows are linked; other columns are ignored.
     """
+    return _components(docs, p).drop("key")
+
+
+def _key():
+    """Tells rows apart that differ in id or text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _components(docs: DataFrame, p: Join) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = cut_lineage(docs.mapInArrow(_facts(p), _FACTS))
-    rows = facts.filter("token IS NULL").select("doc_id", "n", "cls")
+    rows = facts.filter("token IS NULL").select("key", "doc_id", "n", "cls")
     classes = cut_lineage(
         facts.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.max("bits").alias("bits"))
     )
@@ -292,7 +313,7 @@ def components(docs: DataFrame, p: Join = Join()) -> DataFrame:
     by_class = whole.join(least, "component").select("cls", "component_id")
     joined = rows.join(by_class, "cls", "left")
     return joined.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
@@ -316,12 +337,12 @@ def _across(many: DataFrame, edges: DataFrame, tried: DataFrame, p: Join) -> Dat
 def one_of_each(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest doc_id of their component, and those without words.
 
-    Of rows that repeat in id and text one stays; a component of NULL ids only keeps one row.
+    Of rows that repeat in id and text one stays. A component all of whose ids are NULL keeps its different texts.
     """
-    found = cut_lineage(components(docs, p).groupBy("doc_id").agg(
+    found = cut_lineage(_components(docs, p).groupBy("key").agg(
         F.count(F.lit(1)).alias("_rows"), F.max((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_keep"),
-    ))
-    joined = docs.join(found.filter("_keep").withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    ).withColumnRenamed("key", "_key"))
+    joined = docs.join(found.filter("_keep").hint("shuffle_hash"), _key() == F.col("_key"))
     kept = joined.select(*[docs[c] for c in docs.columns], "_rows")
     if found.filter("_rows > 1 AND _keep").isEmpty():
         return kept.drop("_rows")

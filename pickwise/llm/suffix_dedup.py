@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pickwise.llm.common import slices
 from pickwise.llm.words import gram_at, mix, ngrams, per_text
 from pickwise.session import cut_lineage
 
@@ -58,7 +59,7 @@ _SAMPLE_NAMES = ["token", "context", "key", "place"]
 
 def _sample(m: Match):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, out = batch["key"].to_pylist(), []
             for i, words, _, _ in per_text(batch["text"].to_pylist()):
                 at = minimisers(words, m)
@@ -110,7 +111,7 @@ def _entries(m: Match):
     binary order is word order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             wanted = batch["wanted"].to_pylist()
             out = []
             for i, words, _, _ in per_text(batch["text"].to_pylist()):

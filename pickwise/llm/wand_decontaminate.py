@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pickwise.llm.common import slices
 from pickwise.llm.words import ngrams, per_text
 
 
@@ -237,7 +238,7 @@ def clean_only(docs: DataFrame, items: DataFrame, p: Search = Search(), text_col
 
     def without(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for i, words, _, _ in per_text(batch[text_col].to_pylist()):
                     keep[i] = not hits_of(words, shared.value)
@@ -253,7 +254,7 @@ def clean_only(docs: DataFrame, items: DataFrame, p: Search = Search(), text_col
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = batch["doc_id"].to_pylist(), []
             for i, words, _, _ in per_text(batch["text"].to_pylist()):
                 rows += [(ids[i], index.ids[item], *row) for item, row in sorted(hits_of(words, index).items())]

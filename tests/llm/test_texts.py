@@ -1,0 +1,275 @@
+"""Operators 2, 4, 5, 6, 7, 8 and 9: models against held-out labels, the others against plain versions."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from pickwise.llm import attention_mil, best_region, crf_langid, grouping_pack, preference_format, secret_ledger, wand_decontaminate
+from pickwise.llm.common import held_out
+from pickwise.session import scratch_path
+from tests.llm.helpers import documents, words
+
+SF = "/root/testdata/sf0.01"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [(1, None), (2, ""), (3, "123 ..."), (4, "İß"), (None, "the and of"), (5, "x" * 100_000), (6, "a " * 60_000)]
+
+
+# ---- 2: language ----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return crf_langid.fit(docs.filter(~held_out(F.col("doc_id"))), crf_langid.Fit(chains=800, epochs=15))
+
+
+def test_language_of_the_held_out_fold(spark, language):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter(held_out(F.col("doc_id")))
+    found = crf_langid.predict(docs, language).join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.filter("lang = lang_pred").count() >= 0.97 * found.count()
+
+
+def test_language_of_odd_texts(spark, language):
+    got = {r.doc_id: r for r in crf_langid.predict(documents(spark, ODD), language).collect()}
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (1, 2, 3))
+    assert all(got[i].lang_pred in language.labels and 0 < got[i].score <= 1 for i in (4, None, 5, 6))
+    assert crf_langid.predict(documents(spark, []), language).collect() == []
+    nothing = crf_langid.fit(documents(spark, []))
+    assert {r.lang_pred for r in crf_langid.predict(documents(spark, ODD), nothing).collect()} == {"und"}
+
+
+def test_words_of_a_code_switched_text(spark, language):
+    by = {r.lang: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars BETWEEN 800 AND 2000").dropDuplicates(["lang"]).collect()}
+    a, b = (by[x].split()[-40:] for x in ("de", "es"))
+    tags = [t for _, t in crf_langid.Tagger(language).words(" ".join(a + b + a))]
+    gold = ["de"] * 40 + ["es"] * 40 + ["de"] * 40
+    assert np.mean([x == y for x, y in zip(tags, gold) if x != "und"]) > 0.85
+
+
+def test_forward_backward_is_exact():
+    rng = np.random.default_rng(1)
+    emit, move, start = rng.random((4, 2, 3)) + 0.1, rng.random((3, 3)) + 0.1, rng.random(3) + 0.1
+    lengths = np.array([4, 2])
+    post, edges = crf_langid.forward_backward(emit, lengths, move, start, edges=True)
+    expected = np.zeros((3, 3))
+    for c, n in enumerate(lengths):
+        weight = np.zeros((3,) * n)
+        for path in np.ndindex(*weight.shape):
+            w = start[path[0]] * np.prod([emit[t, c, path[t]] for t in range(n)])
+            weight[path] = w * np.prod([move[path[t], path[t + 1]] for t in range(n - 1)])
+        weight /= weight.sum()
+        for t in range(n):
+            assert np.allclose(post[t, c], weight.sum(axis=tuple(i for i in range(n) if i != t)))
+        for t in range(n - 1):
+            expected += weight.sum(axis=tuple(i for i in range(n) if i not in (t, t + 1)))
+        assert not post[n:, c].any()
+    assert np.allclose(edges, expected)
+
+
+# ---- 4: secrets -------------------------------------------------------------------------------------------------------------------
+
+
+def versions(spark, rows):
+    return spark.createDataFrame(rows, "path string, version int, text string")
+
+
+def test_ledger_scans_only_unseen_pairs(spark):
+    ledger = scratch_path(spark, "ledger")
+    first = versions(spark, [("a", 1, "token=abcdef1"), ("b", 1, "token=abcdef1"), ("b", 2, None), (None, 1, ""), ("b", 2, None)])
+    rows = secret_ledger.scan(first, ledger).collect()
+    assert sorted((r.path or "", r.version, len(r.findings)) for r in rows) == [("", 1, 0), ("a", 1, 1), ("b", 1, 1), ("b", 2, 0), ("b", 2, 0)]
+    read = lambda: secret_ledger.read_ledger(spark, ledger)
+    assert read().count() == 2  # two blobs, whatever the number of paths
+    secret_ledger.scan(versions(spark, [("c", 1, "token=abcdef1"), ("c", 2, "AKIA" + "Z" * 16)]), ledger)
+    assert read().count() == 3
+    newer = (*secret_ledger.BASE[1:], secret_ledger.Rule("assign", 2, r"token=(\w+)", 1, 3))
+    again = secret_ledger.scan(first, ledger, newer)
+    assert {tuple(map(tuple, r.findings)) for r in again.filter("path = 'a'").collect()} == {((0, 13, "assign"),)}
+    grown = read().exceptAll(read().limit(0)).filter(F.array_contains("rules", "assign@2")).collect()
+    assert len(grown) == 2 and all(r.rules == ["assign@2"] for r in grown)
+    assert secret_ledger.scan(versions(spark, []), scratch_path(spark, "ledger")).collect() == []
+
+
+def test_an_unfinished_run_is_not_read(spark):
+    ledger = scratch_path(spark, "ledger")
+    data = versions(spark, [("a", 1, "token=abcdef1")])
+    data.write.parquet(f"{ledger}/run-000000")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/run-000000/_SUCCESS")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    assert secret_ledger.scan(data, ledger).first().findings[0].kind == "assign"
+
+
+def test_redaction(spark):
+    texts = ["no secret", None, "", "x token = 'abcdef12' and AKIA" + "Q" * 16 + " é", "secret=" + "0a" * 15]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.text for r in secret_ledger.redacted(docs, scratch_path(spark, "ledger")).collect()}
+    assert got == {0: "no secret", 1: None, 2: "", 3: "x [SECRET]' and [SECRET] é", 4: "[SECRET]"}
+
+
+# ---- 5: preference pairs ----------------------------------------------------------------------------------------------------------
+
+
+def test_preference_pairs(spark):
+    rows = [
+        (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "é!"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 5, "assistant", "no"),
+        (1, "rejected", 6, "user", "why"), (2, "chosen", 0, "user", None), (2, "rejected", 0, "user", ""), (3, "chosen", 0, None, "a"),
+        (None, "chosen", 0, "user", "x"), (4, "other", 0, "user", "x"), (1, "chosen", 0, "user", "hi"),
+    ]
+    turns = spark.createDataFrame(rows, "pair_id long, side string, turn int, role string, text string").withColumn("line", F.lit(1))
+    got = {r.pair_id: r for r in preference_format.format_pairs(turns).collect()}
+    assert set(got) == {1, 2, 3}
+    one = got[1]
+    assert (one.prefix_turns, one.prompt, one.chosen, one.rejected) == (1, "<|user|>\nhi\n", "<|assistant|>\né!\n", "<|assistant|>\nno\n<|user|>\nwhy\n")
+    assert [one.chosen[a:b] for a, b in one.chosen_mask] == ["é!\n"] and [one.rejected[a:b] for a, b in one.rejected_mask] == ["no\n"]
+    assert (got[2].prefix_turns, got[2].chosen, got[2].rejected) == (1, "", "")
+    assert (got[3].prefix_turns, got[3].rejected, got[3].rejected_mask) == (0, None, None)
+    assert preference_format.format_pairs(turns.limit(0)).collect() == []
+
+
+# ---- 6: decontamination -----------------------------------------------------------------------------------------------------------
+
+
+def test_search_matches_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, say(rng.randint(3, 50)), say(rng.randint(0, 6))) for i in range(60)] + [(60, "", ""), (61, None, None), (0, "dup", "dup")]
+    docs = [(i, say(rng.randint(0, 400))) for i in range(60)]
+    docs += [(100 + i, f"{say(100)} {items[i][1]} {items[i][2]} {say(50)}") for i in range(0, 60, 3)] + ODD
+    p = wand_decontaminate.Search()
+    frame = spark.createDataFrame(items, "item_id long, question string, answer string")
+    got = {(r.doc_id, r.item_id) for r in wand_decontaminate.contaminated(documents(spark, docs), frame, p).collect()}
+    assert {(100 + i, i) for i in range(3, 60, 3)} <= got
+    few = wand_decontaminate.Search(shard_chars=300)  # many small indexes must say the same
+    assert got == {(r.doc_id, r.item_id) for r in wand_decontaminate.contaminated(documents(spark, docs), frame, few).collect()}
+    index = next(wand_decontaminate.indexes(spark, frame, p)).value
+    for _, text in docs[:50] + docs[60:75]:
+        from pickwise.llm.words import per_text
+
+        w = next(per_text([text]))[1]
+        at = np.minimum(np.searchsorted(index.terms, w), len(index.terms) - 1)
+        known = index.terms[at] == w
+        step = max(p.least_step, index.longest)
+        cells = set(index.possible(at, known, step)) if len(w) else set()
+        for c in range(max(1, -(-len(w) // step) - 1)):
+            terms = np.unique(at[c * step : (c + 2) * step][known[c * step : (c + 2) * step]])
+            score = np.zeros(len(index.ids))
+            for t in terms:
+                score[index.docs[t]] += index.impacts[t]
+            want = np.flatnonzero(score >= p.threshold - 1e-9).tolist()
+            assert sorted(i for i, _ in index.above(terms.tolist())) == want
+            assert not want or c in cells
+
+
+def test_clean_documents_stay(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k l", "m n o")], "item_id long, question string, answer string")
+    docs = documents(spark, [(20, "z A b c d e f g h i j k l m n o z"), (2, "a b c d"), *ODD[:4], (7, "a b c d e f g h i j k l q r s")])
+    assert {r.doc_id for r in wand_decontaminate.clean_only(docs, items).collect()} == {1, 2, 3, 4, 7}
+    assert wand_decontaminate.clean_only(docs, items.limit(0)).count() == docs.count()
+
+
+# ---- 7: main text -----------------------------------------------------------------------------------------------------------------
+
+
+def test_main_text(spark):
+    page = (
+        "<html><head><title>T</title><style>p{}</style><script>if (a<b) '</p>'</script></head><body><header><p>site name here</p></header><nav><a>Home</a></nav>"
+        "<article><header><h1>A &amp; B</h1></header><p>One\n two&nbsp;three <b>four</b>five<p>six<br>seven<div class='ad'>buy now</div>"
+        "<div id=comments><p>first!</p></div><form>name <input></form></article><aside>links</aside><div class='cookie-notice'>ok?</div><footer>&copy; x</footer></body></html>"
+    )
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>only &lt;text&gt; &am"), (4, "u", "<nav>menu</nav>"), (5, "u", "<article><p>cut of"), (1, "u", page), (6, "u", "<article>" + "<p>word" * 20_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in best_region.extract(frame).collect()))
+    text = "A & B\nOne two three fourfive\nsix seven"
+    want = [(0, "only <text> &am", 15), (1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "", 0), (5, "cut of", 6)]
+    assert got[:-1] == want and got[-1][1].count("\n") == 19_999
+    assert best_region.extract(frame.limit(0)).collect() == []
+
+
+def test_best_run_is_the_largest():
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [rng.randint(-4, 4) for _ in range(rng.randint(0, 12))]
+        a, b = best_region.best_run(s)
+        assert sum(s[a:b]) == max([0] + [sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)])
+
+
+# ---- 8: quality -------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_of_the_held_out_fold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    model = attention_mil.fit(docs.filter(~held_out(F.col("doc_id"))).withColumn("label", F.col("quality")), attention_mil.Fit(rows=2000, epochs=12))
+    rows = attention_mil.predict(docs, model).join(docs.filter(held_out(F.col("doc_id"))).select("doc_id", "quality"), "doc_id").collect()
+    good = np.array([r.score for r in rows if r.quality == 1])
+    bad = np.array([r.score for r in rows if r.quality == 0])
+    assert (good[:, None] > bad[None, :]).mean() > 0.95
+    odd = attention_mil.predict(documents(spark, ODD), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    assert attention_mil.predict(documents(spark, []), model).collect() == []
+    blank = attention_mil.fit(documents(spark, []).withColumn("label", F.lit(1)))
+    assert {r.score for r in attention_mil.predict(documents(spark, ODD[:3]), blank).collect()} == {0.5}
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(0)
+    model = attention_mil.train(["a b c", "A! B!", None], [1, 0, 1], attention_mil.Fit(epochs=1))
+    x, sizes, y = rng.normal(size=(7, attention_mil.WIDTH)), np.array([3, 1, 3]), np.array([1.0, 0.0, 1.0])
+    w = model.weights
+    loss = lambda: -np.mean(y * np.log(p := attention_mil.forward(w, x, sizes)[0]) + (1 - y) * np.log(1 - p))
+    p, saved = attention_mil.forward(w, x, sizes)
+    slopes = attention_mil._slopes(w, x, y, p, saved)
+    for k, a in w.items():
+        at = tuple(rng.integers(0, n) for n in a.shape)
+        a[at] += 1e-5
+        up = loss()
+        a[at] -= 2e-5
+        assert np.isclose((up - loss()) / 2e-5, slopes[k][at], atol=1e-6)
+        a[at] += 1e-5
+
+
+# ---- 9: packing -------------------------------------------------------------------------------------------------------------------
+
+
+def test_packing_is_a_round_trip(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()] + ODD[:5] + [(1, None), (8, "  two  spaces \n\n and <|endoftext|>"), (9, "word " * 5000)]
+    rows = grouping_pack.pack_documents(documents(spark, docs), TOKENIZER, block_items=100, g=grouping_pack.Genetic(generations=3)).collect()
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    want = []
+    for i, text in docs:
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
+        first = (len(ids) - 1) % 1024 + 1
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted((tuple(r)[:5] for r in rows), key=key) == sorted(want, key=key)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    total = sum(r.length for r in rows)
+    assert len(by) <= 1.05 * -(-total // 1024) + 5
+    assert grouping_pack.pack_documents(documents(spark, []), TOKENIZER).collect() == []
+
+
+def test_genetic_steps_keep_groupings_valid():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        sizes = rng.integers(1, 1025, 200)
+        bound = grouping_pack.lower_bound(sizes, 1024)
+        first = grouping_pack.first_population(sizes, 1024, 4, rng, bound)
+        last = grouping_pack.evolve(sizes, first, 1024, grouping_pack.Genetic(generations=10), rng, bound)
+        for p in first + last:
+            assert (np.bincount(p, weights=sizes) <= 1024).all() and (np.bincount(p) > 0).all() and p.min() == 0
+        assert bound <= last[0].max() + 1 <= first[0].max() + 1
