@@ -25,8 +25,10 @@ def reveal(items: DataFrame, labels: DataFrame, values: Column) -> DataFrame:
     blank = (F.col("kind") == "blank") | (F.col("pool_idx") < 0)
     known = F.col("_known").isNotNull()
     missing = F.concat(F.lit("missing truth for pool_idx="), F.col("pool_idx").cast("string"))
+    # blanks share one candidate number and never meet a label: only the others are joined
+    plain = items.filter(F.coalesce(blank, F.lit(False))).withColumns({"_values": F.lit(None).cast(truth.schema["_values"].dataType), "_known": F.lit(None).cast("boolean")})
     return (
-        items.join(truth, "pool_idx", "left")
+        items.filter(~F.coalesce(blank, F.lit(False))).join(truth, "pool_idx", "left").unionByName(plain)
         .withColumn("values", F.when(~blank & known, F.col("_values")))
         .withColumn("state", F.when(blank | known, F.lit("COMPLETED")).otherwise(F.lit("FAILED")))
         .withColumn("qc_passed", ~blank & known)

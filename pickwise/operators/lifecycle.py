@@ -98,6 +98,11 @@ def sync_labels(state: DataFrame, labels: DataFrame, rejected: DataFrame, max_qc
     A label always wins. A candidate whose replicates disagree is counted once per rejected
     aggregate and becomes retryable or finally rejected, unless its phase already settles it.
     """
+    # a label may come without a state row, such as one imported
+    unseen = labels.select("pool_idx").distinct().join(state.select("pool_idx"), "pool_idx", "left_anti")
+    state = state.unionByName(
+        unseen.withColumns({"phase": F.lit("AVAILABLE"), "fail_retries": F.lit(0), "qc_retries": F.lit(0)}), allowMissingColumns=True
+    )
     settled = F.col("phase").isin("LABELED", "QC_REJECTED", "DEAD_LETTER", "RETRYABLE", "FAILED", "CONTROL")
     marked = (
         state.join(labels.select("pool_idx", F.lit(True).alias("_label")), "pool_idx", "left")
@@ -110,7 +115,10 @@ def sync_labels(state: DataFrame, labels: DataFrame, rejected: DataFrame, max_qc
         .when(counts, F.when(qc <= max_qc_retries, F.lit("RETRYABLE")).otherwise(F.lit("QC_REJECTED")))
         .otherwise(F.col("phase"))
     )
-    return marked.withColumns({"phase": phase, "qc_retries": qc.cast("int")}).drop("_label", "_bad")
+    out = {"qc_retries": qc.cast("int"), "phase": phase}
+    if "job_id" in state.columns:  # a candidate that may be tried again belongs to no job
+        out["job_id"] = F.when(counts & (qc <= max_qc_retries), F.lit(None)).otherwise(F.col("job_id"))
+    return marked.withColumns(out).drop("_label", "_bad")
 
 
 # ---- results mixed with marks -------------------------------------------------------------------

@@ -63,7 +63,8 @@ def replicate_stats(
         F.count(F.lit(1)).alias("n"), *means, *spread, F.max("ts").alias("ts"), first.alias("_first")
     )
     for i in range(n_objectives if method == "median" else 0):
-        stats = stats.join(grouped_median(flat, keys, f"v{i}", f"agg{i}"), keys)
+        # a candidate without a value for this objective has no median, but keeps its row
+        stats = stats.join(grouped_median(flat, keys, f"v{i}", f"agg{i}"), keys, "left")
     return stats.select(
         *keys, "n", *[f"agg{i}" for i in range(n_objectives)], *[f"std{i}" for i in range(n_objectives)],
         "ts", "_first.smiles", "_first.compound_id",

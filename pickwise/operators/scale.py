@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pickwise.session import cut_lineage
 
@@ -14,39 +15,66 @@ BINS = 2048
 TOP_LIMIT = 100_000
 SMALL_COLUMN = 1_000_000
 BLOCK_ROWS = 50_000
+SPREAD_BYTES = 128 << 20
+WINDOW_LIMIT = 1000  # Spark's own default for limiting a window's groups before the shuffle
 _LOCAL_BITS = 33
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread an input that fills fewer partitions than there are cores, such as one small file.
+    """Spread a small input, such as one file with one row group, over all cores.
 
-    A large input already has more partitions than cores and is left alone, so no shuffle is added.
+    Only an input of at most ``SPREAD_BYTES`` by the optimizer's estimate is shuffled; rows and results never change.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if size > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _numbers(df: DataFrame, col: Column) -> DataFrame:
+    """The values of a numeric column as ``v``: whole numbers stay whole, all others become DOUBLE. NULL and NaN are left out."""
+    v = df.select(col.alias("v"))
+    if isinstance(v.schema["v"].dataType, IntegralType):
+        return v.select(F.col("v").cast("long").alias("v")).filter(F.col("v").isNotNull())
+    return v.select(F.col("v").cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def order_statistics(df: DataFrame, value: str | Column, ranks: Sequence[int]) -> dict[int, float]:
-    """Exact ``rank``-th smallest values (1-based), nulls and NaN left out.
+    """Exact ``rank``-th smallest values (1-based), nulls and NaN left out; ranks beyond the number of values are missing.
 
-    Each pass aggregates at most ``BINS`` bins of the bracket that holds the rank, so the driver
-    only ever sees bin counts. Bins are monotone in the value; a pass always splits its bracket.
+    Infinities are counted apart. Each pass then aggregates at most ``BINS`` bins of the finite bracket that holds the rank, so the
+    driver only ever sees bin counts. Bins are monotone in the value and a pass always splits its bracket. Whole numbers are binned by
+    whole steps, so no digit of a BIGINT is lost.
     """
-    col = F.col(value) if isinstance(value, str) else value
-    v = df.select(col.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if ends.lo is None:
-        return {}
+    v = _numbers(df, F.col(value) if isinstance(value, str) else value)
+    whole = isinstance(v.schema["v"].dataType, IntegralType)
+    finite = F.lit(True) if whole else F.abs("v") < float("inf")
+    ends = v.agg(
+        F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"),
+        F.count(F.when(finite, 1)).alias("n"), F.count(F.when(~finite & (F.col("v") < 0), 1)).alias("below"), F.count(F.lit(1)).alias("all"),
+    ).first()
     found: dict[int, float] = {}
-    brackets = {(ends.lo, ends.hi): [(r, r) for r in sorted(set(ranks))]}
+    inner = []
+    for r in sorted(set(ranks)):
+        if r <= ends.below:
+            found[r] = float("-inf")
+        elif r <= ends.below + ends.n:
+            inner.append((r, r - ends.below))
+        elif r <= ends["all"]:
+            found[r] = float("inf")
+    v = v.filter(finite)
+    brackets = {(ends.lo, ends.hi): inner} if inner else {}
     while brackets:
         narrower: dict[tuple[float, float], list[tuple[int, int]]] = {}
         for (lo, hi), wanted in brackets.items():
             if lo == hi:
                 found.update({r: lo for r, _ in wanted})
                 continue
-            width = hi / 2 - lo / 2
-            pos = F.floor((F.col("v") / 2 - F.lit(lo / 2)) / F.lit(width) * BINS)
+            if whole:
+                step = -(-(hi - lo + 1) // BINS)
+                pos = F.floor((F.col("v").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)"))
+            else:
+                pos = F.floor((F.col("v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * BINS)
             bins = (
                 v.filter(F.col("v").between(lo, hi))
                 .groupBy(F.least(pos, F.lit(BINS - 1)).alias("bin"))
@@ -65,47 +93,70 @@ def order_statistics(df: DataFrame, value: str | Column, ranks: Sequence[int]) -
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], small: int = SMALL_COLUMN) -> list[float]:
-    """Linear-interpolation quantiles of a whole column.
+    """Linear-interpolation quantiles of a whole column; NULL and NaN are left out.
 
-    Up to ``small`` rows the built-in aggregate is used; above, order statistics by bins.
+    Up to ``small`` finite values the built-in aggregate is used, else order statistics by bins; both follow one formula.
     """
-    n = df.filter(F.col(value).isNotNull()).count()
+    v = _numbers(df, F.col(value)).select(F.col("v").cast("double").alias("v"))
+    n, odd = v.agg(F.count(F.lit(1)), F.count(F.when(F.abs("v") == float("inf"), 1))).first()
     if n == 0:
         raise ValueError(f"no values in column {value!r}")
-    if n <= small:
-        return list(df.agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in qs]))).first()[0])
+    if n <= small and not odd:
+        return list(v.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in qs]))).first()[0])
     places = [(n - 1) * q for q in qs]
     ranks = sorted({r for p in places for r in (math.floor(p) + 1, math.ceil(p) + 1)})
-    stats = order_statistics(df, value, ranks)
+    stats = order_statistics(v, "v", ranks)
     out = []
     for p in places:
-        lo, hi = stats[math.floor(p) + 1], stats[math.ceil(p) + 1]
-        out.append(lo + (hi - lo) * (p - math.floor(p)))
+        low, high = math.floor(p), math.ceil(p)
+        a, b = stats[low + 1], stats[high + 1]
+        out.append(a if a == b else (high - p) * a + (p - low) * b)
     return out
 
 
 def top_k(df: DataFrame, score: str, k: int, tie: str = "pool_idx", limit: int = TOP_LIMIT) -> DataFrame:
-    """The ``k`` rows of largest score, ties by ascending ``tie``.
+    """The ``k`` rows of largest score, ties by ascending ``tie``; NULL and NaN scores come last, a NULL tie comes first.
 
-    A short list uses Spark's bounded top-k. A long one never gathers rows: the exact cut
-    (score, tie) is found by binned counts, then a plain filter keeps the rows above it.
+    A short list uses Spark's bounded top-k. A long one never gathers rows: the exact cut (score, tie) is found by binned counts, then
+    a plain filter keeps the rows above it. Both give the same rows.
     """
     if k <= 0:
         return df.limit(0)
+    missing = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
     if k <= limit:
-        return df.orderBy(F.desc_nulls_last(score), F.asc(tie)).limit(k)
-    scored = df.filter(F.col(score).isNotNull())
+        return df.orderBy(F.desc_nulls_last(F.when(~missing, F.col(score))), F.asc(tie)).limit(k)
+    scored = df.filter(~missing)
     n = scored.count()
-    if n <= k:
-        return df if n == df.count() else df.orderBy(F.desc_nulls_last(score), F.asc(tie)).limit(k)
-    cut = -order_statistics(scored, -F.col(score).cast("double"), [k])[k]
-    above = scored.filter(F.col(score) > cut).count()
-    last = order_statistics(scored.filter(F.col(score) == cut), tie, [k - above])[k - above]
-    return scored.filter((F.col(score) > cut) | ((F.col(score) == cut) & (F.col(tie) <= last)))
+    if n < k:
+        return scored.unionByName(_first_by(df.filter(missing), tie, k - n))
+    cut = order_statistics(scored, score, [n - k + 1])[n - k + 1]
+    above = scored.filter(F.col(score) > cut)
+    return above.unionByName(_first_by(scored.filter(F.col(score) == cut), tie, k - above.count()))
+
+
+def _first_by(df: DataFrame, tie: str, k: int) -> DataFrame:
+    """The first ``k`` rows by ascending ``tie``, NULL first."""
+    blank = df.filter(F.col(tie).isNull())
+    n = blank.count()
+    if n >= k:
+        return blank.limit(k)
+    last = order_statistics(df, tie, [k - n]).get(k - n)
+    if last is None:
+        return df
+    below = df.filter(F.col(tie) < last)
+    # rows at the cut agree in score and tie, so any of them will do
+    return blank.unionByName(below).unionByName(df.filter(F.col(tie) == last).limit(k - n - below.count()))
 
 
 def top_k_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key, ranked from 1; Spark limits each key per input partition before the shuffle."""
+    """First ``k`` rows per key, ranked from 1.
+
+    Every key is limited before its rows come together: by Spark itself for a short list, and by a first ranking within parts of the
+    key, one for each input partition, for a longer one.
+    """
+    if k > WINDOW_LIMIT:
+        part = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= k).drop("_part", "_n")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 

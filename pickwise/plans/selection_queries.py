@@ -8,7 +8,7 @@ from pickwise.operators import acquire as ac
 from pickwise.operators import similarity as si
 from pickwise.operators.diversity import diversify as reorder
 from pickwise.operators.metrics import report
-from pickwise.operators.surrogate import ForestSurrogate, dense_features
+from pickwise.operators.surrogate import ColumnSurrogate, ForestSurrogate, dense_features
 from pickwise.plans import campaign as ca
 from pickwise.plans import tables as t
 from pickwise.plans.registry import query
@@ -155,27 +155,62 @@ def _library(spark, d):
     return candidates, truth
 
 
-@query()
+COUNTED = """c AS (SELECT vec_id AS pool_idx, label::DOUBLE AS a, len(list_filter(range(64), lambda i: embedding[i + 1] > 0))::DOUBLE AS p FROM embeddings),
+ n AS (SELECT count(*) AS n FROM c), h AS (SELECT pool_idx FROM (SELECT pool_idx, row_number() OVER (ORDER BY a DESC, pool_idx) AS rk FROM c), n WHERE rk <= greatest(1, ceil(0.01::DOUBLE * n)))"""
+BY_COUNT = ColumnSurrogate(("popcount",), ("wobble",))
+
+
+def _counted(spark, d):
+    """The library with a score of an outside model: the number of positive features, and its remainder by seven as spread."""
+    candidates, truth = _library(spark, d)
+    bits = t.fingerprints(spark, d).select("pool_idx", F.col("popcount").cast("double").alias("popcount"))
+    return candidates.join(bits, "pool_idx").withColumn("wobble", F.col("popcount") % 7), truth
+
+
+@query("SELECT vec_id AS pool_idx, true AS mean_in_range, true AS spread_in_range FROM embeddings")
 def rf_fit_predict(spark, d):
-    """Forest mean and spread for every candidate, trained on the revealed ones."""
+    """Forest mean and spread for every candidate, trained on the revealed ones: a tree mean lies among the labels, a spread within half
+    their range."""
     candidates, truth = _library(spark, d)
     first = ac.initial_batch(candidates, candidates.count(), 0.2, 0)
     training = first.select("pool_idx").join(candidates, "pool_idx").join(truth, "pool_idx")
     out = ForestSurrogate(20, 0, 12).fit(training, ["activity"]).predict(candidates)
-    return out.select("pool_idx", F.round("mean0", 6).alias("mean"), F.round("std0", 6).alias("std"))
+    low, high = training.agg(F.min("activity"), F.max("activity")).first()
+    return out.select(
+        "pool_idx", F.col("mean0").between(low - 1e-9, high + 1e-9).alias("mean_in_range"),
+        F.col("std0").between(0.0, (high - low) / 2 + 1e-9).alias("spread_in_range"),
+    )
 
 
-@query()
+@query(f"""WITH {COUNTED}, lab AS (SELECT c.*, row_number() OVER (ORDER BY {U.format(seed=0)} DESC, pool_idx) AS k FROM c),
+first AS (SELECT * FROM lab, n WHERE k <= greatest(1, floor(0.2::DOUBLE * n))), lim AS (SELECT min(a) AS lo, max(a) AS hi FROM first), cut AS (SELECT quantile_cont(-p, 0.1) AS q FROM c),
+s AS (SELECT pool_idx, (p + 0.5::DOUBLE * (p % 7) - lo) / (hi - lo) AS score FROM c, lim, cut WHERE pool_idx NOT IN (SELECT pool_idx FROM first) AND -p >= q)
+SELECT row_number() OVER (ORDER BY score DESC, pool_idx) AS rank, pool_idx, round(score, 9) AS score, 'ucb' AS strategy FROM s QUALIFY rank <= 20""")
 def select_round(spark, d):
     """One round: availability, feasibility, surrogate, acquisition."""
     from dataclasses import replace
 
-    candidates, truth = _library(spark, d)
-    ease = candidates.join(t.fingerprints(spark, d).select("pool_idx", (-F.col("popcount")).cast("double").alias("sa_ease")), "pool_idx")
+    candidates, truth = _counted(spark, d)
+    ease = candidates.withColumn("sa_ease", -F.col("popcount"))
     first = ac.initial_batch(candidates, candidates.count(), 0.2, 0).select("pool_idx")
     labels = first.join(candidates, "pool_idx").join(truth, "pool_idx")
     rules = replace(RULES, acquisition="ucb", ease_quantile=0.1)
-    return _out(ca.select_round(ease, labels, rules, taken=first))
+    return _out(ca.select_round(ease, labels, rules, taken=first, surrogate=BY_COUNT))
+
+
+def _chain(name: str, order: str, rounds: int, k: int = 20) -> str:
+    """CTEs of a campaign's picks: a random start, then ``k`` rows a round by ``order``; {{r}} in it is the round."""
+    start = f"{name}0 AS (SELECT pool_idx, a, 0 AS round FROM (SELECT c.*, row_number() OVER (ORDER BY {U.format(seed=0)} DESC, pool_idx) AS k FROM c), n WHERE k <= greatest(1, floor(0.04::DOUBLE * n)))"
+    parts = [start]
+    for r in range(1, rounds + 1):
+        taken = " UNION ALL ".join(f"SELECT pool_idx FROM {name}{i}" for i in range(r))
+        parts.append(f"{name}{r} AS (SELECT pool_idx, a, {r} AS round FROM (SELECT c.*, row_number() OVER (ORDER BY {order.replace('{r}', str(r))}, pool_idx) AS k FROM c WHERE pool_idx NOT IN ({taken})) WHERE k <= {k})")
+    parts.append(f"{name} AS ({' UNION ALL '.join(f'SELECT * FROM {name}{i}' for i in range(rounds + 1))})")
+    return ", ".join(parts)
+
+
+RANDOM_ORDER = U.replace("{seed}", "{r}") + " DESC"
+FIGURES = """count(*) AS n_labeled, round(avg(a), 9) AS mean_activity, round(count(*) FILTER (WHERE pool_idx IN (SELECT pool_idx FROM h)) / (SELECT count(*) FROM h)::DOUBLE, 9) AS top1_recall"""
 
 
 def _pick(prev: str, r: int, seed: int, k: str) -> str:
@@ -218,15 +253,17 @@ def grouped_report(spark, d):
     return r.select("g", "n_labeled", F.round("hv_frac", 9).alias("hv_frac"), F.round("pareto_recall", 9).alias("pareto_recall"))
 
 
-@query()
+@query(f"""WITH {COUNTED}, {_chain('g', 'p DESC', 3)} SELECT r.round, {FIGURES.replace('pool_idx', 'g.pool_idx').replace('SELECT g.pool_idx', 'SELECT pool_idx')},
+ round((count(*) FILTER (WHERE g.pool_idx IN (SELECT pool_idx FROM h)) / count(*)::DOUBLE) / ((SELECT count(*) FROM h) / (SELECT n FROM n)::DOUBLE), 9) AS ef_top1
+ FROM (SELECT DISTINCT round FROM g) r JOIN g ON g.round <= r.round GROUP BY r.round""")
 def backtest(spark, d):
     """A closed loop of three rounds, reported per round."""
     from dataclasses import replace
 
-    candidates, truth = _library(spark, d)
-    labels = ca.run_campaign(candidates, ca.evaluate_from(truth, ["activity"]), replace(RULES, acquisition="greedy"), 3)
+    candidates, truth = _counted(spark, d)
+    labels = ca.run_campaign(candidates, ca.evaluate_from(truth, ["activity"]), replace(RULES, acquisition="greedy"), 3, surrogate=BY_COUNT)
     r = ca.history(truth, labels, ["activity"])
-    return r.select("round", "n_labeled", "mean_activity", "top1_recall", "ef_top1", "bedroc")
+    return r.select("round", "n_labeled", *[F.round(c, 9).alias(c) for c in ("mean_activity", "top1_recall", "ef_top1")])
 
 
 def text_library(spark, d):
@@ -246,20 +283,91 @@ def text_library(spark, d):
 ENRICHMENT = ca.Rules(batch_size=50, init_fraction=0.005, n_trees=40, beta=0.5, pending_lambda=0.0, max_bins=2, features="fp")
 
 
-@query()
+@query("""SELECT s AS strategy, 0 AS seed, least(count(*), greatest(1, floor(0.005::DOUBLE * count(*))) + 250)::BIGINT AS n_labeled, true AS as_good_as_random
+ FROM documents, (VALUES ('random'), ('greedy'), ('ucb')) v(s) GROUP BY s""")
 def enrichment_campaign(spark, d):
-    """The published comparison: five rounds of fifty over a fingerprint library, three strategies."""
+    """The published comparison: five rounds of fifty over a fingerprint library, three strategies, none worse than random."""
+    r = enrichment(spark, d)
+    least = r.filter("strategy = 'random'").select(F.col("top1_recall").alias("least"))
+    return r.join(F.broadcast(least), F.col("top1_recall") >= F.col("least"), "left").select(
+        "strategy", "seed", "n_labeled", F.col("least").isNotNull().alias("as_good_as_random")
+    )
+
+
+def enrichment(spark, d):
     candidates, truth = text_library(spark, d)
     r = ca.compare(candidates, truth, ENRICHMENT, ["random", "greedy", "ucb"], 5)
     return r.select("strategy", "seed", "n_labeled", "mean_activity", "top01_recall", "top1_recall", "ef_top1", "bedroc", "n_hits_top1")
 
 
-@query()
+@query(f"""WITH {COUNTED}, {_chain('r', RANDOM_ORDER, 2)}, {_chain('g', 'p DESC', 2)}, {_chain('u', 'p + 0.5::DOUBLE * (p % 7) DESC', 2)},
+every AS (SELECT 'random' AS strategy, * FROM r UNION ALL SELECT 'greedy', * FROM g UNION ALL SELECT 'ucb', * FROM u) SELECT strategy, 0 AS seed, {FIGURES} FROM every GROUP BY strategy""")
 def compare_strategies(spark, d):
     """Random, greedy and upper confidence bound under the same budget."""
+    candidates, truth = _counted(spark, d)
+    r = ca.compare(candidates, truth, RULES, ["random", "greedy", "ucb"], 2, surrogate=BY_COUNT)
+    return r.select("strategy", "seed", "n_labeled", *[F.round(c, 9).alias(c) for c in ("mean_activity", "top1_recall")])
+
+
+def _tries(rounds: int, k: int, start: str) -> str:
+    """CTEs of a loop with failures: a candidate leaves after one result or two failures. ``o`` (pool_idx, a, out)."""
+    parts = [f"p0 AS (SELECT pool_idx, a, out, 0 AS round FROM (SELECT o.*, row_number() OVER (ORDER BY {U.format(seed=0)} DESC, pool_idx) AS k FROM o) WHERE k <= {start})"]
+    for r in range(1, rounds + 1):
+        before = " UNION ALL ".join(f"SELECT pool_idx, out FROM p{i}" for i in range(r))
+        gone = f"SELECT pool_idx FROM ({before}) GROUP BY pool_idx HAVING count(*) > 1 OR max(out) = 'COMPLETED'"
+        parts.append(f"p{r} AS (SELECT pool_idx, a, out, {r} AS round FROM (SELECT o.*, row_number() OVER (ORDER BY {U.format(seed=r)} DESC, pool_idx) AS k FROM o WHERE pool_idx NOT IN ({gone})) WHERE k <= {k})")
+    parts.append(f"p AS ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(rounds + 1))})")
+    return ", ".join(parts)
+
+
+LOOP_SQL = """counts AS (SELECT round, count(*) AS submitted, count(*) FILTER (out = 'COMPLETED') AS completed, count(*) FILTER (out = 'FAILED') AS failed, count(*) FILTER (out = 'QC_REJECTED') AS qc_rejected FROM p GROUP BY round),
+known AS (SELECT c.round, count(*) AS n_labeled, round(avg(a), 9) AS mean_activity FROM counts c JOIN p ON p.round <= c.round AND p.out = 'COMPLETED' GROUP BY c.round)
+SELECT 'round-' || round AS job_id, round, submitted, completed, failed, qc_rejected, n_labeled, mean_activity, 'random' AS acquisition FROM counts JOIN known USING (round)"""
+LOOP_COLUMNS = ("job_id", "round", "submitted", "completed", "failed", "qc_rejected", "n_labeled")
+
+
+def _loop_rows(history):
+    return history.select(*LOOP_COLUMNS, F.round("mean_activity", 9).alias("mean_activity"), "acquisition")
+
+
+@query(f"""WITH c AS (SELECT vec_id AS pool_idx, label::DOUBLE AS a FROM embeddings), o AS (SELECT pool_idx, a, CASE WHEN {U.format(seed=77)} < 0.3 THEN 'FAILED' WHEN {U.format(seed=78)} < 0.15 THEN 'QC_REJECTED' ELSE 'COMPLETED' END AS out FROM c),
+{_tries(4, 20, '(SELECT greatest(1, floor(0.04::DOUBLE * count(*))) FROM c)')}, {LOOP_SQL}""")
+def backtest_failures(spark, d):
+    """The closed loop over the observation log with failing and rejected evaluations, each tried twice."""
+    from dataclasses import replace
+
+    from pickwise.functions.hashing import seeded_uniform
+    from pickwise.operators.jobs import reveal
+    from pickwise.plans import closed_loop as cl
+
     candidates, truth = _library(spark, d)
-    r = ca.compare(candidates, truth, RULES, ["random", "greedy", "ucb"], 2)
-    return r.select("strategy", "seed", "n_labeled", "mean_activity", "top1_recall", "ef_top1", "bedroc")
+    candidates = candidates.withColumn("smiles", F.concat(F.lit("S"), F.col("pool_idx").cast("string")))
+
+    def evaluate(items):
+        seen = reveal(items, truth, F.array("activity"))
+        bad, poor = seeded_uniform(77, F.col("pool_idx")) < 0.3, seeded_uniform(78, F.col("pool_idx")) < 0.15
+        state = F.when(bad, "FAILED").when(poor, "QC_REJECTED").otherwise(F.col("state"))
+        return seen.withColumn("state", state).withColumns({"values": F.when(state == "COMPLETED", F.col("values")), "qc_passed": F.col("state") == "COMPLETED"})
+
+    rules = replace(RULES, acquisition="random")
+    log = cl.run_loop(candidates, evaluate, rules, 4)
+    return _loop_rows(cl.loop_history(truth, log, rules))
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS pool_idx, length(p_name)::DOUBLE AS a, p_name, p_size FROM part), o AS (SELECT pool_idx, a, CASE WHEN p_size > 40 OR length(p_name) > 12 THEN 'FAILED' ELSE 'COMPLETED' END AS out FROM c),
+{_tries(2, 40, '(SELECT greatest(1, floor(0.04::DOUBLE * count(*))) FROM c)')}, {LOOP_SQL}""")
+def backtest_plugin(spark, d):
+    """A user function evaluates the batches of the closed loop."""
+    from dataclasses import replace
+
+    from pickwise.plans import closed_loop as cl
+
+    part = t.table(spark, d, "part")
+    candidates = part.select(F.col("p_partkey").alias("pool_idx"), F.concat_ws("/", "p_name", F.col("p_size").cast("string")).alias("smiles"), F.lit(0).alias("features"))
+    truth = part.select(F.col("p_partkey").alias("pool_idx"), F.length("p_name").cast("double").alias("activity"))
+    rules = replace(RULES, acquisition="random", batch_size=40)
+    log = cl.run_loop(candidates, ca.evaluate_with(_score_text), rules, 2)
+    return _loop_rows(cl.loop_history(truth, log, rules))
 
 
 @query(f"""WITH {t.LABELLED}, tr AS (SELECT vec_id AS pool_idx, label::DOUBLE AS a FROM embeddings), n AS (SELECT count(*) AS n FROM tr),

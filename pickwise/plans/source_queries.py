@@ -134,7 +134,7 @@ def _plate_items(spark, d):
  WHEN o_orderpriority LIKE '1%' THEN 'missing field: campaign_id'
  WHEN o_custkey < 300 THEN 'missing field: round'
  WHEN o_totalprice < 100000 THEN 'missing field: plate'
- WHEN o_totalprice < 200000 THEN 'plate must be a non-empty list' END AS reason FROM orders""")
+ WHEN o_totalprice < 200000 THEN 'plate is not a list with items' END AS reason FROM orders""")
 def payload_validate(spark, d):
     o = t.table(spark, d, "orders")
     plate = F.when(F.col("o_totalprice") < 100_000, F.lit(None)).when(F.col("o_totalprice") < 200_000, F.array().cast("array<bigint>")).otherwise(F.array("o_custkey"))

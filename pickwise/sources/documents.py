@@ -69,17 +69,22 @@ def plate_documents(items: DataFrame, cap: int = MAX_DOCUMENT_ITEMS) -> DataFram
 
 def validate_plates(docs: DataFrame, column: str = "payload") -> DataFrame:
     """Adds ``reason``: NULL for a valid document, else the first rule it breaks."""
+    keys = F.json_object_keys(column)
+
     def has(field: str) -> Column:
-        return F.get_json_object(column, f"$.{field}").isNotNull()
+        """The field is there, with or without a value."""
+        return F.coalesce(F.array_contains(keys, field), F.lit(False))
 
-    plate = F.get_json_object(column, "$.plate")
+    # each top-level value as its JSON text, so that a string that looks like a list is told from one
+    plate = F.from_json(F.col(column), "map<string,variant>")["plate"]
+    kind, n = F.schema_of_variant(plate), F.size(F.try_variant_get(plate, "$", "array<variant>"))
     version = F.get_json_object(column, "$.protocol_version")
     reason = (
         F.when(F.coalesce(version != PROTOCOL_VERSION, F.lit(True)), F.concat(F.lit("unsupported protocol_version: "), F.coalesce(version, F.lit("none"))))
         .when(~has("campaign_id"), F.lit("missing field: campaign_id"))
         .when(~has("round"), F.lit("missing field: round"))
-        .when(plate.isNull(), F.lit("missing field: plate"))
-        .when(~plate.startswith("[") | (F.coalesce(F.json_array_length(plate), F.lit(0)) == 0), F.lit("plate must be a non-empty list"))
+        .when(~has("plate"), F.lit("missing field: plate"))
+        .when(~F.coalesce(kind.startswith("ARRAY") & (n > 0), F.lit(False)), F.lit("plate is not a list with items"))
     )
     return docs.withColumn("reason", reason)
 

@@ -25,9 +25,11 @@ def replay(spark: SparkSession, path: str, n_objectives: int, order: Sequence[st
 
 
 def save_version(df: DataFrame, path: str, version: int) -> str:
-    """A complete snapshot in its own folder; an earlier version is never overwritten."""
+    """A complete snapshot in its own folder; a finished version is never overwritten, an unfinished one is written anew."""
     target = f"{path.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(target)
+    if version in versions(df.sparkSession, path):
+        raise FileExistsError(f"version {version} is already complete: {target}")
+    df.write.mode("overwrite").parquet(target)
     return target
 
 

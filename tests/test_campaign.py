@@ -118,11 +118,13 @@ def test_best_split_equals_brute_force():
     assert best_split(np.ones((4, 2)), y[:4], w[:4]) is None
 
 
-def test_many_labels_go_to_mllib(spark, library):
+def test_the_rules_name_the_surrogate(spark, library):
     cands, truth = library
     labels = cands.join(truth, "pool_idx").filter("pool_idx < 60")
-    got = ca.select_round(cands, labels, replace(RULES, small_labels=10), taken=labels)
-    assert got.count() == 10
+    for rules in (replace(RULES, surrogate="forest"), replace(RULES, fit_rows=10), replace(RULES, acquisition="Random")):
+        assert ca.select_round(cands, labels, rules, taken=labels).count() == 10
+    with pytest.raises(ValueError, match="surrogate"):
+        ca.select_round(cands, labels, replace(RULES, surrogate="other"), taken=labels)
 
 
 def test_bit_features(spark):

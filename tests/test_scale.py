@@ -71,3 +71,37 @@ def test_same_result_on_any_partitioning(spark):
     df = numbers(spark, np.random.default_rng(5).normal(size=200))
     one = sc.global_index(df.coalesce(1), ["v"], "pos").orderBy("id").collect()
     assert one == sc.global_index(df.repartition(8), ["v"], "pos").orderBy("id").collect()
+
+
+ODD = [float("nan"), None, float("inf"), float("-inf"), 3.0, 3.0, -1.5, float("nan"), float("inf"), 0.0, None, 1e308, -1e308]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 9, 10, 12, 13, 20])
+def test_top_list_with_odd_scores(spark, k):
+    rows = [((1 << 53) + 3 * (len(ODD) - i) if i else None, v) for i, v in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "id BIGINT, v DOUBLE").repartition(3)
+    value = lambda v: v is not None and v == v
+    want = sorted(rows, key=lambda r: (not value(r[1]), -r[1] if value(r[1]) else 0, -1 if r[0] is None else r[0]))[:k]
+    for limit in (0, 100):
+        assert sorted(r.id or 0 for r in sc.top_k(df, "v", k, "id", limit=limit).collect()) == sorted(r[0] or 0 for r in want)
+
+
+def test_large_whole_numbers_keep_their_digits(spark):
+    values = [(1 << 62) + i for i in range(40)] + [-(1 << 62) - i for i in range(40)] + [(1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(v,) for v in values], "v BIGINT")
+    assert sc.order_statistics(df, "v", [1, 2, 40, 60, 82]) == {r: sorted(values)[r - 1] for r in (1, 2, 40, 60, 82)}
+
+
+def test_quantiles_with_odd_values(spark):
+    df = spark.createDataFrame([(v,) for v in ODD], "v DOUBLE")
+    inner = sorted(v for v in ODD if v is not None and v == v)
+    for small in (0, 100):
+        got = sc.quantiles(df, "v", [0.0, 0.5, 1.0], small=small)
+        assert got == [inner[0], (inner[4]), inner[-1]]
+
+
+def test_long_lists_per_key_equal_short_ones(spark, monkeypatch):
+    df = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 5).alias("k"), F.col("id")).repartition(7)
+    short = sc.top_k_per(df, ["k"], [F.desc("id")], 60).collect()
+    monkeypatch.setattr(sc, "WINDOW_LIMIT", 10)
+    assert sorted(sc.top_k_per(df, ["k"], [F.desc("id")], 60).collect()) == sorted(short)

@@ -87,9 +87,12 @@ def test_validation_reasons(spark):
         '{"protocol_version":"v1","round":1,"plate":[1]}': "missing field: campaign_id",
         '{"protocol_version":"v1","campaign_id":"c","plate":[1]}': "missing field: round",
         '{"protocol_version":"v1","campaign_id":"c","round":1}': "missing field: plate",
-        '{"protocol_version":"v1","campaign_id":"c","round":1,"plate":[]}': "plate must be a non-empty list",
-        '{"protocol_version":"v1","campaign_id":"c","round":1,"plate":{"a":1}}': "plate must be a non-empty list",
+        '{"protocol_version":"v1","campaign_id":"c","round":1,"plate":[]}': "plate is not a list with items",
+        '{"protocol_version":"v1","campaign_id":"c","round":1,"plate":{"a":1}}': "plate is not a list with items",
         '{"protocol_version":"v1","campaign_id":"c","round":1,"plate":[1]}': None,
+        '{"protocol_version":"v1","campaign_id":"c","round":1,"plate":"[1]"}': "plate is not a list with items",
+        '{"protocol_version":"v1","campaign_id":null,"round":null,"plate":[null]}': None,
+        '{"protocol_version":"v1","campaign_id":"c","round":1,"plate":null}': "plate is not a list with items",
         "not json": "unsupported protocol_version: none",
     }
     df = spark.createDataFrame([(k,) for k in cases], "payload STRING")
