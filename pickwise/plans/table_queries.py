@@ -94,9 +94,9 @@ def training_matrix(spark, d):
     return m.select("pool_idx", F.round(F.get("values", F.lit(0)), 6).alias("target"), F.size("fp").cast("bigint").alias("n_features"))
 
 
-@query(f"WITH {t.CANDIDATES} SELECT l_partkey AS pool_idx, smiles, qed FROM lineitem JOIN candidates ON pool_idx = l_partkey WHERE l_linenumber = 1 AND l_quantity >= 45")
+@query(f"WITH {t.CANDIDATES} SELECT l_partkey AS pool_idx, smiles, qed FROM lineitem JOIN candidates ON pool_idx = l_partkey")
 def gather(spark, d):
-    ids = t.table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_quantity >= 45").select(F.col("l_partkey").alias("pool_idx"))
+    ids = t.table(spark, d, "lineitem").select(F.col("l_partkey").alias("pool_idx"))
     return si.gather(t.candidates(spark, d), ids, ["smiles", "qed"])
 
 

@@ -76,16 +76,17 @@ CONTRIBUTES = "state = 'COMPLETED' AND qc_passed AND pool_idx >= 0"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluated candidates with the time of their first accepted measurement."""
-    li = table(spark, sf_dir, "lineitem")
-    ok = (F.col("l_quantity") >= 30) & (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1)
-    return li.filter(ok).groupBy(F.col("l_partkey").alias("pool_idx")).agg(
-        F.min(F.unix_date(F.to_date("l_shipdate"))).alias("ts"), F.count(F.lit(1)).alias("n")
+    """Candidates whose accepted measurements agree (spread of at most 14), with the time of the first."""
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'")
+    q = F.col("l_quantity")
+    known = li.groupBy(F.col("l_partkey").alias("pool_idx")).agg(
+        F.min(F.unix_date(F.to_date("l_shipdate"))).alias("ts"), F.count(F.lit(1)).alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("ss")
     )
+    return known.filter("n * ss - s * s <= 196 * n * n").drop("s", "ss")
 
 
 LABELLED = """labelled AS (SELECT l_partkey AS pool_idx, min(l_shipdate::DATE - DATE '1970-01-01')::INT AS ts, count(*) AS n FROM lineitem
-  WHERE l_quantity >= 30 AND l_returnflag = 'N' AND l_linenumber = 1 GROUP BY l_partkey)"""
+  WHERE l_returnflag = 'N' GROUP BY l_partkey HAVING count(*) * sum(l_quantity * l_quantity) - sum(l_quantity) * sum(l_quantity) <= 196 * count(*) * count(*))"""
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

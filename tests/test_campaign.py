@@ -152,3 +152,56 @@ def test_run_summary(spark, library):
     _, truth = library
     row = run_summary(ca.history(truth, truth.limit(5), ["activity"], rounds=False), 1.23456, 6, acquisition="ucb", seed=0).first()
     assert (row.wall_clock_s, row.history_len, row.acquisition, row.n_labeled) == (1.235, 6, "ucb", 5)
+
+
+def test_a_half_written_round_is_written_anew(spark, library, tmp_path):
+    cands, truth = library
+    path = str(tmp_path / "run")
+    reveal = ca.evaluate_from(truth, ["activity"])
+    ca.run_campaign(cands, reveal, replace(RULES, acquisition="random"), 0, path)
+    (tmp_path / "run" / "version=1" / "_temporary").mkdir(parents=True)
+    (tmp_path / "run" / "version=1" / "part-00000.parquet").write_bytes(b"half")
+    labels = ca.run_campaign(cands, reveal, replace(RULES, acquisition="random"), 1, path)
+    assert versions(spark, path) == [0, 1] and labels.count() == 30
+
+
+def test_loop_retries_controls_and_goes_on(spark, library, tmp_path):
+    from pickwise.plans import closed_loop as cl
+
+    cands, truth = library
+    cands = cands.withColumn("smiles", F.col("pool_idx").cast("string"))
+    controls = spark.createDataFrame([(i,) for i in range(150, 200)], "pool_idx BIGINT")
+    rules = replace(RULES, acquisition="greedy", n_trees=3)
+    evaluate = cl.evaluate_from(truth, ("activity",), F.col("pool_idx") % 3 == 0)
+    path = str(tmp_path / "loop")
+    cl.run_loop(cands, evaluate, rules, 1, path=path, controls=controls)
+    log = cl.run_loop(cands, evaluate, rules, 3, path=path, controls=controls)
+    assert versions(spark, path) == [0, 1, 2, 3]
+    rows = log.collect()
+    assert all(r.pool_idx < 150 for r in rows)
+    tries = {}
+    for r in rows:
+        tries[r.pool_idx] = tries.get(r.pool_idx, 0) + 1
+    assert all(n == 1 or (i % 3 == 0 and n == 2) for i, n in tries.items())
+    state = cl.derive(log, rules, cl.Policy())
+    phase = {r.pool_idx: r.phase for r in state.phases.collect()}
+    assert all(phase[i] == ("LABELED" if i % 3 else "FAILED" if n == 2 else "RETRYABLE") for i, n in tries.items())
+    history = {r["round"]: r for r in cl.loop_history(truth, log, rules).collect()}
+    assert history[3].n_labeled == sum(1 for i in tries if i % 3) and all(r.submitted == r.completed + r.failed for r in history.values())
+
+
+def test_loop_leaves_what_is_under_way(spark, library, tmp_path):
+    from pickwise.plans import closed_loop as cl
+
+    cands, truth = library
+    cands = cands.withColumn("smiles", F.col("pool_idx").cast("string"))
+    full = cl.evaluate_from(truth, ("activity",))
+
+    def evaluate(items):  # half of the items only report that they run
+        seen = full(items)
+        runs = F.col("pool_idx") % 2 == 0
+        return seen.withColumns({"state": F.when(runs, "RUNNING").otherwise(F.col("state")), "values": F.when(~runs, F.col("values")), "qc_passed": F.col("qc_passed") & ~runs})
+
+    rules = replace(RULES, acquisition="random")
+    rows = cl.run_loop(cands, evaluate, rules, 3).collect()
+    assert len({r.pool_idx for r in rows}) == len(rows) == 50

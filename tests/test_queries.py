@@ -14,11 +14,7 @@ def con():
     return connect(SF)
 
 
-# these train forests over several rounds; the campaign tests cover their parts
-SLOW = {"enrichment_campaign"}
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     problem = compare(spark, con, SF, name, registry.QUERIES[name], registry.ORACLES.get(name))
     assert problem in (None, "no rows"), problem
