@@ -21,6 +21,7 @@ from pickwise.operators.similarity import pending_penalty
 
 SPAN_FLOOR = 1e-9
 CANDIDATE_CAP = 400
+VOLUME_ROUNDING = 1e-9
 RANK_LIMIT = 100_000
 
 
@@ -143,9 +144,11 @@ def pareto_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
         base = _volume(held, ref)
         while left and len(out) < k:
             gains = [_volume(np.vstack([held, opt[j : j + 1]]), ref) - base for j in left]
-            best = left.pop(int(np.argmax(gains)))
+            # gains that differ by rounding only are ties, and go to the lower id
+            place = next(i for i, g in enumerate(gains) if g >= max(gains) - VOLUME_ROUNDING * max(1.0, abs(base)))
+            best = left.pop(place)
             held = np.vstack([held, opt[best : best + 1]])
-            out.append((len(out) + 1, ids[best], max(gains)))
+            out.append((len(out) + 1, ids[best], gains[place]))
             base = _volume(held, ref)
         return pd.DataFrame(out, columns=["rank", "pool_idx", "score"])
 

@@ -70,7 +70,7 @@ def replay_log(spark, d):
 @query(f"""WITH {t.DEDUPED}, {t.LEDGER}
 SELECT job_id, status, item_id, deduped.pool_idx, deduped.kind FROM deduped JOIN ledger USING (job_id)""")
 def ledger_roundtrip(spark, d):
-    """Jobs with nested items, stored, read back and flattened."""
+    """Jobs and their items, stored as two tables, read back and joined."""
     from pickwise.operators.observations import dedupe
 
     items = dedupe(t.observations(spark, d), t.OBS_ORDER).select(
@@ -78,9 +78,8 @@ def ledger_roundtrip(spark, d):
         F.lit(None).cast("string").alias("well_id"), F.lit(None).cast("string").alias("replicate_of"),
     )
     path = scratch_path(spark, "ledger")
-    st.nest_ledger(t.ledger(spark, d), items).write.parquet(path)
-    back = spark.read.parquet(path)
-    return st.flat_items(back, ["job_id", "status"]).select("job_id", "status", "item_id", "pool_idx", "kind")
+    st.save_ledger(t.ledger(spark, d), items, path)
+    return st.flat_items(*st.load_ledger(spark, path), ["job_id", "status"]).select("job_id", "status", "item_id", "pool_idx", "kind")
 
 
 @query("""SELECT event_id::VARCHAR AS item_id, user_id AS pool_idx, 'COMPLETED' AS state, value AS v0, false AS qc_passed,
@@ -104,7 +103,7 @@ def scan_truth(spark, d):
 PLATE_ITEMS = f"""WITH {t.DEDUPED}, {t.LEDGER}, it AS (SELECT job_id, campaign_id, round, item_id, deduped.kind, compound_id, smiles, pool_idx FROM deduped JOIN ledger USING (job_id))"""
 
 
-@query(PLATE_ITEMS + """ SELECT job_id, 0 AS part, count(*) AS n_items, min(item_id) AS first_well, campaign_id, max(round) AS round,
+@query(PLATE_ITEMS + """ SELECT job_id, count(*) AS n_items, min(item_id) AS first_well, campaign_id, max(round) AS round,
  sum(pool_idx)::BIGINT AS idx_sum, 'v1' AS version FROM it GROUP BY job_id, campaign_id""")
 def plate_payload(spark, d):
     """Submit documents per job, read back field by field."""
@@ -112,7 +111,7 @@ def plate_payload(spark, d):
     items = F.from_json(F.get_json_object("payload", "$.plate"), "ARRAY<STRUCT<well: STRING, pool_idx: BIGINT>>")
     field = lambda n: F.get_json_object("payload", f"$.{n}")
     return docs.withColumn("_i", items).select(
-        "job_id", "part", "n_items", F.get("_i", F.lit(0))["well"].alias("first_well"), field("campaign_id").alias("campaign_id"),
+        "job_id", "n_items", F.get("_i", F.lit(0))["well"].alias("first_well"), field("campaign_id").alias("campaign_id"),
         field("round").cast("int").alias("round"),
         F.aggregate("_i", F.lit(0).cast("bigint"), lambda a, x: a + x["pool_idx"]).alias("idx_sum"),
         field("protocol_version").alias("version"),
@@ -155,10 +154,7 @@ def results_explode(spark, d):
         F.col("item_id").alias("well"), "kind", "smiles", "pool_idx", F.lit("COMPLETED").alias("state"),
         F.array(F.col("pool_idx") * 0.5).alias("values"),
     )
-    from pickwise.operators.scale import split_oversize
-
-    parts = split_oversize(items, ["job_id"], doc.MAX_DOCUMENT_ITEMS, ["item_id"])
-    docs = parts.groupBy("job_id", "campaign_id", "round", "part").agg(F.collect_list(row).alias("results")).select(
+    docs = items.groupBy("job_id", "campaign_id", "round").agg(F.collect_list(row).alias("results")).select(
         F.to_json(F.struct(F.col("job_id").cast("string").alias("job_id"), "campaign_id", "round", "results")).alias("doc")
     )
     obs = doc.results_to_observations(docs)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pickwise.operators.scale import split_oversize
 
 # Field names and types of the exchanged documents.
 PROTOCOL_VERSION = "v1"
@@ -18,7 +17,7 @@ RESULT_JSON = (
     "well: STRING, item_id: STRING, kind: STRING, compound_id: STRING, smiles: STRING, pool_idx: BIGINT, "
     "replicate_of: STRING, state: STRING, values: ARRAY<DOUBLE>, qc_passed: BOOLEAN, message: STRING>>"
 )
-MAX_DOCUMENT_ITEMS = 10_000
+PLATE_CAPACITY = 1536  # wells of the largest common plate
 
 
 def _default(name: str, value) -> Column:
@@ -54,17 +53,20 @@ def _plate_item() -> Column:
     )
 
 
-def plate_documents(items: DataFrame, cap: int = MAX_DOCUMENT_ITEMS) -> DataFrame:
-    """One submit document per job, wells in order.
+def plate_documents(items: DataFrame, capacity: int = PLATE_CAPACITY) -> DataFrame:
+    """One submit document per job, wells in order: job_id, n_items, payload, reason.
 
-    A job above ``cap`` items is spread over several documents (``part``), so no document and no
-    task has to hold a job of unlimited size.
+    A document is one plate. A job with more items than a plate has wells cannot be submitted: its payload is NULL, ``reason`` says why,
+    and its items are never brought together.
     """
     keys = ["campaign_id", "round", "job_id"]
-    parts = split_oversize(items, ["job_id"], cap, ["item_id"]).withColumn("_item", _plate_item())
-    plates = parts.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("_item")).alias("plate"))
+    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
+    fits = items.join(sizes.filter(F.col("n_items") <= capacity).drop("n_items"), keys).withColumn("_item", _plate_item())
+    plates = fits.groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias("plate"))
     doc = F.struct(F.lit(PROTOCOL_VERSION).alias("protocol_version"), *keys, "plate")
-    return plates.select("job_id", "part", F.size("plate").alias("n_items"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))
+    good = plates.select("job_id", F.size("plate").cast("long").alias("n_items"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"), F.lit(None).cast("string").alias("reason"))
+    over = sizes.filter(F.col("n_items") > capacity)
+    return good.unionByName(over.select("job_id", "n_items", F.lit(None).cast("string").alias("payload"), F.lit("more items than wells").alias("reason")))
 
 
 def validate_plates(docs: DataFrame, column: str = "payload") -> DataFrame:

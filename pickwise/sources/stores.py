@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pickwise.operators.observations import labels_from
-from pickwise.operators.scale import split_oversize
 
 LEDGER_FIELDS = ("item_id", "smiles", "pool_idx", "kind", "compound_id", "well_id", "replicate_of")
-ITEMS_PER_ROW = 10_000
 
 
 def append_observations(obs: DataFrame, path: str) -> None:
@@ -58,17 +56,20 @@ def load_version(spark: SparkSession, path: str, version: int | None = None) ->
     return spark.read.parquet(f"{path.rstrip('/')}/version={version}")
 
 
-def nest_ledger(jobs: DataFrame, items: DataFrame, cap: int = ITEMS_PER_ROW) -> DataFrame:
-    """Ledger rows with their items nested; a job above ``cap`` items takes several rows (``part``)."""
-    parts = split_oversize(items, ["job_id"], cap, ["item_id"])
-    nested = parts.groupBy("job_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct(*LEDGER_FIELDS))).alias("items")
-    )
-    return jobs.join(nested, "job_id", "left")
+def save_ledger(jobs: DataFrame, items: DataFrame, path: str) -> None:
+    """The ledger as two flat tables, one row per job and one row per item: a job may have any number of items."""
+    jobs.write.mode("overwrite").parquet(f"{path.rstrip('/')}/jobs")
+    items.select("job_id", *LEDGER_FIELDS).write.mode("overwrite").parquet(f"{path.rstrip('/')}/items")
+
+
+def load_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, items) as stored."""
+    return tuple(spark.read.parquet(f"{path.rstrip('/')}/{part}") for part in ("jobs", "items"))
 
 
-def flat_items(ledger: DataFrame, keep: Sequence[str] = ("job_id",)) -> DataFrame:
-    return ledger.select(*keep, F.explode("items").alias("_i")).select(*keep, "_i.*")
+def flat_items(jobs: DataFrame, items: DataFrame, keep: Sequence[str] = ("job_id",)) -> DataFrame:
+    """Items with columns of their job; items of unknown jobs are left out."""
+    return items.join(jobs.select(*dict.fromkeys(("job_id", *keep))), "job_id")
 
 
 def save_campaign(spark: SparkSession, header: dict, path: str, version: int) -> None:

@@ -77,8 +77,9 @@ def test_oversize_job_takes_several_documents(spark):
         F.lit("experimental").alias("kind"), F.lit("").alias("compound_id"), F.lit("").alias("smiles"), F.col("id").alias("pool_idx"),
         F.lit("").alias("well_id"), F.lit(None).cast("string").alias("replicate_of"),
     )
-    docs = doc.plate_documents(many, cap=100)
-    assert docs.count() == 5 and docs.agg(F.sum("n_items")).first()[0] == 500
+    assert [(r.n_items, r.payload, r.reason) for r in doc.plate_documents(many, capacity=100).collect()] == [(500, None, "more items than wells")]
+    whole = doc.plate_documents(many).first()
+    assert whole.n_items == 500 and whole.payload.count('"well"') == 500 and whole.reason is None
 
 
 def test_validation_reasons(spark):
