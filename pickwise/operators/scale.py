@@ -191,18 +191,6 @@ def grouped_index(
     return placed.join(firsts, list(keys)).withColumn(name, F.col("_global") - F.col("_first")).drop("_global", "_first")
 
 
-def split_oversize(df: DataFrame, keys: Sequence[str], cap: int, spread: Sequence[str], name: str = "part") -> DataFrame:
-    """Number the parts of groups above ``cap`` rows by a row hash; all other groups are part 0."""
-    big = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > cap)
-        .select(*keys, F.ceil(F.col("_n") / cap).alias("_parts"))
-    )
-    part = F.pmod(F.xxhash64(*spread), F.col("_parts"))
-    return df.join(big, list(keys), "left").withColumn(name, F.coalesce(part, F.lit(0)).cast("int")).drop("_parts")
-
-
 def blocks(df: DataFrame, size: int = BLOCK_ROWS) -> Iterator[list]:
     """Rows of ``df`` in driver-sized blocks; more rows mean more blocks, never a bigger one.
 

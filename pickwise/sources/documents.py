@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pickwise.functions.states import ITEM_KINDS, WELL_STATES
+
 
 # Field names and types of the exchanged documents.
 PROTOCOL_VERSION = "v1"
@@ -38,6 +40,31 @@ def observations_from_json(docs: DataFrame, column: str = "doc") -> DataFrame:
     return docs.select(*keep, F.from_json(column, OBSERVATION_JSON).alias("_o")).select(*keep, "_o.*").select(*keep, *_with_defaults())
 
 
+def _problem(column: str, field: str | None = None) -> Column:
+    """Why a document cannot be read: NULL for a JSON object, with the named list if one is asked for."""
+    reason = F.when(F.json_object_keys(column).isNull(), F.lit("unreadable JSON"))
+    if field is not None:
+        rows = F.from_json(F.col(column), "map<string,variant>")[field]
+        reason = reason.when(~F.coalesce(F.schema_of_variant(rows).startswith("ARRAY"), F.lit(False)), F.lit(f"no list of {field}"))
+    return reason
+
+
+def split_observations(docs: DataFrame, column: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(observations, quarantined documents with ``reason``): unreadable JSON, and states and kinds that do not exist."""
+    state, kind = F.get_json_object(column, "$.state"), F.coalesce(F.get_json_object(column, "$.kind"), F.lit("experimental"))
+    reason = F.coalesce(
+        _problem(column), F.when(~F.coalesce(state.isin(*WELL_STATES), F.lit(False)), F.lit("unknown state")), F.when(~kind.isin(*ITEM_KINDS), F.lit("unknown kind"))
+    )
+    checked = docs.withColumn("reason", reason)
+    return observations_from_json(checked.filter("reason IS NULL").drop("reason"), column), checked.filter("reason IS NOT NULL")
+
+
+def split_results(docs: DataFrame, column: str = "doc", source: str = "robot") -> tuple[DataFrame, DataFrame]:
+    """(observations, quarantined documents with ``reason``) from result documents: unreadable JSON, or no list of results."""
+    checked = docs.withColumn("reason", _problem(column, "results"))
+    return results_to_observations(checked.filter("reason IS NULL"), column, source), checked.filter("reason IS NOT NULL")
+
+
 def observations_to_json(obs: DataFrame, name: str = "doc") -> DataFrame:
     fields = ["smiles", "pool_idx", "values", "state", "qc_passed", "source", "compound_id", "item_id", "kind", "raw", "message"]
     seconds = (F.unix_micros("ts") / 1e6).alias("timestamp")

@@ -54,14 +54,6 @@ def test_grouped_index_with_a_hot_key(spark):
         by[r.k] = r.n + 1
 
 
-def test_split_oversize_only_touches_big_groups(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
-    parts = sc.split_oversize(df, ["k"], 100, ["id"])
-    assert parts.count() == 1000
-    assert parts.filter("k = 'hot'").select("part").distinct().count() == 9
-    assert parts.filter("k <> 'hot' and part <> 0").count() == 0
-
-
 def test_blocks_cover_every_row_once(spark):
     seen = [r.id for b in sc.blocks(spark.range(105), 20) for r in b]
     assert sorted(seen) == list(range(105))

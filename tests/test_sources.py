@@ -133,3 +133,16 @@ def test_snapshots_and_campaign_header(spark, tmp_path):
 def test_history_sink(spark, tmp_path):
     st.write_history(spark.range(2), str(tmp_path / "h"))
     assert spark.read.json(str(tmp_path / "h")).count() == 2
+
+
+def test_unreadable_documents_are_kept_apart(spark):
+    docs = spark.createDataFrame([
+        ('{"item_id":"a","pool_idx":1,"state":"COMPLETED"}',), ("{broken",), (None,), ('{"state":"MELTED"}',), ('{"state":"FAILED","kind":"cat"}',), ("[1]",),
+    ], "doc STRING")
+    good, bad = doc.split_observations(docs)
+    assert [r.item_id for r in good.collect()] == ["a"]
+    assert sorted(r.reason for r in bad.collect()) == ["unknown kind", "unknown state"] + ["unreadable JSON"] * 3
+    results = spark.createDataFrame([('{"job_id":"j","results":[{"well":"A1","state":"COMPLETED"}]}',), ("nothing",), ('{"job_id":"k"}',), ('{"results":"[1]"}',)], "doc STRING")
+    good, bad = doc.split_results(results)
+    assert [r.item_id for r in good.collect()] == ["A1"]
+    assert sorted(r.reason for r in bad.collect()) == ["no list of results", "no list of results", "unreadable JSON"]
