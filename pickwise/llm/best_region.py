@@ -34,6 +34,9 @@ NAMES = re.compile(
     r"comments?|comment-list|disqus|replies|reviews?|pagination|pager|widget|toolbar|search|login|legal|copyright|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+# of elements that hold the article itself, only these names say that they do not
+KEPT = frozenset("article main body html".split())
+OWN_NAMES = re.compile(r"(?:^|[\s_-])(?:adverts?|advertisement|sponsor(?:ed)?|promo|comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -77,7 +80,7 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 dropped -= stack.pop()[1]
             # an article's own heading block is part of it
-            drop = name in DROPPED and not (name == "header" and inside) or _marked(m[4])
+            drop = name in DROPPED and not (name == "header" and inside) or _marked(m[4], OWN_NAMES if name in KEPT else NAMES)
             stack.append((name, drop))
             dropped += drop
             inside += name in LABEL_TAGS
@@ -90,14 +93,14 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, names: re.Pattern = NAMES) -> bool:
     if not attributes or attributes.isspace():
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'")
         key = key.lower()
         if key in ("class", "id"):
-            if NAMES.search(value):
+            if names.search(value):
                 return True
         elif key == "role":
             if value.lower() in ROLES:

@@ -179,8 +179,8 @@ def test_clean_documents_stay(spark):
 def test_main_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>if (a<b) '</p>'</script></head><body><header><p>site name here</p></header><nav><a>Home</a></nav>"
-        "<article><header><h1>A &amp; B</h1></header><p>One\n two&nbsp;three <b>four</b>five<p>six<br>seven<div class='ad'>buy now</div>"
-        "<div id=comments><p>first!</p></div><form>name <input></form></article><aside>links</aside><div class='cookie-notice'>ok?</div><footer>&copy; x</footer></body></html>"
+        "<article class='post related share'><header><h1>A &amp; B</h1></header><p>One\n two&nbsp;three <b>four</b>five<p>six<br>seven<div class='ad'>buy now</div>"
+        "<div id=comments><p>first!</p><article class=comment>second!</article></div><form>name <input></form></article><aside>links</aside><div class='cookie-notice'>ok?</div><footer>&copy; x</footer></body></html>"
     )
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>only &lt;text&gt; &am"), (4, "u", "<nav>menu</nav>"), (5, "u", "<article><p>cut of"), (1, "u", page), (6, "u", "<article>" + "<p>word" * 20_000)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
