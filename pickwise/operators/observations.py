@@ -170,10 +170,16 @@ def labelled_mask(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     return candidates.join(marks, "pool_idx", "left").withColumn("labelled", F.coalesce("_has", F.lit(False))).drop("_has")
 
 
-def outcome_counts(items: DataFrame, obs: DataFrame) -> DataFrame:
-    """Per job: contributing, failed and rejected results among the job's own items."""
-    results = obs.select("item_id", contributes().alias("_ok"), "state")
-    per = items.select("job_id", "item_id").distinct().join(results, "item_id")
+def outcome_counts(items: DataFrame | None, obs: DataFrame) -> DataFrame:
+    """Per job: contributing, failed and rejected results among the job's own items.
+
+    Without ``items`` the observations name their job themselves, and no join is needed.
+    """
+    if items is None:
+        per = obs.select("job_id", contributes().alias("_ok"), "state")
+    else:
+        results = obs.select("item_id", contributes().alias("_ok"), "state")
+        per = items.select("job_id", "item_id").distinct().join(results, "item_id")
     return per.groupBy("job_id").agg(
         F.count_if(F.col("_ok")).alias("completed"),
         F.count_if(F.col("state") == "FAILED").alias("failed"),

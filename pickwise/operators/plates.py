@@ -75,10 +75,14 @@ def require_controls(controls: DataFrame, plate: Plate) -> None:
         raise ValueError(f"plate needs explicit controls: {plate.n_positive} positive and {plate.n_negative} negative, got {row.asDict()}")
 
 
+def _sample_key(seed: int) -> list:
+    """Order in which a plate's wells are drawn for a second measurement."""
+    return [sample_order(seed, F.col("job_id"), F.col("pool_idx")), F.asc("pool_idx")]
+
+
 def replicate_picks(experimental: DataFrame, plate: Plate, seed: int) -> DataFrame:
     """Sampled experimental wells per plate that are measured again."""
-    key = [sample_order(seed, F.col("job_id"), F.col("pool_idx")), F.asc("pool_idx")]
-    return top_k_per(experimental, ["job_id"], key, plate.n_replicate, "_in_role")
+    return top_k_per(experimental, ["job_id"], _sample_key(seed), plate.n_replicate, "_in_role")
 
 
 def layout(batches: DataFrame, controls: DataFrame, plate: Plate, seed: int = 0) -> DataFrame:
@@ -90,11 +94,11 @@ def layout(batches: DataFrame, controls: DataFrame, plate: Plate, seed: int = 0)
     plate.check()
     require_controls(controls, plate)
     chosen = top_k_per(batches, ["job_id"], [F.asc("rank")], plate.n_experimental, "_in_role")
-    experimental = chosen.select("job_id", "pool_idx", (F.col("_in_role") - 1).alias("slot"))
-    sizes = experimental.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("_n_exp"))
-    repeats = replicate_picks(experimental, plate, seed).select(
-        "job_id", "pool_idx", F.lit("replicate").alias("kind"), well(F.col("slot"), plate.cols).alias("replicate_of"),
-        (F.lit(plate.n_positive + plate.n_negative + plate.n_blank) + F.col("_in_role") - 1).alias("_after"),
+    # slot, size and sample rank of a well all come from the job's own rows, which lie together already
+    job = Window.partitionBy("job_id")
+    drawn = job.orderBy(*_sample_key(seed))
+    experimental = chosen.select(
+        "job_id", "pool_idx", (F.col("_in_role") - 1).alias("slot"), F.count(F.lit(1)).over(job).cast("int").alias("_n_exp"), F.row_number().over(drawn).alias("_pick")
     )
     wanted = {"positive": plate.n_positive, "negative": plate.n_negative}
     fixed = None
@@ -110,15 +114,17 @@ def layout(batches: DataFrame, controls: DataFrame, plate: Plate, seed: int = 0)
         (F.lit(plate.n_positive + plate.n_negative) + F.col("id")).cast("int").alias("_after"),
     )
     roles = fixed.unionByName(blanks).agg(F.collect_list(F.struct("pool_idx", "kind", "_after")).alias("_roles"))
-    on_every_plate = sizes.select("job_id", F.explode(roles.scalar()).alias("_r")).select(
-        "job_id", "_r.pool_idx", "_r.kind", F.lit(None).cast("string").alias("replicate_of"), "_r._after"
-    )
-    others = on_every_plate.unionByName(repeats.select(*on_every_plate.columns)).join(sizes, "job_id").withColumn(
-        "slot", F.col("_n_exp") + F.col("_after")
-    )
-    first = experimental.withColumn("kind", F.lit("experimental")).withColumn("replicate_of", F.lit(None).cast("string"))
-    cols = ["job_id", "slot", "pool_idx", "kind", "replicate_of"]
-    wells = first.select(*cols).unionByName(others.select(*cols)).withColumn("well_id", well(F.col("slot"), plate.cols))
+    shape = "array<struct<slot:int,pool_idx:bigint,kind:string,replicate_of:string>>"
+    none = F.lit(None).cast("string")
+    entry = lambda slot, idx, kind, of: F.struct(slot.cast("int").alias("slot"), idx.cast("bigint").alias("pool_idx"), kind.alias("kind"), of.alias("replicate_of"))
+    n_fixed = plate.n_positive + plate.n_negative + plate.n_blank
+    own = F.array(entry(F.col("slot"), F.col("pool_idx"), F.lit("experimental"), none)).cast(shape)
+    again = F.array(entry(F.col("_n_exp") + n_fixed + F.col("_pick") - 1, F.col("pool_idx"), F.lit("replicate"), well(F.col("slot"), plate.cols))).cast(shape)
+    # the first well of a job stands for its controls and blanks
+    rest = F.transform("_roles", lambda r: entry(F.col("_n_exp") + r["_after"], r["pool_idx"], r["kind"], none)).cast(shape)
+    empty = F.array().cast(shape)
+    entries = F.concat(own, F.when(F.col("_pick") <= plate.n_replicate, again).otherwise(empty), F.when(F.col("slot") == 0, rest).otherwise(empty))
+    wells = experimental.withColumn("_roles", roles.scalar()).select("job_id", F.explode(entries).alias("_w")).select("job_id", "_w.*").withColumn("well_id", well(F.col("slot"), plate.cols))
     return wells.withColumn("item_id", F.concat_ws(":", "job_id", "well_id")).withColumn(
         "compound_id", F.when(F.col("pool_idx") >= 0, compound_id(F.col("pool_idx"))).otherwise(F.lit(""))
     )

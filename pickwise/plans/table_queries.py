@@ -152,7 +152,7 @@ JOB_STATS_SQL = f"""WITH {t.DEDUPED} SELECT job_id, count(*) FILTER (WHERE {t.CO
 @query(JOB_STATS_SQL)
 def job_stats(spark, d):
     obs = ob.dedupe(t.observations(spark, d), t.OBS_ORDER)
-    return ob.outcome_counts(t.observations(spark, d), obs)
+    return ob.outcome_counts(None, obs)
 
 
 @query("""WITH new AS (SELECT o_orderkey AS job_id, o_custkey AS k FROM orders WHERE o_orderstatus <> 'F'), old AS (SELECT o_orderkey AS job_id, o_custkey AS k FROM orders WHERE o_orderstatus = 'F'),
