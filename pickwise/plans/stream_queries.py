@@ -65,11 +65,11 @@ def stream_marks(spark, d):
     path, out = scratch_path(spark, "incoming"), scratch_path(spark, "snapshots")
     cut = rows.agg(F.expr("percentile_approx(ord, 0.5)")).first()[0]
     early, late = f"{path}/a", f"{path}/b"
-    rows.filter(F.col("ord") <= cut).coalesce(1).write.parquet(early)
+    rows.filter(F.col("ord") <= cut).write.parquet(early)
     state = scratch_path(spark, "stream-state")
     sink = ing.fold_into_states(out, "ord")
     ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
-    rows.filter(F.col("ord") > cut).coalesce(1).write.parquet(late)
+    rows.filter(F.col("ord") > cut).write.parquet(late)
     # a second run goes on from the checkpoint of the first
     ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
     return ing.latest_rows(spark, out, "pool_idx").withColumn("job_id", F.coalesce("job_id", F.lit("-")))

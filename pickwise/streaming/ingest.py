@@ -23,8 +23,8 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
 
 
 def stream_dedupe(obs: DataFrame, ts: str | None = None, delay: str | None = None) -> DataFrame:
-    """First event per key. Without a watermark keys are remembered for ever, as the log demands;
-    with one, only for ``delay``, which may let a later duplicate through."""
+    """One event per key, the first to arrive; an event that comes later does not replace it, even with an earlier time. Without a
+    watermark keys are remembered for ever, as the log demands; with one, only for ``delay``, which may let a later duplicate through."""
     keyed = obs.withColumn("_key", event_key())
     if ts and delay:
         return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
