@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickwise.llm.common import bounded_sample
+from pickwise.llm.common import bounded_sample, slices
 from pickwise.llm.words import mix
 
 BUCKETS = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+TEXTS = 500  # texts tagged at a time
 UNKNOWN = "und"
 
 
@@ -253,7 +254,7 @@ class Tagger:
         order = order[lengths[order] > 0]
         i = 0
         while i < len(order):
-            n = int(min(512, max(1, 600_000 // lengths[order[i]])))
+            n = int(min(512, max(1, 300_000 // lengths[order[i]])))
             group = order[i : i + n]
             i += n
             own = lengths[group]
@@ -296,8 +297,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         tagger = Tagger(shared.value)
         for batch in batches:
             names, score, words, turns = [], [], [], []
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
                 n = part.num_rows
                 if tagger.k:
                     mean, count, switches = tagger(part["text"].to_pylist())
@@ -324,12 +325,9 @@ def known_only(docs: DataFrame, model: Model, least: float, text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                if not tagger.k:
-                    continue
-                mean, count, _ = tagger(part[text_col].to_pylist())
-                yield part.filter(pa.array((count > 0) & (mean.max(1) >= least)))
+        for batch in slices(batches, TEXTS):
+            if tagger.k:
+                mean, count, _ = tagger(batch[text_col].to_pylist())
+                yield batch.filter(pa.array((count > 0) & (mean.max(1) >= least)))
 
     return docs.mapInArrow(run, docs.schema)
