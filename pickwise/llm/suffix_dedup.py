@@ -6,7 +6,9 @@ as the shortest match asked for. Minimisers depend on content alone, so equal pa
 Suffixes whose first gram occurs in one document only are dropped. The others get the words around them as context, as far as a
 minimiser can lie from the end of a shortest match; equal contexts are one entry, whatever the number of copies. Entries are sorted as
 a suffix array, by their words to the right, and once more by their words to the left; each is compared with its neighbours in either
-order and the match extended to both sides. Chained over a document's minimisers, matches of any length are covered.
+order and the match extended to both sides. Entries that agree with more others than are compared go through an exact step: two entries
+share a shortest match if and only if, for some i, their i words to the left and the remaining words to the right are equal, so they are
+grouped by each of these keys. Chained over a document's minimisers, matches of any length are covered.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Match:
-    """``least`` words make a match; ``gram`` words begin a suffix; ``near`` neighbours on either side are compared."""
+    """``least`` words make a match; ``gram`` words begin a suffix; ``near`` neighbours on either side are compared before the
+    exact step, which changes costs, never results."""
 
     least: int = 50
     gram: int = 20
@@ -130,6 +133,7 @@ def _entries(m: Match):
 
 _FOUND = "token long, context long, one long, two long, left binary, right binary, before int, after int"
 _FOUND_NAMES = _ENTRY_NAMES + ["before", "after"]
+_CROWDED = -1  # ``before`` of an entry that needs the exact step
 
 
 def _matrix(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +143,14 @@ def _matrix(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return flat, size
 
 
-def _compare(m: Match):
-    """Entries in a sorted order -> the widest match of each, as words before and after its gram; and the rows at both ends of the
-    partition, whose neighbours may lie in another one, with their contexts."""
+def _compare(m: Match, side: str):
+    """Entries sorted by ``side`` first -> the widest match of each, as words before and after its gram; the entries that agree on
+    ``side`` with one beyond the compared neighbours; and the rows at both ends of the partition, whose neighbours may lie in another
+    one. The latter two come with their contexts.
+
+    A match has half of its words beyond the gram, or more, on one side. Those that have them on ``side`` are neighbours in this order,
+    so an entry in neither order's crowd has met all its matches."""
+    wide = m.near + 1
 
     def extend(a, b, size_a, size_b):
         return np.minimum(np.cumprod(a == b, axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64), np.minimum(size_a, size_b))
@@ -152,20 +161,20 @@ def _compare(m: Match):
         tail: pa.RecordBatch | None = None
         schema = pa.schema([(n, pa.int64()) for n in _ENTRY_NAMES[:4]] + [("left", pa.binary()), ("right", pa.binary()), ("before", pa.int32()), ("after", pa.int32())])
 
-        def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
-            none = pa.nulls(rows.num_rows, pa.int32())
-            return pa.RecordBatch.from_arrays([*(rows[n] for n in _ENTRY_NAMES), none, none], schema=schema)
+        def edge(rows: pa.RecordBatch, mark: int | None = None) -> pa.RecordBatch:
+            marks = pa.array([mark] * rows.num_rows, pa.int32())
+            return pa.RecordBatch.from_arrays([*(rows[n] for n in _ENTRY_NAMES), marks, marks], schema=schema)
 
         for batch in batches:
             batch = batch.select(_ENTRY_NAMES)
             if not batch.num_rows:
                 continue
             if first:
-                yield edge(batch.slice(0, m.near))
+                yield edge(batch.slice(0, wide))
                 first = False
             if held is not None:
                 batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
-            held = batch.slice(max(0, batch.num_rows - m.near))
+            held = batch.slice(max(0, batch.num_rows - wide))
             tail = held
             token, context, one, two = (batch[n].to_numpy() for n in _ENTRY_NAMES[:4])
             left, n_left = _matrix(batch["left"], m.reach)
@@ -188,6 +197,11 @@ def _compare(m: Match):
                 for x in (i[enough], j[enough]):
                     np.maximum.at(before, x, l[enough])
                     np.maximum.at(after, x, r[enough])
+            i = np.flatnonzero(token[:-wide] == token[wide:])
+            if len(i):
+                words, size = (right, n_right) if side == "right" else (left, n_left)
+                i = i[extend(words[i], words[i + wide], size[i], size[i + wide]) >= m.reach // 2]
+                yield edge(batch.take(pa.array(np.unique(np.r_[i, i + wide]))), _CROWDED)
             hit = np.flatnonzero(before >= 0)
             none = pa.nulls(len(hit), pa.binary())
             yield pa.RecordBatch.from_arrays([*(pa.array(c[hit]) for c in (token, context, one, two)), none, none, pa.array(before[hit].astype(np.int32)), pa.array(after[hit].astype(np.int32))], schema=schema)
@@ -197,6 +211,43 @@ def _compare(m: Match):
     return run
 
 
+_KEYED = "token long, key long, at int, context long, one long, two long"
+
+
+def _keyed(m: Match):
+    """Each entry once for every i up to the reach for which it has i words to the left and the rest to the right, keyed by their hash."""
+
+    def prefixes(words: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), m.reach + 1), dtype=np.uint64)
+        for i in range(m.reach):
+            out[:, i + 1] = mix(out[:, i] * _U(0x9E3779B97F4A7C15) + words[:, i].astype(np.uint64) + _U(1))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(m.reach + 1)
+        for batch in slices(batches):
+            left, n_left = _matrix(batch["left"], m.reach)
+            right, n_right = _matrix(batch["right"], m.reach)
+            key = mix(prefixes(left) + mix(prefixes(right)[:, ::-1] + at.astype(np.uint64)))
+            row, i = np.nonzero((at <= n_left[:, None]) & (m.reach - at <= n_right[:, None]))
+            token, context, one, two = (batch[n].to_numpy()[row] for n in _ENTRY_NAMES[:4])
+            cols = [token, key[row, i].view(np.int64), i.astype(np.int32), context, one, two]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "key", "at", "context", "one", "two"])
+
+    return run
+
+
+def _exact(crowded: DataFrame, m: Match) -> DataFrame:
+    """(token, context, before, after) of the entries that share a match with another document, by keys instead of neighbours.
+
+    The largest shared i is the longest stretch to the left of any match, the smallest one gives the longest to the right.
+    """
+    keyed = crowded.mapInArrow(_keyed(m), _KEYED)
+    shared = keyed.groupBy("token", "key").agg(F.min("one").alias("low"), F.max("two").alias("high")).filter("low <> high").select("token", "key")
+    both = keyed.join(shared, ["token", "key"])
+    return both.groupBy("token", "context").agg(F.max("at").alias("before"), (F.lit(m.reach) - F.min("at")).alias("after"))
+
+
 def repeats(docs: DataFrame, m: Match = Match()) -> DataFrame:
     """(doc_id, start, end) of every stretch of words of ``docs`` (doc_id, text) that stands in another document too; end exclusive.
 
@@ -214,13 +265,18 @@ def repeats(docs: DataFrame, m: Match = Match()) -> DataFrame:
     wanted = cut_lineage(entries.groupBy("at.key").agg(F.collect_list(F.struct("at.place", "token", "context", "one", "two")).alias("wanted")))
     texts = keyed.select("key", "text").alias("t").join(wanted.alias("w").hint("shuffle_hash"), "key").select("t.text", "w.wanted")
     around = cut_lineage(texts.mapInArrow(_entries(m), _ENTRY).dropDuplicates(["token", "context"]))
-    found = None
+    found, crowded = None, None
     for order in (["token", "right", "left", "context"], ["token", "left", "right", "context"]):
-        part = cut_lineage(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(m), _FOUND))
+        compare = _compare(m, order[1])
+        part = cut_lineage(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, _FOUND))
         # the rows at the ends of all partitions, a few for each
-        ends = part.filter("before IS NULL").select(*_ENTRY_NAMES).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(_compare(m), _FOUND)
-        both = part.unionByName(ends).filter("before IS NOT NULL").select("token", "context", "before", "after")
-        found = both if found is None else found.unionByName(both)
+        ends = cut_lineage(part.filter("before IS NULL").select(*_ENTRY_NAMES).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, _FOUND))
+        both = part.unionByName(ends).filter("before IS NOT NULL")
+        met, left = both.filter(F.col("before") > _CROWDED).select("token", "context", "before", "after"), both.filter(F.col("before") == _CROWDED).select(*_ENTRY_NAMES)
+        found = met if found is None else found.unionByName(met)
+        crowded = left if crowded is None else crowded.unionByName(left)
+    crowded = cut_lineage(crowded.dropDuplicates(["token", "context"]))
+    found = found.unionByName(_exact(crowded, m))
     widest = found.groupBy("token", "context").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     spans = members.join(widest, ["token", "context"]).select(
         "key", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + m.gram + F.col("after")).alias("end")

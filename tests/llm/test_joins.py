@@ -100,6 +100,14 @@ def test_repeats_match_brute_force(spark):
     assert rows_of(repeats(documents(spark, docs))) == plain_repeats(docs)
 
 
+def test_repeats_around_a_frequent_gram(spark):
+    """Boilerplate between headings and endings: many agree more to the right, many others more to the left."""
+    rng = random.Random(21)
+    body, heads, tails = prose(rng, 44), [prose(rng, 4) for _ in range(25)], [prose(rng, 4) for _ in range(25)]
+    docs = [(i, " ".join(prose(rng, 40) + rng.choice(heads) + body + rng.choice(tails) + prose(rng, 40))) for i in range(800)]
+    assert rows_of(repeats(documents(spark, docs))) == plain_repeats(docs)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats(documents(spark, [])).collect() == []
 
