@@ -23,21 +23,71 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def bounded_sample(df: DataFrame, keys: Sequence[str], size: Column, rows: int, chars: int) -> DataFrame:
-    """A fixed pseudo-random sample of at most ``rows`` rows and about ``chars`` characters, for fitting only.
+def bounded_sample(df: DataFrame, keys: Sequence[str], size: Column, rows: int, chars: int, label: str | None = None) -> DataFrame:
+    """A fixed pseudo-random sample of at most ``rows`` different rows of ``keys`` and at most ``chars`` characters, for fitting only.
 
-    Rows are taken in the order of a hash of ``keys``; the driver sees (hash, size) of at most ``rows`` rows. Ties in the hash
-    (repeated rows) are cut by the row limit.
+    Rows that repeat in ``keys`` count once and are taken in the order of a hash. With a ``label``, one of the keys, every label enters
+    with its shortest row, if those fit, and has an equal share of both bounds; what some labels leave over goes to the others. Of more
+    labels than ``rows``, the most frequent enter. A row that does not fit what is left is skipped. The driver sees hashes and sizes of little more than ``rows`` rows.
     """
-    mark = F.xxhash64(*keys)
-    head = df.select(mark.alias("m"), F.coalesce(size, F.lit(0)).cast("long").alias("n")).orderBy("m", "n").limit(rows).collect()
-    total, last = 0, None
-    for r in head:
-        total += r.n
-        if last is not None and total > chars:
-            break
-        last = r.m
-    return df.limit(0) if last is None else df.filter(mark <= last).limit(rows)
+    told = df.select(F.xxhash64(*keys).alias("m"), F.coalesce(size, F.lit(0)).cast("long").alias("n"), (F.col(label) if label else F.lit("")).alias("label"))
+    # equal keys have equal sizes and labels
+    marks = cut_lineage(told.groupBy("m").agg(F.min("n").alias("n"), F.min("label").alias("label")).filter(F.col("n") <= chars))
+    kinds = marks.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("n") > 0, F.struct("n", "m"))).alias("least")).orderBy(F.desc("rows"), "label").limit(rows).collect()
+    if not kinds:
+        return df.limit(0)
+    share = chars // len(kinds)
+    fit = {r.label: r.rows for r in marks.filter(F.col("n") <= share).groupBy("label").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "label").limit(rows).collect()}
+    quota = _shares({r.label: fit.get(r.label, 0) for r in kinds}, rows)
+    # hashes are uniform: this many of the range hold the quota, but for six standard deviations
+    bounds = []
+    for r in kinds:
+        part = (quota[r.label] + 6 * quota[r.label] ** 0.5 + 20) / max(1, fit.get(r.label, 0))
+        bounds.append((r.label, (1 << 63) - 1 if part >= 1 else int(part * (1 << 64)) - (1 << 63)))
+    top = df.sparkSession.createDataFrame(bounds, marks.select("label", F.col("m").alias("top")).schema)
+    some = marks.filter(F.col("n") <= share).join(F.broadcast(top), "label").filter(F.col("m") <= F.col("top")).select("label", "m", "n").collect()
+    queues: dict = {r.label: [] for r in kinds}
+    for r in some:
+        queues[r.label].append((r.m, r.n))
+    least = [(r.least.m, r.least.n) for r in kinds if label and r.least]
+    chosen = df.sparkSession.createDataFrame([(m,) for m in _picked(least, [sorted(q) for q in queues.values()], rows, chars)], "m long")
+    return df.join(F.broadcast(chosen), F.xxhash64(*keys) == F.col("m"), "left_semi").select(*keys).distinct()
+
+
+def _shares(have: dict, total: int) -> dict:
+    """As equal parts of ``total`` as the numbers in ``have`` allow."""
+    out, left = {}, total
+    for i, k in enumerate(sorted(have, key=lambda k: have[k])):
+        out[k] = min(have[k], -(-left // (len(have) - i)))
+        left -= out[k]
+    return out
+
+
+def _picked(least: list[tuple[int, int]], queues: list[list[tuple[int, int]]], rows: int, chars: int) -> list[int]:
+    """Marks of ``least``, shortest first, and from ``queues`` of (mark, size), one of each in turn: within equal shares of what is
+    left of ``chars``, then from what that leaves over."""
+    out: dict[int, None] = {}
+
+    def turns(lists, room, place):
+        passed = [[] for _ in lists]
+        for turn in range(max(map(len, lists), default=0)):
+            for k, q in enumerate(lists):
+                if turn < len(q) and q[turn][0] not in out:
+                    if len(out) < rows and q[turn][1] <= room[place(k)]:
+                        out[q[turn][0]] = None
+                        room[place(k)] -= q[turn][1]
+                    else:
+                        passed[k].append(q[turn])
+        return passed
+
+    free = [chars]
+    turns([sorted(least, key=lambda x: (x[1], x[0]))], free, lambda k: 0)
+    room = [free[0] // len(queues)] * len(queues)
+    free[0] -= sum(room)
+    later = turns(queues, room, lambda k: k)
+    free[0] += sum(room)
+    turns(later, free, lambda k: 0)
+    return list(out)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

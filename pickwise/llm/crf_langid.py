@@ -30,7 +30,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and effort of the fit: at most ``rows`` texts with about ``chars`` characters, ``chains`` training chains of one to three
+    """Bounds and effort of the fit: at most ``rows`` different texts with at most ``chars`` characters, shared by the languages, ``chains`` training chains of one to three
     stretches of ``stretch`` words, ``lexicon`` words a language."""
 
     rows: int = 3000
@@ -203,7 +203,7 @@ def _lexicon(words: list[list[str]], langs: list[int], k: int, most: int) -> dic
 def fit(docs: DataFrame, p: Fit = Fit()) -> Model:
     """A model from ``docs`` (text, lang); rows without text or lang are left out. No rows give a model without labels."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    rows = bounded_sample(known, ["text", "lang"], F.length("text"), p.rows, p.chars).toArrow()
+    rows = bounded_sample(known, ["text", "lang"], F.length("text"), p.rows, p.chars, "lang").toArrow()
     return train(rows["text"].to_pylist(), rows["lang"].to_pylist(), p)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pickwise.llm import attention_mil, best_region, crf_langid, grouping_pack, preference_format, secret_ledger, wand_decontaminate
-from pickwise.llm.common import held_out
+from pickwise.llm.common import bounded_sample, held_out
 from pickwise.session import scratch_path
 from tests.llm.helpers import documents, words
 
@@ -34,6 +34,22 @@ def test_language_of_the_held_out_fold(spark, language):
     assert found.filter("lang = lang_pred").count() >= 0.97 * found.count()
 
 
+def test_fitting_sample_with_many_copies_rare_labels_and_long_texts(spark):
+    rows = [("copy", "en")] * 3000 + [(f"text {i}", "en") for i in range(400)] + [("rare one", "de"), ("rare two", "de"), ("y" * 900, "fr"), ("x" * 5000, "en")]
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    take = lambda f, n, c: [tuple(r) for r in bounded_sample(f, ["text", "lang"], F.length("text"), n, c, "lang").collect()]
+    for n, c in ((40, 10_000), (40, 1100), (5, 10_000), (1000, 4000)):
+        got = take(frame, n, c)
+        assert len(got) == len(set(got)) <= n and sum(len(t) for t, _ in got) <= c
+        assert {g for _, g in got} == {"en", "de", "fr"}
+        assert sorted(got) == sorted(take(frame.repartition(3), n, c))
+    assert len(take(frame, 40, 10_000)) == 40
+    # without labels: all that fits, each once
+    plain = bounded_sample(frame, ["text"], F.length("text"), 1000, 4800).collect()
+    assert len(plain) == len({r.text for r in plain}) >= 380 and sum(len(r.text) for r in plain) <= 4800
+    assert bounded_sample(frame.limit(0), ["text"], F.length("text"), 10, 10).collect() == []
+
+
 def test_language_of_odd_texts(spark, language):
     got = {r.doc_id: r for r in crf_langid.predict(documents(spark, ODD), language).collect()}
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (1, 2, 3))
