@@ -46,6 +46,8 @@ ADDED = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 )
 RULES = BASE + ADDED
+# for masking, a key block is whole: from its BEGIN line through its END line, or to the end of the text if that is missing
+MASKED = BASE + (Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", 0, 1), *ADDED[1:])
 LEDGER = "sha binary, rules array<string>, found array<struct<rule:string,start:int,end:int>>"
 _LEDGER_ARROW = pa.schema([
     ("sha", pa.binary()), ("rules", pa.list_(pa.string())),
@@ -134,7 +136,7 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
     return by_blob.select("sha", F.transform("f", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("findings"))
 
 
-def redacted(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redacted(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = MASKED) -> DataFrame:
     """``docs`` with every finding in its text masked; rows without findings, NULL texts among them, stay as they are."""
     versions = docs.select(F.col(id_col).alias("path"), F.lit(0).alias("version"), F.col(text_col).alias("text"))
     keys = cut_lineage(versions.select("path", "version", blob(F.col("text")).alias("sha")))
