@@ -270,7 +270,7 @@ def components(docs: DataFrame, p: Join = Join()) -> DataFrame:
     NULL or blank text: 0 shingles, linked with nothing. component_id is the smallest doc_id reachable by links; a row with a NULL id takes
     part and gets the smallest id of its component, NULL if there is none. Repeated rows are linked; other columns are ignored.
     """
-    return _components(docs, p).drop("key")
+    return _components(docs, p).drop("key", "component")
 
 
 def _key():
@@ -310,10 +310,10 @@ def _components(docs: DataFrame, p: Join) -> DataFrame:
     found = connected_components(edges)
     whole = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = whole.join(least, "component").select("cls", "component_id")
+    by_class = whole.join(least, "component").select("cls", "component", "component_id")
     joined = rows.join(by_class, "cls", "left")
     return joined.select(
-        "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component"
     )
 
 
@@ -335,16 +335,20 @@ def _across(many: DataFrame, edges: DataFrame, tried: DataFrame, p: Join) -> Dat
 
 
 def one_of_each(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """The rows of ``docs``, all columns, that have the smallest doc_id of their component, and those without words.
+    """One row of ``docs``, all columns, for each component, and the rows without words.
 
-    Of rows that repeat in id and text one stays. A component all of whose ids are NULL keeps its different texts.
+    The row with the smallest doc_id stays, NULL last; of several with that id, the one with the smallest key. Of rows that repeat in id
+    and text one stays.
     """
-    found = cut_lineage(_components(docs, p).groupBy("key").agg(
-        F.count(F.lit(1)).alias("_rows"), F.max((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_keep"),
-    ).withColumnRenamed("key", "_key"))
-    joined = docs.join(found.filter("_keep").hint("shuffle_hash"), _key() == F.col("_key"))
+    every = cut_lineage(_components(docs, p).groupBy("key").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("component").alias("component"),
+    ))
+    first = every.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "_rows")).alias("m"))
+    found = every.filter("n = 0").select("key", "_rows").unionByName(first.select("m.key", "m._rows"))
+    found = cut_lineage(found.select(F.col("key").alias("_key"), "_rows"))
+    joined = docs.join(found.hint("shuffle_hash"), _key() == F.col("_key"))
     kept = joined.select(*[docs[c] for c in docs.columns], "_rows")
-    if found.filter("_rows > 1 AND _keep").isEmpty():
+    if found.filter("_rows > 1").isEmpty():
         return kept.drop("_rows")
     single = kept.filter("_rows = 1").drop("_rows")
     return single.unionByName(kept.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"]))

@@ -63,6 +63,14 @@ def test_one_of_each_keeps_rows_without_words_and_single_repeats(spark):
     assert kept == sorted([(1, None), (2, ""), (3, " \t\n "), (4, "one"), (None, None), (6, "a b c d e")], key=str)
 
 
+def test_one_of_each_keeps_one_row_of_equal_or_missing_ids(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    other = "k1 k2 k3 k4 k5 k6 k7 k8 k9 k10 k11 k12 k13 k14 k15 k16 k17 k18 k19 k20 k21 k22 k23 k24 k25 k26"
+    docs = [(1, text), (1, text + " one"), (None, text + " two"), (None, other), (None, other + " one")]
+    kept = [(r.doc_id, r.text.split()[0]) for r in one_of_each(documents(spark, docs)).collect()]
+    assert sorted(kept, key=str) == [(1, "a"), (None, "k1")]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (7, 6), (6, 4), (4, 9), (None, 1)] + [(100 + i, 101 + i) for i in range(40)]
     found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
