@@ -199,3 +199,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pickwise.llm.suffix_dedup import repeats
 
     return repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the library's count, pre-tokens that are whole tokens counted directly."""
+    import public_tokenizers
+
+    from pickwise.llm.token_counts import counts
+
+    return counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
