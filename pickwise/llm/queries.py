@@ -209,3 +209,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pickwise.llm.token_counts import counts
 
     return counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 32 whitening components of all embeddings."""
+    from pickwise.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
