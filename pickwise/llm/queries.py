@@ -217,3 +217,30 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pickwise.llm.whitening import whitened
 
     return whitened(table(spark, sf_dir, "embeddings"))
+
+
+_PHRASES = r"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+  split AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+  pieces AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM split),
+  totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+  occ AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM pieces, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k),
+  freq AS (SELECT lang, k, phrase, count(*) AS f FROM occ GROUP BY ALL HAVING count(*) >= 30),
+  cand AS (SELECT *, string_split(phrase, ' ') AS w FROM freq WHERE k > 1),
+  held AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM cand, (VALUES (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)) AS t(m, i)
+    WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+  kept AS (SELECT cand.* FROM cand LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * f),
+  cuts AS (SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f + r.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) c JOIN freq l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.j], ' ')
+    JOIN freq r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.j + 1:c.k], ' ')),
+  best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM best JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
+@query(_PHRASES)
+def op11_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language over all documents."""
+    from pickwise.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))

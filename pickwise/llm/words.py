@@ -47,11 +47,16 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.empty(0, dtype=np.uint64), start, end
+    return span_hashes(raw, start, end), start, end
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span [start, end); A-Z count as a-z."""
     up, down = _powers(len(raw) + 1)
     total = np.empty(len(raw) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start, end
+    return mix((total[end] - total[start]) * down[start])
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
