@@ -10,6 +10,7 @@ from pickwise.operators import metrics as me
 from pickwise.operators import observations as ob
 from pickwise.operators import pareto as pa
 from pickwise.operators import similarity as si
+from pickwise.operators.similarity_join import best_similarity
 from pickwise.plans import tables as t
 from pickwise.plans.registry import query
 from pickwise.session import cut_lineage
@@ -113,6 +114,20 @@ def tanimoto_max(spark, d):
     return out.select("pool_idx", F.round("max_sim", 9).alias("max_sim"))
 
 
+@query(TANIMOTO_SQL + " SELECT fps.pool_idx, round(coalesce(sim, 0), 9) AS max_sim FROM fps LEFT JOIN s USING (pool_idx)")
+def tanimoto_join(spark, d):
+    """The same figures by joins on rare bits, for any number of references."""
+    fps = t.fingerprints(spark, d)
+    return best_similarity(fps, fps.filter("label = 0"), n_bits=t.EMBEDDING_BITS).select("pool_idx", F.round("max_sim", 9).alias("max_sim"))
+
+
+@query(TANIMOTO_SQL.replace("WHERE label = 0", "").replace("ON refs.r = b.pool_idx", "ON refs.r = b.pool_idx AND refs.r <> a.pool_idx") + " SELECT fps.pool_idx, round(coalesce(sim, 0), 9) AS max_sim FROM fps LEFT JOIN s USING (pool_idx)")
+def tanimoto_library(spark, d):
+    """Every candidate against the whole rest of the library."""
+    fps = t.fingerprints(spark, d)
+    return best_similarity(fps, fps, n_bits=t.EMBEDDING_BITS, apart=True).select("pool_idx", F.round("max_sim", 9).alias("max_sim"))
+
+
 DENSE_SQL = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS e FROM embeddings),
  refs AS (SELECT vec_id AS r, e AS f FROM v WHERE label = 0),
  s AS (SELECT vec_id, max(list_dot_product(e, f) / (list_sum(e) + list_sum(f) - list_dot_product(e, f))) AS sim FROM v, refs GROUP BY vec_id)
