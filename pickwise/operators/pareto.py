@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pickwise.operators.scale import BLOCK_ROWS, blocks
+from pickwise.operators.dominance import undominated
+from pickwise.operators.scale import BLOCK_ROWS
 from pickwise.session import cut_lineage
 
 SLABS = 64
@@ -61,23 +62,10 @@ def local_fronts(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
 def front_points(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Distinct objective vectors of the front.
 
-    One pass keeps each partition's own skyline. Survivors are then held against all survivors,
-    block by block, so even a front of any size is compared without pairs or one big task.
+    One pass keeps each partition's own skyline; the survivors are compared cell by cell, so a front of any size needs neither one big
+    task nor the driver.
     """
-    names = list(objectives)
-    schema = ", ".join(f"{n} DOUBLE" for n in names)
-    local = local_fronts(df, names)
-    left = local
-    spark = df.sparkSession
-    for rows in blocks(local):
-        shared = spark.sparkContext.broadcast(np.array(rows, dtype=np.float64))
-
-        def keep(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[~dominated_by(pdf[names].to_numpy(dtype=np.float64), shared.value)]
-
-        left = left.mapInPandas(keep, schema)
-    return left
+    return undominated(local_fronts(df, objectives), objectives)
 
 
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pickwise.operators import metrics as me
 from pickwise.operators import observations as ob
 from pickwise.operators import pareto as pa
 from pickwise.operators import similarity as si
+from pickwise.operators.scale import use_all_cores
 from pickwise.operators.similarity_join import best_similarity
 from pickwise.plans import tables as t
 from pickwise.plans.registry import query
@@ -152,6 +153,17 @@ def pareto_front(spark, d):
     return pa.pareto_front(t.table(spark, d, "part"), ["p_retailprice", "p_size"]).select("p_partkey", "p_retailprice", "p_size")
 
 
+@query("""WITH v AS (SELECT *, -l_quantity AS few, -l_tax AS low FROM lineitem), g AS (SELECT few, low, l_discount, max(l_extendedprice) AS top FROM v GROUP BY ALL),
+f AS (SELECT * FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.few >= a.few AND b.low >= a.low AND b.l_discount >= a.l_discount AND b.top >= a.top
+ AND (b.few > a.few OR b.low > a.low OR b.l_discount > a.l_discount OR b.top > a.top)))
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, v.l_discount, l_tax FROM v JOIN f ON v.few = f.few AND v.low = f.low AND v.l_discount = f.l_discount AND l_extendedprice = top""")
+def pareto_front_4d(spark, d):
+    """Line items that no other beats in four objectives: few pieces, a high price, a large discount, a low tax."""
+    items = use_all_cores(t.table(spark, d, "lineitem")).withColumn("few", -F.col("l_quantity")).withColumn("low", -F.col("l_tax"))
+    front = pa.pareto_front(items, ["few", "l_extendedprice", "l_discount", "low"])
+    return front.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
 @query("""WITH c AS (SELECT c_custkey, c_acctbal, c_nationkey, length(c_mktsegment) AS seg FROM customer)
 SELECT c_custkey FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.c_acctbal >= a.c_acctbal AND b.c_nationkey <= a.c_nationkey AND b.seg >= a.seg
  AND (b.c_acctbal > a.c_acctbal OR b.c_nationkey < a.c_nationkey OR b.seg > a.seg))""")

@@ -3,7 +3,6 @@ import pytest
 
 from pickwise.operators import pareto as pa
 from pickwise.operators import similarity as si
-from pickwise.operators.scale import blocks
 
 
 def points(spark, y):
@@ -28,8 +27,7 @@ def test_equal_rows_all_stay(spark):
     assert {r.id for r in pa.pareto_front(df, names).collect()} == {0, 1}
 
 
-def test_front_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(pa, "blocks", lambda df: blocks(df, 7))
+def test_two_parallel_fronts(spark):
     x = np.arange(40.0)
     y = np.vstack([np.column_stack([x, 40 - x]), np.column_stack([x, 30 - x])])
     df, names = points(spark, y)
