@@ -73,7 +73,6 @@ def _part_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     model = json.loads(tokenizer.to_str())
     vocab, merges, before = model["model"]["vocab"], model["model"].get("merges", []), model.get("pre_tokenizer") or {}
     plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not model.get("normalizer")
@@ -95,16 +94,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _added_tokens(path: str) -> tuple[dict[str, bytes], bool]:
+    """The file's added tokens with their ids, and whether all are plain strings: found as they stand, and nothing around them."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    plain = not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in added)
+    return {a["content"]: pack_ids("<I", a["id"]) for a in added if a["content"]}, plain
+
+
 class Encoder:
-    """Token ids of whole texts.
+    """Token ids of whole texts, as the tokenizers library gives them.
 
-    The vocabulary's pattern never lets a piece run from a non-space character into the space after it, so a text may be cut at
-    every such space and its parts encoded, and remembered, one by one.
+    A text is cut at the file's added tokens first, as the library does by default: each is one id. The vocabulary's pattern never lets
+    a piece run from a non-space character into the space after it, so what lies between may be cut at every such space and its parts
+    encoded, and remembered, one by one.
     """
 
     def __init__(self, path: str):
         encode = _part_encoder(path)
         self.first, self.rest = _Words(encode, ""), _Words(encode, " ")
+        self.added, plain = _added_tokens(path)
+        names = sorted(self.added, key=len, reverse=True)
+        self.find = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.library = None
+        if not plain:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -113,6 +129,15 @@ class Encoder:
         return _ENCODERS[path]
 
     def __call__(self, text: str) -> bytes:
+        if self.find is None or not self.find.search(text):
+            return self._between(text)
+        if self.library is not None:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return pack_ids(f"<{len(ids)}I", *ids)
+        parts = self.find.split(text)
+        return b"".join(self.added[part] if k % 2 else self._between(part) for k, part in enumerate(parts))
+
+    def _between(self, text: str) -> bytes:
         if not text:
             return b""
         parts = _BREAK.split(text) if _RUN.search(text) else text.split(" ")
