@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from pickwise.llm.common import bounded_sample
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|iframe|textarea|title|svg|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S | re.I,
-)
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+MARK = re.compile("[>\"']")
+# fixed values: elements whose content is never markup, up to their end tag
+RAW = frozenset("script style noscript template iframe textarea title svg xmp noembed noframes".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 # fixed values: elements whose text is never article text, and names that mark such containers
 DROPPED = frozenset("nav header footer aside form button select option dialog menu head fieldset object canvas label".split())
@@ -48,6 +46,47 @@ WEIGHTS_ROWS, WEIGHTS_CHARS = 500, 10_000_000
 LEAST_WORD, LEAST_TAG = 0.05, -0.01
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of every tag, comment and declaration, in order; the latter two, and raw elements up to
+    their end tag, have no name. A tag ends at the first ``>`` outside quotes, or at the end of the page; a quote that is never closed
+    is a plain character. Every place is looked at a bounded number of times."""
+    size, open_ended, at = len(page), {"'": False, '"': False}, 0
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = size if end < 0 else end + 1
+            yield start, at, "", False, ""
+            continue
+        name = NAME.match(page, start + 1)
+        at = start + 1
+        if not name:
+            continue
+        end, at = size, name.end()
+        while mark := MARK.search(page, at):
+            at = mark.end()
+            if mark[0] == ">":
+                end = mark.start()
+                break
+            close = -1 if open_ended[mark[0]] else page.find(mark[0], at)
+            if close < 0:
+                open_ended[mark[0]] = True
+            else:
+                at = close + 1
+        at = min(size, end + 1)
+        closing, word = page[start + 1] == "/", name[1].lower()
+        if word in RAW and not closing:
+            stop = re.compile(rf"</{word}\s*>", re.I).search(page, at)
+            at = stop.end() if stop else size
+            yield start, at, "", False, ""
+        else:
+            yield start, at, word, closing, page[name.end() : end]
+
+
 def tokens(page: str) -> list[tuple[str, str, int]]:
     """(kind, value, article depth): kind "w" holds the raw words of a text run, "t" a tag, "b" a block break.
 
@@ -56,39 +95,42 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
     """
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, bool]] = []
+    held: Counter = Counter()  # open elements by name
     dropped = inside = at = 0
 
     def text(end: int) -> None:
         if end > at and not dropped:
             out.append(("w", page[at:end], inside))
 
-    for m in TOKEN.finditer(page):
-        text(m.start())
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, name, closing, attributes in tags(page):
+        text(start)
+        at = end
         if not name:
             continue
-        if m[2]:
-            if any(n == name for n, _ in stack):
+        if closing:
+            if held[name]:
                 while stack:
                     n, drop = stack.pop()
+                    held[n] -= 1
                     dropped -= drop
                     inside -= n in LABEL_TAGS
                     if n == name:
                         break
-        elif name not in VOID and not m[4].endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 dropped -= stack.pop()[1]
+                held[name] -= 1
             # an article's own heading block is part of it
-            drop = name in DROPPED and not (name == "header" and inside) or _marked(m[4], OWN_NAMES if name in KEPT else NAMES)
+            drop = name in DROPPED and not (name == "header" and inside) or _marked(attributes, OWN_NAMES if name in KEPT else NAMES)
             stack.append((name, drop))
+            held[name] += 1
             dropped += drop
             inside += name in LABEL_TAGS
         if name in BLOCK:
             out.append(("b", "", inside))
         elif name == "br":
             out.append(("w", " ", inside))
-        out.append(("t", m[2] + name, inside))
+        out.append(("t", "/" * closing + name, inside))
     text(len(page))
     return out
 
