@@ -5,7 +5,9 @@ the item's terms that occur in the passage, divided by the same sum over all the
 length. All items above the threshold are retrieved, not a top k. A hit counts if enough of the item's question and of its answer stands
 in the passage word for word.
 
-Passages overlap by the longest item, so every occurrence lies in one passage as a whole. Before the index is asked, a bound over a
+Items are put in classes by their length in words, rounded up to a power of two. Each class has its own index and its own passages, two
+cells of the class's length that overlap by one, so every occurrence of an item lies in one passage as a whole, and what is found
+depends on the item and the text alone, not on the other items. Before the index is asked, a bound over a
 passage's rarer terms is taken for all passages of a batch at once; passages it rules out cannot reach the threshold.
 """
 
@@ -46,15 +48,18 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(words, min(n, len(words)))) if len(words) else np.empty(0, dtype=np.uint64)
 
 
+def cell_words(words: int, p: Search) -> int:
+    """Words of a cell for items of so many words: the next power of two, or the least."""
+    return max(p.least_step, 1 << max(0, words - 1).bit_length())
+
+
 class Index:
-    """Postings of one shard of items in item order, cut into blocks with their largest impacts."""
-
-    def __init__(self, ids, questions, answers, df: dict[int, int], n_items: int, mean: float, p: Search):
-        self.p = p
-        q, a = [w for _, w, _, _ in per_text(questions)], [w for _, w, _, _ in per_text(answers)]
-        kept = [i for i in range(len(ids)) if len(q[i]) + len(a[i])]
-        self.ids = [ids[i] for i in kept]
-        self.longest = max([len(q[i]) + len(a[i]) for i in kept], default=0)
+    """Postings of the items of one shard whose cells have ``step`` words, in item order, cut into blocks with their largest impacts."""
+
+    def __init__(self, step: int, ids, q, a, df: dict[int, int], n_items: int, mean: float, p: Search):
+        self.p, self.step = p, step
+        kept = range(len(ids))
+        self.ids = list(ids)
         self.question = [grams(q[i], p.question_words) for i in kept]
         self.answer = [grams(a[i], p.answer_words) for i in kept]
         rows: list[tuple[int, int, float]] = []
@@ -169,7 +174,7 @@ def hits_of(words: np.ndarray, index: Index) -> dict[int, tuple]:
         return found
     at = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
     known = index.terms[at] == words
-    step = max(p.least_step, index.longest)  # a passage is two cells, so an item always lies in one
+    step = index.step  # a passage is two cells, so an item always lies in one
     for cell in index.possible(at, known, step):
         start, end = cell * step, (cell + 2) * step
         terms = np.unique(at[start:end][known[start:end]])
@@ -191,7 +196,7 @@ def hits_of(words: np.ndarray, index: Index) -> dict[int, tuple]:
 
 
 def indexes(spark: SparkSession, items: DataFrame, p: Search) -> Iterator[Broadcast]:
-    """One broadcast index after another; together they hold all items."""
+    """One broadcast list of indexes after another, an index for each class of lengths in it; together they hold all items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")).distinct()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +220,13 @@ def indexes(spark: SparkSession, items: DataFrame, p: Search) -> Iterator[Broadc
         rows = items.filter(here).orderBy("item_id", "question", "answer").toArrow()
         known = every.filter(here).select("term").distinct().join(df, "term").toArrow()
         both = dict(zip(known["term"].to_pylist(), known["df"].to_pylist()))
-        yield spark.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["question"].to_pylist(), rows["answer"].to_pylist(), both, n, mean or 1.0, p))
+        ids, q, a = rows["item_id"].to_pylist(), *([w[1] for w in per_text(rows[c].to_pylist())] for c in ("question", "answer"))
+        classes: dict[int, list[int]] = {}
+        for i in range(len(ids)):
+            if len(q[i]) + len(a[i]):
+                classes.setdefault(cell_words(len(q[i]) + len(a[i]), p), []).append(i)
+        pick = lambda x, at: [x[i] for i in at]
+        yield spark.sparkContext.broadcast([Index(step, pick(ids, at), pick(q, at), pick(a, at), both, n, mean or 1.0, p) for step, at in sorted(classes.items())])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, p: Search = Search()) -> DataFrame:
@@ -241,7 +252,7 @@ def clean_only(docs: DataFrame, items: DataFrame, p: Search = Search(), text_col
             for batch in slices(batches):
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for i, words, _, _ in per_text(batch[text_col].to_pylist()):
-                    keep[i] = not hits_of(words, shared.value)
+                    keep[i] = not any(hits_of(words, index) for index in shared.value)
                 yield batch.filter(pa.array(keep))
 
         return run
@@ -253,11 +264,11 @@ def clean_only(docs: DataFrame, items: DataFrame, p: Search = Search(), text_col
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in slices(batches):
             ids, rows = batch["doc_id"].to_pylist(), []
             for i, words, _, _ in per_text(batch["text"].to_pylist()):
-                rows += [(ids[i], index.ids[item], *row) for item, row in sorted(hits_of(words, index).items())]
+                for index in shared.value:
+                    rows += [(ids[i], index.ids[item], *row) for item, row in sorted(hits_of(words, index).items())]
             cols = list(zip(*rows)) if rows else [[] for _ in _NAMES]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "score" else pa.int64()) for c, n in zip(cols, _NAMES)], names=_NAMES)
 

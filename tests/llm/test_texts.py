@@ -170,23 +170,83 @@ def test_search_matches_brute_force(spark):
     assert {(100 + i, i) for i in range(3, 60, 3)} <= got
     few = wand_decontaminate.Search(shard_chars=300)  # many small indexes must say the same
     assert got == {(r.doc_id, r.item_id) for r in wand_decontaminate.contaminated(documents(spark, docs), frame, few).collect()}
-    index = next(wand_decontaminate.indexes(spark, frame, p)).value
-    for _, text in docs[:50] + docs[60:75]:
-        from pickwise.llm.words import per_text
-
-        w = next(per_text([text]))[1]
-        at = np.minimum(np.searchsorted(index.terms, w), len(index.terms) - 1)
-        known = index.terms[at] == w
-        step = max(p.least_step, index.longest)
-        cells = set(index.possible(at, known, step)) if len(w) else set()
-        for c in range(max(1, -(-len(w) // step) - 1)):
-            terms = np.unique(at[c * step : (c + 2) * step][known[c * step : (c + 2) * step]])
-            score = np.zeros(len(index.ids))
-            for t in terms:
-                score[index.docs[t]] += index.impacts[t]
-            want = np.flatnonzero(score >= p.threshold - 1e-9).tolist()
-            assert sorted(i for i, _ in index.above(terms.tolist())) == want
-            assert not want or c in cells
+    from pickwise.llm.words import per_text
+
+    for index in next(wand_decontaminate.indexes(spark, frame, p)).value:
+        for _, text in docs[:50] + docs[60:75]:
+            w = next(per_text([text]))[1]
+            at = np.minimum(np.searchsorted(index.terms, w), len(index.terms) - 1)
+            known, step = index.terms[at] == w, index.step
+            cells = set(index.possible(at, known, step)) if len(w) else set()
+            for c in range(max(1, -(-len(w) // step) - 1)):
+                terms = np.unique(at[c * step : (c + 2) * step][known[c * step : (c + 2) * step]])
+                score = np.zeros(len(index.ids))
+                for t in terms:
+                    score[index.docs[t]] += index.impacts[t]
+                want = np.flatnonzero(score >= p.threshold - 1e-9).tolist()
+                assert sorted(i for i, _ in index.above(terms.tolist())) == want
+                assert not want or c in cells
+
+
+def leaked(docs, items, p):
+    """(doc, item) by plain BM25 over every passage and every item, with the overlap counted on tuples of words."""
+    import math
+
+    parts = [(i, words(q), words(a)) for i, q, a in items]
+    parts = [(i, q, a) for i, q, a in parts if q or a]
+    mean = sum(len(q) + len(a) for _, q, a in parts) / max(1, len(parts))
+    df = {}
+    for _, q, a in parts:
+        for w in {*q, *a}:
+            df[w] = df.get(w, 0) + 1
+    gram = lambda w, n: {tuple(w[k : k + min(n, len(w))]) for k in range(len(w) - min(n, len(w)) + 1)} if w else set()
+    out = set()
+    for d, text in docs:
+        t = words(text)
+        for i, q, a in parts:
+            tf = {w: (q + a).count(w) for w in {*q, *a}}
+            size = len(q) + len(a)
+            worth = {w: math.log(1 + (len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * f * (p.k1 + 1) / (f + p.k1 * (1 - p.b + p.b * size / mean)) for w, f in tf.items()}
+            step = 64
+            while step < size:
+                step *= 2
+            for c in range(max(1, -(-len(t) // step) - 1)):
+                part = t[c * step : (c + 2) * step]
+                if sum(v for w, v in worth.items() if w in set(part)) < (p.threshold - 1e-9) * sum(worth.values()):
+                    continue
+                share = [len(gram(own, n) & gram2(part, min(n, len(own)))) >= least * len(gram(own, n)) for own, n, least in ((q, p.question_words, p.question), (a, p.answer_words, p.answer))]
+                if all(share):
+                    out.add((d, i))
+    return out
+
+
+def gram2(w, n):
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+
+
+def test_leaks_by_plain_bm25_whatever_the_shards(spark):
+    """Also an item in two halves far apart, beside an unrelated very long one that must not change what is found."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.randint(6, 90)), say(rng.randint(1, 30))) for i in range(25)] + [(90, say(1000), say(10)), (91, "", say(9)), (92, say(9), "")]
+    docs = [(i, say(rng.randint(0, 300))) for i in range(25)]
+    for i in range(0, 25, 2):
+        q, a = items[i][1], items[i][2]
+        docs.append((100 + i, f"{say(70)} {q} {a} {say(300)}"))
+        docs.append((200 + i, f"{say(30)} {q} {say(400)} {a} {say(20)}"))
+    docs += [(300, items[25][1] + " " + items[25][2]), (301, None), (302, "")]
+    frame = spark.createDataFrame(items, "item_id long, question string, answer string")
+    p = wand_decontaminate.Search()
+    want = leaked(docs, items, p)
+    assert {(100 + i, i) for i in range(0, 25, 2)} <= want
+    for shard_chars in (16_000_000, 1000):
+        search = wand_decontaminate.Search(shard_chars=shard_chars)
+        got = wand_decontaminate.contaminated(documents(spark, docs), frame, search).select("doc_id", "item_id").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    without = spark.createDataFrame([x for x in items if x[0] != 90], frame.schema)
+    fewer = {tuple(r) for r in wand_decontaminate.contaminated(documents(spark, docs), without, p).select("doc_id", "item_id").collect()}
+    assert {x for x in fewer if x[0] >= 200 and x[0] < 300} == {x for x in want if 200 <= x[0] < 300}
 
 
 def test_clean_documents_stay(spark):
@@ -214,6 +274,34 @@ def test_main_text(spark):
     assert best_region.extract(frame.limit(0)).collect() == []
 
 
+BROKEN = [
+    ("<p title='unclosed>Hello</p>", "Hello"), ('<p title="a>b">x</p><p class="y>z</p>', "x\nz"), ("a < b <3 c </ d", "a < b <3 c </ d"),
+    ("<!--x-->y<!-- z", "y"), ("<script>a</scr>", ""), ("<p>one</p><p", "one"), ("<p>one</p><a href='x", "one"),
+]
+
+
+@pytest.mark.parametrize("page,text", BROKEN)
+def test_broken_markup_stays_out_of_the_text(page, text):
+    assert best_region.main_text(page, {"?": -0.01, "w": 1.0}) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a title='", "<p title='x>", "<", "<!--", "<script ", "</", "<a b=\"'", "<div>", "<div></x>"])
+def test_a_megabyte_of_broken_markup(part):
+    import time
+
+    start = time.process_time()
+    best_region.main_text(part * (1_000_000 // len(part)), {"?": -0.01, "w": 1.0})
+    assert time.process_time() - start < 20
+
+
+def test_weights_decide_where_no_element_marks_the_content():
+    links = "".join(f"<li><a href='/{i}'>go there</a></li>" for i in range(30))
+    page = f"<div><ul>{links}</ul><div><p>{'plain words of a story ' * 20}</p><p>{'and some more ' * 20}</p></div><ul>{links}</ul></div>"
+    told = best_region.main_text(page, {"?": -3.0, "w": 1.0})
+    assert told.startswith("plain words") and told.endswith("some more")
+    assert best_region.main_text(page, {"?": -0.01, "w": 1.0}).startswith("go there")
+
+
 def test_best_run_is_the_largest():
     rng = random.Random(2)
     for _ in range(300):
@@ -260,10 +348,9 @@ def test_attention_gradient():
 
 
 def test_packing_is_a_round_trip(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()] + ODD[:5] + [(1, None), (8, "  two  spaces \n\n and <|endoftext|>"), (9, "word " * 5000)]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()] + ODD[:5] + [(1, None), (8, "  two  spaces \n\n and <|endoftext|>"), (8, "a <|endoftext|> b<|endoftext|><|endoftext|>"), (8, "<|endoftext| <|endoftext|>\n"), (9, "word " * 5000)]
     rows = grouping_pack.pack_documents(documents(spark, docs), TOKENIZER, block_items=100, g=grouping_pack.Genetic(generations=3)).collect()
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, text in docs:
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
