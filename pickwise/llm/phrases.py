@@ -26,7 +26,8 @@ from pickwise.session import cut_lineage
 SUPPORT, LONGEST, SHARDS, TOP = 30, 4, 8, 2000
 COVERED = (80, 100)  # a candidate goes if a longer one that holds it has this share of its count
 MOST_BITS = 1 << 27  # of one bit table: 16 MB
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 1_500_000  # of text whose words are hashed and counted together
+PROBES = 3  # bits of a bit table that stand for one phrase
 NO_LANGUAGE = "und"
 
 _U = np.uint64
@@ -52,6 +53,7 @@ class Block:
         self.joined = piece[1:] == piece[:-1]
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.key = np.repeat(keys, np.diff(np.searchsorted(self.start, begin)))
+        self.spaced: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, hash of the phrase that begins at each word, whether it lies in one piece)."""
@@ -63,9 +65,25 @@ class Block:
                 whole = whole[:m] & self.joined[n - 2 : n - 2 + m]
             yield n, mix(hashes + _U(n)), whole
 
-    def text(self, at: int, n: int) -> bytes:
-        """The words of a phrase with one space between them."""
-        return b" ".join([self.data[a:b] for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist())])
+    def texts(self, at: np.ndarray, n: int) -> pa.Array:
+        """The phrases of n words that begin at the given words, with one space between words."""
+        if self.spaced is None:
+            raw = np.frombuffer(self.data, dtype=np.uint8)
+            # every word with one byte after it, which becomes a space
+            size = self.end - self.start + 1
+            place = np.cumsum(size) - size
+            kept = ~_GAP[raw]
+            kept[self.end[:-1]] = True
+            flat = np.append(raw[kept], np.uint8(32))
+            flat[place + size - 1] = 32
+            self.spaced = flat, place, size
+        flat, place, size = self.spaced
+        first, last = place[at], at + n - 1
+        length = place[last] + size[last] - 1 - first
+        stop = np.cumsum(length)
+        take = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - length - first, length)
+        offsets = np.concatenate((np.zeros(1, dtype=np.int32), stop.astype(np.int32)))
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat[take])])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -111,12 +129,13 @@ class BitTable:
 
     @classmethod
     def of(cls, rows: DataFrame) -> "BitTable":
-        """From written rows (key, phrase): sixteen bits a row, within ``MOST_BITS``. The driver sees the bits only."""
+        """From written rows (key, phrase): sixteen bits a row or more, within ``MOST_BITS``. The driver sees the bits only."""
         size = min(MOST_BITS, max(1 << 16, 1 << (16 * rows.count()).bit_length()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = cls.place(np.asarray(batch["phrase"]).view(np.uint64), np.asarray(batch["key"]).view(np.uint64), size)
+                mixed = mix(np.asarray(batch["phrase"]).view(np.uint64) ^ np.asarray(batch["key"]).view(np.uint64))
+                at = np.concatenate([cls.place(mixed, i, size) for i in range(PROBES)])
                 word, each = np.unique(at >> 5, return_inverse=True)
                 mask = np.zeros(len(word), dtype=np.int64)
                 np.bitwise_or.at(mask, each, np.int64(1) << (at & 31))
@@ -128,12 +147,19 @@ class BitTable:
         return cls(rows.sparkSession.sparkContext.broadcast(words), size)
 
     @staticmethod
-    def place(hashes: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
-        return (mix(hashes ^ keys) & _U(size - 1)).astype(np.int64)
+    def place(mixed: np.ndarray, probe: int, size: int) -> np.ndarray:
+        """The bit of a probe: the halves of a hash step through the table."""
+        return ((mixed + _U(probe) * ((mixed >> _U(32)) | _U(1))) & _U(size - 1)).astype(np.int64)
 
     def has(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        at = self.place(hashes, keys, self.size)
-        return (self.words.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+        out = np.zeros(len(hashes), dtype=bool)
+        mixed, left = mix(hashes ^ keys), None
+        for i in range(PROBES):  # few are left after the first
+            at = self.place(mixed if left is None else mixed[left], i, self.size)
+            yes = np.flatnonzero((self.words.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
+            left = yes if left is None else left[yes]
+        out[left] = True
+        return out
 
 
 def _rows(docs: DataFrame, shards: int) -> DataFrame:
@@ -182,8 +208,7 @@ def counted(docs: DataFrame, candidates: DataFrame, support: int = SUPPORT, long
                 at = np.flatnonzero(whole & table.has(hashes, key))
                 _, first, count = np.unique(mix(hashes[at] ^ key[at]), return_index=True, return_counts=True)
                 at = at[first]
-                phrases = pa.array([block.text(i, n) for i in at.tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), phrases, pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(count)], ["key", "phrase", "words", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), block.texts(at, n), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(count)], ["key", "phrase", "words", "count"])
 
     rows = _rows(docs, 1)
     names = rows.select("lang").distinct().withColumn("key", F.xxhash64("lang"))
