@@ -23,6 +23,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_sample(df: DataFrame, keys: Sequence[str], size: Column, rows: int, chars: int, label: str | None = None) -> DataFrame:
     """A fixed pseudo-random sample of at most ``rows`` different rows of ``keys`` and at most ``chars`` characters, for fitting only.
 

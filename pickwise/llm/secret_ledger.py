@@ -9,6 +9,7 @@ results of the other rules are reused.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pickwise.llm.common import fresh
 from pickwise.session import cut_lineage
 
 
@@ -93,7 +95,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
 
     NULL text counts as empty. Rows repeat as often as in the input, other columns are ignored, NULL paths and versions are kept.
     Findings are sorted by start, then by the rules' order; no findings give an empty array. ``ledger`` is a folder all executors
-    reach; run folders are numbered, and the result covers exactly the given rule versions.
+    reach; every run has its own folder, and the result covers exactly the given rule versions.
     """
     # ids and addresses only: what is joined to paths at the end, and what picks one row for each unseen blob
     keys = cut_lineage(versions.select("path", "version", blob(F.col("text")).alias("sha")))
@@ -121,8 +123,8 @@ def _extend(versions: DataFrame, keys: DataFrame, ledger: str, rules: tuple[Rule
     # the addresses are the hash join's build side; texts stream past it, unsorted
     todo = texts.alias("t").join(unseen.alias("u").hint("shuffle_hash"), same).select("u.sha", "t.text", "u.todo")
     found = todo.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["sha"])
-    number = 0 if have is None else _next_run(spark, ledger)
-    found.write.mode("overwrite").parquet(f"{ledger}/run-{number:06d}")
+    # two scans at once keep apart; what both found is the same
+    found.write.parquet(f"{ledger}/run-{uuid.uuid4().hex}")
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -132,7 +134,7 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
     spans = every.filter(F.col("s.rule").isin([r.key for r in rules])).select(
         "sha", "s.start", "s.end", rank[F.col("s.rule")].alias("rank"), F.split_part("s.rule", F.lit("@"), F.lit(1)).alias("kind")
     )
-    by_blob = spans.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("f"))
+    by_blob = spans.groupBy("sha").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end", "kind"))).alias("f"))
     return by_blob.select("sha", F.transform("f", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("findings"))
 
 
@@ -141,19 +143,13 @@ def redacted(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str
     versions = docs.select(F.col(id_col).alias("path"), F.lit(0).alias("version"), F.col(text_col).alias("text"))
     keys = cut_lineage(versions.select("path", "version", blob(F.col("text")).alias("sha")))
     _extend(versions, keys, ledger, rules)
-    masked = findings(docs.sparkSession, ledger, rules).select(F.col("sha").alias("_sha"), F.col("findings").alias("_findings"))
-    joined = docs.join(masked.hint("shuffle_hash"), blob(docs[text_col]) == F.col("_sha"), "left")
-    clean = F.when(F.col("_findings").isNull(), docs[text_col]).otherwise(redact(docs[text_col], F.col("_findings")))
+    sha, spans = fresh(docs, "_sha"), fresh(docs, "_findings")
+    masked = findings(docs.sparkSession, ledger, rules).select(F.col("sha").alias(sha), F.col("findings").alias(spans))
+    joined = docs.join(masked.hint("shuffle_hash"), blob(docs[text_col]) == F.col(sha), "left")
+    clean = F.when(F.col(spans).isNull(), docs[text_col]).otherwise(redact(docs[text_col], F.col(spans)))
     return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
-def _next_run(spark: SparkSession, path: str) -> int:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [str(s.getPath().getName()) for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max([int(n.rsplit("-", 1)[1]) for n in done], default=-1) + 1
-
-
 def joined(findings, kinds: tuple[str, ...] | None = None):
     """kind:start:end of each finding, comma-joined."""
     if kinds is not None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickwise.llm.common import connected_components, slices
+from pickwise.llm.common import connected_components, fresh, slices
 from pickwise.llm.words import mix, per_text, shingle_set
 from pickwise.session import cut_lineage
 
@@ -344,11 +344,12 @@ def one_of_each(docs: DataFrame, p: Join = Join()) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"), F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("component").alias("component"),
     ))
     first = every.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "_rows")).alias("m"))
+    key, rows = fresh(docs, "_key"), fresh(docs, "_rows")
     found = every.filter("n = 0").select("key", "_rows").unionByName(first.select("m.key", "m._rows"))
-    found = cut_lineage(found.select(F.col("key").alias("_key"), "_rows"))
-    joined = docs.join(found.hint("shuffle_hash"), _key() == F.col("_key"))
-    kept = joined.select(*[docs[c] for c in docs.columns], "_rows")
-    if found.filter("_rows > 1").isEmpty():
-        return kept.drop("_rows")
-    single = kept.filter("_rows = 1").drop("_rows")
-    return single.unionByName(kept.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"]))
+    found = cut_lineage(found.select(F.col("key").alias(key), F.col("_rows").alias(rows)))
+    joined = docs.join(found.hint("shuffle_hash"), _key() == F.col(key))
+    kept = joined.select(*[docs[c] for c in docs.columns], rows)
+    if found.filter(F.col(rows) > 1).isEmpty():
+        return kept.drop(rows)
+    single = kept.filter(F.col(rows) == 1).drop(rows)
+    return single.unionByName(kept.filter(F.col(rows) > 1).drop(rows).dropDuplicates(["doc_id", "text"]))

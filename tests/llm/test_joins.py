@@ -4,6 +4,8 @@ import random
 
 from pickwise.llm.common import connected_components
 from pickwise.llm.hamming_topk import top_k
+from pyspark.sql import functions as F
+
 from pickwise.llm.set_relation_join import Join, components, one_of_each
 from pickwise.llm.suffix_dedup import repeats
 from tests.llm.helpers import components as plain_components
@@ -63,6 +65,12 @@ def test_one_of_each_keeps_rows_without_words_and_single_repeats(spark):
     assert kept == sorted([(1, None), (2, ""), (3, " \t\n "), (4, "one"), (None, None), (6, "a b c d e")], key=str)
 
 
+def test_one_of_each_beside_columns_of_its_own_names(spark):
+    docs = documents(spark, EDGE).withColumn("_rows", F.lit(5)).withColumn("_key", F.lit("k"))
+    got, plain = one_of_each(docs), one_of_each(documents(spark, EDGE))
+    assert got.columns == docs.columns and sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_one_of_each_keeps_one_row_of_equal_or_missing_ids(spark):
     text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     other = "k1 k2 k3 k4 k5 k6 k7 k8 k9 k10 k11 k12 k13 k14 k15 k16 k17 k18 k19 k20 k21 k22 k23 k24 k25 k26"

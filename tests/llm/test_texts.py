@@ -111,6 +111,21 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert secret_ledger.scan(versions(spark, []), scratch_path(spark, "ledger")).collect() == []
 
 
+def test_runs_that_scanned_the_same_blobs(spark):
+    """Two scans at once may both write a blob; its findings count once."""
+    ledger = scratch_path(spark, "ledger")
+    data = versions(spark, [("a", 1, "token=abcdef1")])
+    secret_ledger.scan(data, ledger)
+    secret_ledger.read_ledger(spark, ledger).write.parquet(f"{ledger}/run-of-another")
+    assert [len(r.findings) for r in secret_ledger.scan(data, ledger).collect()] == [1]
+
+
+def test_redaction_beside_columns_of_its_own_names(spark):
+    docs = documents(spark, [(1, "token=abcdef1"), (2, "none")]).withColumn("_sha", F.lit("s")).withColumn("_findings", F.lit("f"))
+    got = secret_ledger.redacted(docs, scratch_path(spark, "ledger"))
+    assert got.columns == docs.columns and {tuple(r) for r in got.select("text", "_sha", "_findings").collect()} == {("[SECRET]", "s", "f"), ("none", "s", "f")}
+
+
 def test_an_unfinished_run_is_not_read(spark):
     ledger = scratch_path(spark, "ledger")
     data = versions(spark, [("a", 1, "token=abcdef1")])
