@@ -24,6 +24,7 @@ def reveal(items: DataFrame, labels: DataFrame, values: Column) -> DataFrame:
     truth = labels.select("pool_idx", values.alias("_values"), F.lit(True).alias("_known"))
     blank = (F.col("kind") == "blank") | (F.col("pool_idx") < 0)
     known = F.col("_known").isNotNull()
+    # fixed value: the wording of a missing label
     missing = F.concat(F.lit("missing truth for pool_idx="), F.col("pool_idx").cast("string"))
     # blanks share one candidate number and never meet a label: only the others are joined
     plain = items.filter(F.coalesce(blank, F.lit(False))).withColumns({"_values": F.lit(None).cast(truth.schema["_values"].dataType), "_known": F.lit(None).cast("boolean")})
@@ -32,7 +33,7 @@ def reveal(items: DataFrame, labels: DataFrame, values: Column) -> DataFrame:
         .withColumn("values", F.when(~blank & known, F.col("_values")))
         .withColumn("state", F.when(blank | known, F.lit("COMPLETED")).otherwise(F.lit("FAILED")))
         .withColumn("qc_passed", ~blank & known)
-        .withColumn("message", F.when(blank, F.lit("blank/control")).when(known, F.lit("ok")).otherwise(missing))
+        .withColumn("message", F.when(blank, F.lit("no value expected")).when(known, F.lit("ok")).otherwise(missing))
         .drop("_values", "_known")
     )
 

@@ -14,6 +14,7 @@ from pickwise.operators.scale import grouped_index, top_k_per
 ROLE_ORDER = ("experimental", "positive", "negative", "blank", "replicate")
 
 
+# The wells of each role and the geometry of a standard plate.
 @dataclass(frozen=True)
 class Plate:
     n_experimental: int = 80

@@ -73,6 +73,8 @@ def order_statistics(df: DataFrame, value: str | Column, ranks: Sequence[int]) -
             if whole:
                 step = -(-(hi - lo + 1) // BINS)
                 pos = F.floor((F.col("v").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)"))
+            elif hi / 2 == lo / 2:  # neighbours so small that halving makes them equal: nothing lies between
+                pos = F.when(F.col("v") > lo, F.lit(BINS)).otherwise(F.lit(0))
             else:
                 pos = F.floor((F.col("v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * BINS)
             bins = (

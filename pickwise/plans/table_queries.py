@@ -74,7 +74,7 @@ REVEAL_ITEMS = """items AS (SELECT l_orderkey AS job_id, l_linenumber AS line, l
 SELECT job_id, line, part, price, items.kind, CASE WHEN kind = 'blank' OR pool_idx < 0 THEN NULL ELSE a END AS activity,
  CASE WHEN kind = 'blank' OR pool_idx < 0 OR a IS NOT NULL THEN 'COMPLETED' ELSE 'FAILED' END AS state,
  NOT (kind = 'blank' OR pool_idx < 0) AND a IS NOT NULL AS qc_passed,
- CASE WHEN kind = 'blank' OR pool_idx < 0 THEN 'blank/control' WHEN a IS NOT NULL THEN 'ok' ELSE 'missing truth for pool_idx=' || pool_idx END AS message
+ CASE WHEN kind = 'blank' OR pool_idx < 0 THEN 'no value expected' WHEN a IS NOT NULL THEN 'ok' ELSE 'missing truth for pool_idx=' || pool_idx END AS message
 FROM items LEFT JOIN truth USING (pool_idx)""")
 def reveal_batch(spark, d):
     items = t.table(spark, d, "lineitem").select(

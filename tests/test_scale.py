@@ -97,3 +97,12 @@ def test_long_lists_per_key_equal_short_ones(spark, monkeypatch):
     short = sc.top_k_per(df, ["k"], [F.desc("id")], 60).collect()
     monkeypatch.setattr(sc, "WINDOW_LIMIT", 10)
     assert sorted(sc.top_k_per(df, ["k"], [F.desc("id")], 60).collect()) == sorted(short)
+
+
+def test_the_smallest_neighbours(spark):
+    tiny = 5e-324
+    values = [0.0, tiny, 2 * tiny, tiny, -tiny, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    assert sc.order_statistics(df, "v", [1, 2, 3, 4, 5, 6]) == {r: sorted(values)[r - 1] for r in range(1, 7)}
+    two = spark.createDataFrame([(0.0,), (tiny,)], "v DOUBLE")
+    assert sc.order_statistics(two, "v", [1, 2]) == {1: 0.0, 2: tiny}
