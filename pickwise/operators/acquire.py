@@ -10,14 +10,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwise.functions.hashing import hash32, seeded_uniform
 from pickwise.operators.pareto import _volume, front_points
-from pickwise.operators.scale import blocks, global_index, top_k
+from pickwise.operators.regions import greedy_gains, regions
+from pickwise.operators.scale import global_index, top_k
 from pickwise.operators.similarity import pending_penalty
+from pickwise.session import cut_lineage
 
 SPAN_FLOOR = 1e-9
 CANDIDATE_CAP = 400
@@ -120,40 +121,25 @@ def optimistic(predictions: DataFrame, p: Params) -> DataFrame:
 def pareto_batch(predictions: DataFrame, k: int, p: Params) -> DataFrame:
     """Greedy hypervolume gain over optimistic values.
 
-    The best ``candidate_cap`` rows by penalised sum go on; the pending penalty only decides which.
-    The greedy steps then run on those rows and the labels' front in one task.
+    The best ``candidate_cap`` rows by penalised sum go on; the pending penalty only decides which. Gains are measured cell by cell against
+    the labels' front, which stays on the cluster; the driver holds the capped rows alone.
     """
     if p.ref_point is None:
         raise ValueError("the pareto strategy needs a reference point")
-    names = [f"o{i}" for i in range(p.n_objectives)]
+    spark, names = predictions.sparkSession, [f"o{i}" for i in range(p.n_objectives)]
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     rated = pending_penalty(optimistic(predictions, p).withColumn("score", total), p.pending, p.pending_lambda, **p.similarity)
-    capped = top_k(rated, "score", p.candidate_cap)
-    front = np.zeros((0, p.n_objectives))
+    capped = cut_lineage(top_k(rated, "score", p.candidate_cap))
+    some = capped.select("pool_idx", *names).toArrow()
+    rows = np.stack([np.asarray(some[n]) for n in names], axis=1) if some.num_rows else np.zeros((0, len(names)))
+    front = spark.createDataFrame([], ", ".join(f"{n} double" for n in names))
     if p.labels is not None:
-        known = p.labels.select(*[F.col(f"agg{i}").alias(n) for i, n in enumerate(names)])
-        for rows in blocks(front_points(known, names)):
-            front = np.vstack([front, np.array(rows, dtype=np.float64)])
+        front = cut_lineage(front_points(p.labels.select(*[F.col(f"agg{i}").alias(n) for i, n in enumerate(names)]), names))
     ref = np.array(p.ref_point, dtype=np.float64)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pool_idx")
-        opt = pdf[names].to_numpy(dtype=np.float64)
-        ids = pdf["pool_idx"].to_numpy()
-        held, left, out = front, list(range(len(opt))), []
-        base = _volume(held, ref)
-        while left and len(out) < k:
-            gains = [_volume(np.vstack([held, opt[j : j + 1]]), ref) - base for j in left]
-            # gains that differ by rounding only are ties, and go to the lower id
-            place = next(i for i, g in enumerate(gains) if g >= max(gains) - VOLUME_ROUNDING * max(1.0, abs(base)))
-            best = left.pop(place)
-            held = np.vstack([held, opt[best : best + 1]])
-            out.append((len(out) + 1, ids[best], gains[place]))
-            base = _volume(held, ref)
-        return pd.DataFrame(out, columns=["rank", "pool_idx", "score"])
-
-    rows = capped.select("pool_idx", *names, F.lit(0).alias("_all"))
-    picked = rows.groupBy("_all").applyInPandas(choose, "rank INT, pool_idx BIGINT, score DOUBLE")
+    highest = front.agg(*[F.max(n) for n in names]).first()
+    top = np.max([ref + 1e-9, *rows, *([list(highest)] if highest[0] is not None else [])], axis=0)
+    picks = greedy_gains(regions(front, names, ref, top), np.asarray(some["pool_idx"]), rows, k, _volume, VOLUME_ROUNDING)
+    picked = spark.createDataFrame(picks, "rank INT, pool_idx BIGINT, score DOUBLE")
     if p.keep:
         picked = picked.join(capped.select("pool_idx", *p.keep), "pool_idx")
     return picked.select("rank", "pool_idx", "score", F.lit("pareto").alias("strategy"), *p.keep)

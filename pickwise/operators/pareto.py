@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwise.operators.dominance import undominated
+from pickwise.operators.regions import CELLS, dominated, regions
 from pickwise.operators.scale import BLOCK_ROWS
 from pickwise.session import cut_lineage
 
-SLABS = 64
+BUCKETS = 64
 
 
 def dominated_by(points: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def reference_point(df: DataFrame, objectives: Sequence[str], margin: float = 0.
 
 
 def hypervolume_2d(
-    df: DataFrame, x: str, y: str, ref: tuple[float, float], buckets: int = SLABS,
+    df: DataFrame, x: str, y: str, ref: tuple[float, float], buckets: int = BUCKETS,
     one_bucket: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Area dominated by the points above ``ref``.
@@ -145,11 +146,11 @@ def _volume(points: np.ndarray, ref: np.ndarray) -> float:
     return total
 
 
-def hypervolume(df: DataFrame, objectives: Sequence[str], ref: Sequence[float], slabs: int = SLABS) -> DataFrame:
+def hypervolume(df: DataFrame, objectives: Sequence[str], ref: Sequence[float], cells: int = CELLS) -> DataFrame:
     """Dominated hypervolume for any number of objectives.
 
-    One objective is a maximum, two the bucketed area. Above that the front is cut into slabs along
-    the last objective and every slab's share is integrated in its own task.
+    One objective is a maximum, two the bucketed area. Above that space is cut into cells, and every cell that the front runs through is
+    measured in its own group.
     """
     names, ref = list(objectives), [float(r) for r in ref]
     if len(names) == 1:
@@ -159,24 +160,10 @@ def hypervolume(df: DataFrame, objectives: Sequence[str], ref: Sequence[float],
     inside = df
     for n, r in zip(names, ref):
         inside = inside.filter(F.col(n) > r)
-    front = front_points(inside, names)
-    last = names[-1]
-    edges = front.agg(F.percentile_approx(last, [i / slabs for i in range(1, slabs)], 10_000)).first()[0] or []
-    bounds = [ref[-1], *sorted({e for e in edges if e > ref[-1]})]
-    # a point counts in every slab below it; only the front is repeated, at most ``slabs`` times
-    starts = F.array(*[F.lit(b) for b in bounds])
-    mine = F.filter(F.sequence(F.lit(0), F.lit(len(bounds) - 1)), lambda i: F.get(starts, i) < F.col(last))
-    spread = front.withColumn("slab", F.explode(mine))
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["slab"].iloc[0])
-        low = bounds[s]
-        high = bounds[s + 1] if s + 1 < len(bounds) else np.inf
-        pts = pdf[names].to_numpy(dtype=np.float64)
-        pts[:, -1] = np.minimum(pts[:, -1], high)
-        return pd.DataFrame({"v": [_volume(pts, np.array([*ref[:-1], low]))]})
-
-    return spread.groupBy("slab").applyInPandas(share, "v DOUBLE").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("hypervolume"))
+    front = cut_lineage(front_points(inside, names))
+    top = front.agg(*[F.max(n) for n in names]).first()
+    value = dominated(regions(front, names, ref, top, cells), _volume) if top[0] is not None else 0.0
+    return df.sparkSession.createDataFrame([(float(value),)], "hypervolume double")
 
 
 def grouped_hypervolume(df: DataFrame, by: Sequence[str], objectives: Sequence[str], ref: Sequence[float]) -> DataFrame:
