@@ -3,7 +3,7 @@
 Every objective is cut at a few quantiles, so points fall into a bounded number of cells. A cell that lies strictly above another in every
 objective dominates all of its points, which go without being looked at. What is left of a cell is compared only with cells that are at
 least equal in every objective: no other point can dominate it. Cells with many points are split, so a task compares a bounded part
-of one cell. The driver sees one count per cell, never a point.
+of one cell. The driver sees one count per cell; only points that fit one part altogether are compared there at once.
 """
 
 from __future__ import annotations
@@ -66,6 +66,11 @@ def undominated(points: DataFrame, objectives: Sequence[str], cells: int = CELLS
     spark, names = points.sparkSession, [f"o{i}" for i in range(len(objectives))]
     back = [F.col(k).alias(n) for k, n in zip(names, objectives)]
     rows = cut_lineage(points.select(*[F.col(n).alias(k) for k, n in zip(names, objectives)]).distinct())
+    few = rows.limit(part_rows + 1).collect()
+    if len(few) <= part_rows:  # one part of one cell: nothing to spread
+        y = np.array(few, dtype=np.float64).reshape(len(few), len(names))
+        front = [tuple(r) for r, p in zip(few, y) if not ((y >= p).all(axis=1) & (y > p).any(axis=1)).any()]
+        return spark.createDataFrame(front, rows.schema).select(*back)
     cuts = _cut_points(rows, names, cells)
     coords = [f"c{i}" for i in range(len(names))]
     placed = rows.select(*names, *[_place(n, c).alias(k) for n, c, k in zip(names, cuts, coords)])
