@@ -4,29 +4,29 @@
 last time of each event class, so it is one grouped aggregate, in batch and in streaming alike.
 
 ``fold_events`` covers result events mixed with the engine's own marks (selected, submitted,
-released, labelled ...), where order and job ownership matter. Events are range-partitioned by
-(candidate, order), so one candidate's log may lie in many partitions. Every partition folds its own
-stretch; a stretch that may continue an earlier one is folded from every possible starting state at
-once, and the few stretches per split candidate are then chained.
+released, labelled ...), where order and job ownership matter. Every event is a function on the small
+set of phases. The log is numbered in (candidate, order) and cut into blocks of bounded length, so
+one candidate's log may span any number of them. A block is composed into the images of all phases by
+a Catalyst aggregate; the images of a split candidate are composed again, a bounded number at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwise.functions.states import INFLIGHT_PHASES, PHASES, contributes
+from pickwise.operators.scale import global_index
 from pickwise.session import cut_lineage
 
-STATE_SCHEMA = "pool_idx BIGINT, phase STRING, job_id STRING, fail_retries INT, qc_retries INT"
-
 # Event operations. OBS_* come from results, the others are marks.
 MARKS = ("CONTROL", "STOCKOUT", "SELECTED", "SUBMITTED", "RUNNING", "LABELED", "RELEASE", "RESTORE")
-_UNSET = "\x00entry"
+BLOCK_EVENTS = 1_000  # events that are composed at once
+CHAIN_BLOCKS = 64  # composed blocks that are composed with each other at once
+_ENTRY = "\x00entry"  # whichever job held the candidate when the block began
+_ANY = "\x00any"  # an image that does not depend on how the block began
 
 
 # ---- result events only -------------------------------------------------------------------------
@@ -135,133 +135,161 @@ def event_op() -> Column:
     )
 
 
-def _advance(op: str, job, phase: str, held, fails: int, rejects: int, max_fail: int, max_qc: int):
-    """One event on one state: new (phase, held job, fails added, rejects added)."""
-    if op == "CONTROL" or op == "LABELED":
-        return op, held, 0, 0
-    if op == "SUBMITTED":
-        return "SUBMITTED", job, 0, 0
-    if op == "STOCKOUT":
-        return ("STOCKOUT" if phase == "AVAILABLE" else phase), held, 0, 0
-    if op == "SELECTED":
-        return ("SELECTED", job or held, 0, 0) if phase in ("AVAILABLE", "RETRYABLE") else (phase, held, 0, 0)
-    if op == "RUNNING":
-        return ("RUNNING" if phase in ("SELECTED", "SUBMITTED") else phase), held, 0, 0
-    if op == "RELEASE":
-        owned = job is None or held is None or held == job
-        return ("AVAILABLE", None, 0, 0) if owned and phase in INFLIGHT_PHASES else (phase, held, 0, 0)
-    if phase == "LABELED":
-        return phase, held, 0, 0
-    if op == "OBS_CANCELLED":
-        return "AVAILABLE", None, 0, 0
-    if op == "OBS_FAILED":
-        return ("RETRYABLE", None, 1, 0) if fails + 1 <= max_fail else ("FAILED", held, 1, 0)
-    if op == "OBS_QC_REJECTED":
-        return ("RETRYABLE", None, 0, 1) if rejects + 1 <= max_qc else ("QC_REJECTED", held, 0, 1)
-    if op == "OBS_MEASURED":
-        return (phase if phase == "CONTROL" else "RUNNING"), held, 0, 0
-    if op in ("OBS_RUNNING", "OBS_SUBMITTED"):
-        return op[4:], held, 0, 0
-    return phase, held, 0, 0
-
-
-class _Stretch:
-    """Fold of one stretch of a candidate's log.
-
-    ``live`` maps a current state to the entry states that lead to it. A known start has one entry;
-    an unknown one has every (phase, saturated counters, holds a job?) combination. Releasing a job
-    while still holding the entry's unknown job splits the entries on that job's name.
-    """
+def _image(p: Column, h: Column, phase: Column, job: Column) -> Column:
+    """Entered in phase ``p`` and held by job ``h``, a candidate leaves in ``phase`` and held by ``job``."""
+    return F.struct(p.alias("p"), h.alias("h"), phase.alias("phase"), job.alias("job"))
+
+
+def _text(value: str | None) -> Column:
+    return F.lit(value).cast("string")
+
+
+def _known(phase: Column, job: Column) -> Column:
+    return F.array(_image(_text(_ANY), _text(_ANY), phase, job))
+
+
+def _start() -> Column:
+    return _known(_text("AVAILABLE"), _text(None))
+
+
+def _every_start() -> Column:
+    return F.array(*[_image(_text(p), _text(h), _text(p), _text(h)) for p in PHASES for h in (None, _ENTRY)])
+
+
+def _labelled_after(op: Column, ev: Column, labelled: Column) -> Column:
+    """Only these four events begin or end the phase LABELED, whatever the phase was before."""
+    return (
+        F.when(op == "LABELED", F.lit(True))
+        .when(op.isin("SUBMITTED", "CONTROL"), F.lit(False))
+        .when(op == "RESTORE", F.coalesce(ev["phase"] == "LABELED", F.lit(False)))
+        .otherwise(labelled)
+    )
+
+
+def _added(ev: Column, labelled: Column, op: str, restored: str) -> Column:
+    """What an event adds to a retry counter; results of a labelled candidate do not count."""
+    return (
+        F.when((ev["op"] == op) & ~labelled, F.lit(1))
+        .when(ev["op"] == "RESTORE", F.coalesce(ev[restored], F.lit(0)))
+        .otherwise(F.lit(0))
+    )
+
+
+def _counters(acc: Column, ev: Column) -> list[Column]:
+    return [
+        _labelled_after(ev["op"], ev, acc["labelled"]).alias("labelled"),
+        (acc["fails"] + _added(ev, acc["labelled"], "OBS_FAILED", "fail_retries")).alias("fails"),
+        (acc["rejects"] + _added(ev, acc["labelled"], "OBS_QC_REJECTED", "qc_retries")).alias("rejects"),
+    ]
+
+
+def _count_block(events: str, labelled: bool) -> Column:
+    """Counters of a block that begins labelled or not."""
+    zero = F.struct(F.lit(labelled).alias("labelled"), F.lit(0).alias("fails"), F.lit(0).alias("rejects"))
+    return F.aggregate(events, zero, lambda acc, ev: F.struct(*_counters(acc, ev)))
+
+
+def _apply(images: Column, ev: Column, labelled: Column, fails: Column, rejects: Column, max_fail: int, max_qc: int) -> Column:
+    """Images after one more event; ``fails`` and ``rejects`` already count it."""
+    op, job = ev["op"], ev["job_id"]
+    result = op.startswith("OBS_")
+    spent = ((op == "OBS_FAILED") & (fails > max_fail)) | ((op == "OBS_QC_REJECTED") & (rejects > max_qc))
+    frees = op.isin("OBS_CANCELLED", "OBS_FAILED", "OBS_QC_REJECTED") & ~labelled & ~spent
+    # the phase that an event sets whatever it meets
+    sets = (
+        F.when(op.isin("CONTROL", "LABELED", "SUBMITTED"), op)
+        .when(op == "RESTORE", ev["phase"])
+        .when(result & labelled, _text(None))
+        .when(spent | op.isin("OBS_RUNNING", "OBS_SUBMITTED"), F.substring(op, 5, 100))
+        .when(op == "OBS_CANCELLED", _text("AVAILABLE"))
+        .when(op.isin("OBS_FAILED", "OBS_QC_REJECTED"), _text("RETRYABLE"))
+    )
+
+    def one(img: Column) -> Column:
+        phase, held = img["phase"], img["job"]
+        inflight = phase.isin(*INFLIGHT_PHASES)
+        picks = (op == "SELECTED") & phase.isin("AVAILABLE", "RETRYABLE")
+        released = (op == "RELEASE") & inflight & (job.isNull() | held.isNull() | (held == job))
+        after = (
+            F.when(sets.isNotNull(), sets)
+            .when((op == "OBS_MEASURED") & ~labelled & (phase != "CONTROL"), _text("RUNNING"))
+            .when((op == "STOCKOUT") & (phase == "AVAILABLE"), op)
+            .when(picks, op)
+            .when((op == "RUNNING") & phase.isin("SELECTED", "SUBMITTED"), op)
+            .when(released, _text("AVAILABLE"))
+            .otherwise(phase)
+        )
+        holder = F.when(picks, F.coalesce(F.nullif(job, F.lit("")), held)).when(~released, held)
+        following = F.array(_image(img["p"], img["h"], after, holder))
+        # a release by a job that may be the unknown holder: that holder gets an image of its own
+        named = F.exists(images, lambda x: (x["p"] == img["p"]) & x["h"].eqNullSafe(job))
+        may_own = (op == "RELEASE") & inflight & job.isNotNull() & held.eqNullSafe(F.lit(_ENTRY)) & ~named
+        own = F.array(_image(img["p"], job, _text("AVAILABLE"), _text(None)))
+        return F.when(may_own, F.concat(following, own)).otherwise(following)
+
+    settled = op.isin("SUBMITTED", "RESTORE") | frees
+    return F.when(settled, _known(sets, F.when(~frees, job))).otherwise(F.flatten(F.transform(images, one)))
+
+
+def _fold_block(events: str, images: Column, labelled: Column, fails: Column, rejects: Column, max_fail: int, max_qc: int) -> Column:
+    """A block's events composed onto ``images``: struct(labelled, fails, rejects, images)."""
+    zero = F.struct(labelled.alias("labelled"), fails.alias("fails"), rejects.alias("rejects"), images.alias("images"))
+
+    def step(acc: Column, ev: Column) -> Column:
+        now, f, q = _counters(acc, ev)
+        return F.struct(now, f, q, _apply(acc["images"], ev, acc["labelled"], f, q, max_fail, max_qc).alias("images"))
+
+    return F.aggregate(events, zero, step)
+
+
+def _compose(first: Column, then: Column) -> Column:
+    """Images of two neighbouring blocks as those of one."""
+
+    def image_of(phase: Column, job: Column) -> Column:
+        own = F.filter(then, lambda u: (u["p"] == _ANY) | ((u["p"] == phase) & u["h"].eqNullSafe(job)))
+        open_ = F.filter(then, lambda u: (u["p"] == phase) & u["h"].eqNullSafe(F.lit(_ENTRY)))
+        return F.coalesce(F.get(own, F.lit(0)), F.get(open_, F.lit(0)))
+
+    def one(img: Column) -> Column:
+        to = image_of(img["phase"], img["job"])
+        holder = F.when(to["job"].eqNullSafe(F.lit(_ENTRY)), img["job"]).otherwise(to["job"])
+        following = F.array(_image(img["p"], img["h"], to["phase"], holder))
+        # holders the later block tells apart, unless the earlier one already does
+        names = F.filter(
+            then, lambda u: (u["p"] == img["phase"]) & u["h"].isNotNull() & (u["h"] != _ENTRY)
+            & ~F.exists(first, lambda x: (x["p"] == img["p"]) & x["h"].eqNullSafe(u["h"])),
+        )
+        own = F.transform(names, lambda u: _image(img["p"], u["h"], u["phase"], u["job"]))
+        return F.when(img["job"].eqNullSafe(F.lit(_ENTRY)), F.concat(following, own)).otherwise(following)
+
+    return F.flatten(F.transform(first, one))
+
 
-    def __init__(self, known: bool, max_fail: int, max_qc: int):
-        self.max_fail, self.max_qc = max_fail, max_qc
-        self.live: dict[tuple, list[tuple]] = {}
-        self.named: set[tuple] = set()
-        if known:
-            self.live[("AVAILABLE", None, 0, 0, 0, 0)] = [("AVAILABLE", 0, 0, None)]
-            return
-        for phase in PHASES:
-            for f in range(max_fail + 2):
-                for q in range(max_qc + 2):
-                    for held in (None, _UNSET):
-                        self.live[(phase, held, 0, 0, f, q)] = [(phase, f, q, held)]
-
-    def apply(self, op: str, job, phase=None, fails: int = 0, rejects: int = 0) -> None:
-        after: dict[tuple, list[tuple]] = {}
-        for (ph, held, df, dq, f, q), entries in self.live.items():
-            if op == "RESTORE":
-                state = (phase, job, fails, rejects, min(fails, self.max_fail + 1), min(rejects, self.max_qc + 1))
-                after.setdefault(state, []).extend(entries)
-                continue
-            if op == "RELEASE" and held == _UNSET and job is not None and ph in INFLIGHT_PHASES:
-                named = [(p0, f0, q0, job) for p0, f0, q0, h0 in entries if h0 == _UNSET]
-                named = [e for e in named if e not in self.named]
-                self.named.update(named)
-                if named:
-                    after.setdefault(("AVAILABLE", None, df, dq, f, q), []).extend(named)
-            new, now, af, aq = _advance(op, job, ph, held, f, q, self.max_fail, self.max_qc)
-            state = (new, now, df + af, dq + aq, min(f + af, self.max_fail + 1), min(q + aq, self.max_qc + 1))
-            after.setdefault(state, []).extend(entries)
-        self.live = after
-
-    def rows(self) -> list[tuple]:
-        return [(e, s[:4]) for s, entries in self.live.items() for e in entries]
-
-
-_STRETCH_SCHEMA = (
-    "pool_idx BIGINT, part INT, whole BOOLEAN, in_phase STRING, in_fails INT, in_rejects INT, in_job STRING, "
-    "phase STRING, job_id STRING, fail_retries INT, qc_retries INT"
-)
-
-
-def _fold_partition(max_fail: int, max_qc: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        out: list[tuple] = []
-        key, stretch, first = None, None, True
-
-        def flush(whole: bool) -> None:
-            for (p0, f0, q0, h0), (phase, held, df, dq) in stretch.rows():
-                out.append((key, part, whole, p0, f0, q0, h0, phase, held, df, dq))
-
-        for pdf in batches:
-            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
-                if row.pool_idx != key:
-                    if stretch is not None:
-                        flush(whole=not first)
-                        first = False
-                    # only a partition's first candidate can have begun in an earlier partition
-                    key, stretch = row.pool_idx, _Stretch(known=part == 0 or stretch is not None, max_fail=max_fail, max_qc=max_qc)
-                stretch.apply(row.op, row.job_id, row.phase, row.fail_retries or 0, row.qc_retries or 0)
-            if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _STRETCH_SCHEMA.split(", ")])
-                out.clear()
-        if stretch is not None:
-            flush(whole=False)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _STRETCH_SCHEMA.split(", ")])
-
-    return run
-
-
-def _chain(max_fail: int, max_qc: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        phase, held, fails, rejects = "AVAILABLE", None, 0, 0
-        for _, stretch in pdf.astype(object).where(pdf.notna(), None).sort_values("part").groupby("part", sort=True):
-            entry = (phase, min(fails, max_fail + 1), min(rejects, max_qc + 1))
-            table = {(r.in_phase, r.in_fails, r.in_rejects, r.in_job): r for r in stretch.itertuples(index=False)}
-            exact, open_ = table.get((*entry, held)), table.get((*entry, _UNSET))
-            hit = exact if exact is not None else open_
-            phase, fails, rejects = hit.phase, fails + hit.fail_retries, rejects + hit.qc_retries
-            held = held if hit.job_id == _UNSET else hit.job_id
-        return pd.DataFrame([(pdf["pool_idx"].iloc[0], phase, held, fails, rejects)], columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
-
-    return run
+def _chain(blocks: DataFrame, fan: int) -> DataFrame:
+    """``blocks(pool_idx, block, images)`` composed in block order until one row is left per candidate."""
+    while True:
+        most = blocks.groupBy("pool_idx").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        key = F.expr(f"block div {fan}") if most > fan else F.lit(0).cast("long")
+        grouped = blocks.groupBy("pool_idx", key.alias("block")).agg(F.array_sort(F.collect_list(F.struct("block", "images"))).alias("_b"))
+        rest = F.slice("_b", F.lit(2), F.size("_b"))
+        images = F.aggregate(rest, F.col("_b")[0]["images"], lambda acc, b: _compose(acc, b["images"]))
+        composed = grouped.select("pool_idx", "block", images.alias("images"))
+        if most <= fan:
+            return composed
+        blocks = cut_lineage(composed)
 
 
 def fold_events(
-    events: DataFrame, order: str, max_fail_retries: int = 1, max_qc_retries: int = 1, prior: DataFrame | None = None
+    events: DataFrame, order: str, max_fail_retries: int = 1, max_qc_retries: int = 1, prior: DataFrame | None = None,
+    block: int = BLOCK_EVENTS, fan: int = CHAIN_BLOCKS,
 ) -> DataFrame:
-    """Candidate state after ``events(pool_idx, <order>, op, job_id)`` in order, on top of ``prior``."""
+    """Candidate state after ``events(pool_idx, <order>, op, job_id)`` in order, on top of ``prior``.
+
+    Rows without a candidate (NULL or negative id) or operation change nothing; equal places in the order are taken by operation and
+    job. ``block`` and ``fan`` bound what one group holds and never change a result. Per candidate only one short row for each
+    ``block`` of its events comes together, to carry the counters.
+    """
+    limits = (max_fail_retries, max_qc_retries)
     log = events.filter((F.col("pool_idx") >= 0) & F.col("op").isNotNull()).select(
         "pool_idx", F.col(order).alias("_order"), "op", "job_id",
         F.lit(None).cast("string").alias("phase"),
@@ -273,13 +301,49 @@ def fold_events(
             "job_id", "phase", "fail_retries", "qc_retries", F.lit(0).alias("_rank"),
         )
         log = log.unionByName(start)
-    sort = ["pool_idx", "_rank", "_order"]
-    stretches = cut_lineage(
-        log.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        .select("pool_idx", "op", "job_id", "phase", "fail_retries", "qc_retries")
-        .mapInPandas(_fold_partition(max_fail_retries, max_qc_retries), _STRETCH_SCHEMA)
+    event = F.struct("pos", "op", "job_id", "phase", "fail_retries", "qc_retries")
+    groups = (
+        global_index(log, ["pool_idx", "_rank", "_order", "op", "job_id"])
+        .groupBy("pool_idx", F.expr(f"pos div {block}").alias("block"))
+        .agg(F.array_sort(F.collect_list(event)).alias("events"))
+    )
+    # only the first and the last candidate of a block can go on in another one
+    edge = (F.col("events")[0]["pos"] % block == 0) | (F.element_at("events", -1)["pos"] % block == block - 1)
+    alone = _fold_block("events", _start(), F.lit(False), F.lit(0), F.lit(0), *limits)
+    parts = cut_lineage(groups.select("pool_idx", "block", F.when(edge, F.col("events")).alias("events"), F.when(~edge, alone).alias("state")))
+    done = parts.filter(F.col("state").isNotNull()).select(
+        "pool_idx", F.col("state.images")[0]["phase"].alias("phase"), F.col("state.images")[0]["job"].alias("job_id"),
+        F.col("state.fails").alias("fail_retries"), F.col("state.rejects").alias("qc_retries"),
+    )
+
+    split = parts.filter(F.col("events").isNotNull()).select("pool_idx", "block", "events")
+    before = Window.partitionBy("pool_idx").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("_no.labelled") == F.col("_yes.labelled"), F.col("_no.labelled"))
+    carried = (
+        split.select("pool_idx", "block", _count_block("events", False).alias("_no"), _count_block("events", True).alias("_yes"))
+        .withColumn("_first", F.count(F.lit(1)).over(before) == 0)
+        .withColumn("_labelled", F.coalesce(F.last(known, ignorenulls=True).over(before), F.lit(False)))
+        .withColumn("_here", F.when(F.col("_labelled"), F.col("_yes")).otherwise(F.col("_no")))
+        .select(
+            "pool_idx", "block", "_first", "_labelled",
+            *[F.coalesce(F.sum(f"_here.{c}").over(before), F.lit(0)).cast("int").alias(f"_{c}") for c in ("fails", "rejects")],
+        )
+    )
+    begin = F.when(F.col("_first"), _start()).otherwise(_every_start())
+    folded = cut_lineage(
+        split.join(carried, ["pool_idx", "block"])
+        .withColumn("_s", _fold_block("events", begin, F.col("_labelled"), F.col("_fails"), F.col("_rejects"), *limits))
+        .select("pool_idx", "block", "_s.fails", "_s.rejects", "_s.images")
+    )
+    # nothing before the last block that settles the state matters; a candidate's first block always does
+    settles = F.col("images")[0]["p"] == _ANY
+    ends = folded.groupBy("pool_idx").agg(
+        F.max(F.when(settles, F.col("block"))).alias("_from"),
+        F.max_by("fails", "block").alias("fail_retries"), F.max_by("rejects", "block").alias("qc_retries"),
+    )
+    tail = folded.join(ends.select("pool_idx", "_from"), "pool_idx").filter(F.col("block") >= F.col("_from"))
+    chained = _chain(cut_lineage(tail.select("pool_idx", "block", "images")), fan)
+    last = F.col("images")[0]
+    return done.unionByName(
+        chained.join(ends, "pool_idx").select("pool_idx", last["phase"].alias("phase"), last["job"].alias("job_id"), "fail_retries", "qc_retries")
     )
-    done = stretches.filter("whole").select("pool_idx", "phase", "job_id", "fail_retries", "qc_retries")
-    # first and last candidate of each partition: the number of rows follows the partitions, not the data
-    split = stretches.filter("not whole").groupBy("pool_idx").applyInPandas(_chain(max_fail_retries, max_qc_retries), STATE_SCHEMA)
-    return done.unionByName(split)

@@ -9,7 +9,7 @@ OPS = ["CONTROL", "STOCKOUT", "SELECTED", "SUBMITTED", "RUNNING", "LABELED", "RE
 INFLIGHT = ("SELECTED", "SUBMITTED", "RUNNING")
 
 
-def replay(events, limit=1):
+def replay(events, max_fail=1, max_qc=1):
     """The rules written out once more, one candidate at a time."""
     state = {}
     for pool, _, op, job in sorted(events, key=lambda e: (e[0], e[1])):
@@ -34,6 +34,7 @@ def replay(events, limit=1):
             elif what in ("FAILED", "QC_REJECTED"):
                 c = "f" if what == "FAILED" else "q"
                 s[c] += 1
+                limit = max_fail if c == "f" else max_qc
                 s["phase"] = "RETRYABLE" if s[c] <= limit else what
                 if s[c] <= limit:
                     s["job"] = None
@@ -73,11 +74,47 @@ def test_release_across_partitions_needs_the_holder(spark):
     assert as_dict(lc.fold_events(frame(spark, events), "ord"))[0] == ("AVAILABLE", None, 0, 0)
 
 
+@pytest.mark.parametrize("block,fan", [(1, 8), (16, 3), (1000, 64)])
+def test_blocks_of_any_length_give_the_same_states(spark, block, fan):
+    events = make(11, n=400, hot=0.8, jobs=2)
+    assert as_dict(lc.fold_events(frame(spark, events), "ord", block=block, fan=fan)) == replay(events)
+
+
+def test_blocks_that_settle_nothing_are_chained(spark):
+    rng = random.Random(4)
+    loose = ["SELECTED", "RUNNING", "RELEASE", "STOCKOUT", "OBS_RUNNING", "OBS_MEASURED", "LABELED", "CONTROL", "OBS_SUBMITTED"]
+    for ops in (["SELECTED", "RUNNING", "RELEASE"], loose):
+        events = [(k, i, rng.choice(ops), rng.choice([None, "", "a", "b", "c"])) for k in (0, 1) for i in range(240)]
+        assert as_dict(lc.fold_events(frame(spark, events), "ord", block=8, fan=3)) == replay(events)
+
+
+def test_retries_run_on_over_blocks(spark):
+    events = [(0, i, "OBS_FAILED", None) for i in range(50)] + [(0, 50, "LABELED", None)]
+    events += [(0, 51 + i, "OBS_FAILED", None) for i in range(50)] + [(0, 101, "SUBMITTED", "j")] + [(0, 102 + i, "OBS_QC_REJECTED", None) for i in range(9)]
+    state = lc.fold_events(frame(spark, events), "ord", block=7, fan=2)
+    assert as_dict(state)[0][2:] == (50, 9) and as_dict(state) == replay(events)
+    assert as_dict(lc.fold_events(frame(spark, events), "ord", 60, 3, block=7, fan=2)) == replay(events, 60, 3)
+
+
+def test_rows_without_candidate_or_operation_and_empty_logs(spark):
+    odd = [(None, 0, "CONTROL", None), (-1, 0, "CONTROL", None), (3, 0, None, "j"), (4, 0, "UNHEARD", "j"), (5, None, "SELECTED", "j")]
+    assert as_dict(lc.fold_events(frame(spark, odd), "ord")) == {4: ("AVAILABLE", None, 0, 0), 5: ("SELECTED", "j", 0, 0)}
+    assert as_dict(lc.fold_events(frame(spark, []), "ord")) == {}
+
+
+def test_the_fold_needs_no_python_worker(spark, monkeypatch):
+    plans, write = [], lc.cut_lineage
+    plan = lambda df: df._jdf.queryExecution().toString()
+    monkeypatch.setattr(lc, "cut_lineage", lambda df: plans.append(plan(df)) or write(df))
+    plans.append(plan(lc.fold_events(frame(spark, make(1, n=50)).repartition(2), "ord")))
+    assert len(plans) == 4 and not any(word in p for p in plans for word in ("InPandas", "InArrow", "ArrowEval", "BatchEvalPython"))
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_fold_goes_on_from_a_snapshot(spark, seed):
     events = make(seed)
     first = lc.fold_events(frame(spark, events[:250]), "ord")
-    both = lc.fold_events(frame(spark, events[250:]), "ord", prior=first)
+    both = lc.fold_events(frame(spark, events[250:]), "ord", prior=first, block=9, fan=4)
     assert as_dict(both) == replay(events)
 
 
