@@ -342,7 +342,7 @@ def fold_events(
         F.max_by("fails", "block").alias("fail_retries"), F.max_by("rejects", "block").alias("qc_retries"),
     )
     tail = folded.join(ends.select("pool_idx", "_from"), "pool_idx").filter(F.col("block") >= F.col("_from"))
-    chained = _chain(cut_lineage(tail.select("pool_idx", "block", "images")), fan)
+    chained = _chain(tail.select("pool_idx", "block", "images"), fan)
     last = F.col("images")[0]
     return done.unionByName(
         chained.join(ends, "pool_idx").select("pool_idx", last["phase"].alias("phase"), last["job"].alias("job_id"), "fail_retries", "qc_retries")
