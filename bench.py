@@ -45,7 +45,7 @@ def main() -> None:
     # the published enrichment comparison: one library, five rounds of fifty, 40 trees
     candidates, truth = clock("fingerprint_library", lambda: sel.text_library(spark, sf_dir))
     for s in ("random", "greedy", "ucb"):
-        rules = replace(sel.ENRICHMENT, acquisition=s)
+        rules = replace(sel.ENRICHMENT, acquisition=s, surrogate="trees")  # 300 labels: the surrogate for small budgets
 
         def loop():
             labels = ca.run_campaign(candidates, ca.evaluate_from(truth, ["activity"]), rules, 5)

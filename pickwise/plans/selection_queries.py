@@ -224,6 +224,16 @@ def rf_fit_predict(spark, d):
     )
 
 
+@query(f"WITH {COUNTED} SELECT pool_idx, round(avg(a) OVER (PARTITION BY p % 7), 9) AS mean0, 0::DOUBLE AS std0 FROM c")
+def forest_leaf_means(spark, d):
+    """Fully grown trees over one feature of seven values, every row seen once: each leaf holds one value, and its prediction is the
+    average label of that value."""
+    candidates, truth = _counted(spark, d)
+    one = dense_features(candidates.select("pool_idx", F.array("wobble").alias("wobble")), "wobble")
+    out = ForestSurrogate(3, 0, 12, bootstrap=False).fit(one.join(truth, "pool_idx"), ["activity"]).predict(one)
+    return out.select("pool_idx", F.round("mean0", 9).alias("mean0"), F.round("std0", 9).alias("std0"))
+
+
 @query(f"""WITH {COUNTED}, lab AS (SELECT c.*, row_number() OVER (ORDER BY {U.format(seed=0)} DESC, pool_idx) AS k FROM c),
 first AS (SELECT * FROM lab, n WHERE k <= greatest(1, floor(0.2::DOUBLE * n))), lim AS (SELECT min(a) AS lo, max(a) AS hi FROM first), cut AS (SELECT quantile_cont(-p, 0.1) AS q FROM c),
 s AS (SELECT pool_idx, (p + 0.5::DOUBLE * (p % 7) - lo) / (hi - lo) AS score FROM c, lim, cut WHERE pool_idx NOT IN (SELECT pool_idx FROM first) AND -p >= q)

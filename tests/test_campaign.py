@@ -86,6 +86,21 @@ def test_forest_mean_and_spread(spark, library):
         ForestSurrogate().predict(cands)
 
 
+def test_the_default_forest_fits_every_label_without_python(spark):
+    assert ca.Rules().surrogate == "forest"
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.col("id").alias("pool_idx"), array_to_vector(F.array((F.col("id") % 7).cast("double"))).alias("features"),
+                                    ((F.col("id") % 7) * 3 + F.col("id") % 2).cast("double").alias("activity"))
+    out = ForestSurrogate(3, bootstrap=False).fit(rows, ["activity"]).predict(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "InPandas", "ArrowEval"))
+    exact = {r.g: r.m for r in rows.groupBy((F.col("pool_idx") % 7).alias("g")).agg(F.avg("activity").alias("m")).collect()}
+    for r in out.filter("pool_idx < 14").collect():
+        assert abs(r.mean0 - exact[r.pool_idx % 7]) < 1e-9 and r.std0 == 0
+
+
 def test_bootstrap_forest_is_stable_and_learns(spark, library):
     cands, truth = library
     training = cands.join(truth, "pool_idx").filter("pool_idx < 120")
@@ -121,7 +136,7 @@ def test_best_split_equals_brute_force():
 def test_the_rules_name_the_surrogate(spark, library):
     cands, truth = library
     labels = cands.join(truth, "pool_idx").filter("pool_idx < 60")
-    for rules in (replace(RULES, surrogate="forest"), replace(RULES, fit_rows=10), replace(RULES, acquisition="Random")):
+    for rules in (RULES, replace(RULES, surrogate="trees"), replace(RULES, surrogate="trees", fit_rows=10), replace(RULES, acquisition="Random")):
         assert ca.select_round(cands, labels, rules, taken=labels).count() == 10
     with pytest.raises(ValueError, match="surrogate"):
         ca.select_round(cands, labels, replace(RULES, surrogate="other"), taken=labels)
