@@ -107,7 +107,7 @@ def test_the_fold_needs_no_python_worker(spark, monkeypatch):
     plan = lambda df: df._jdf.queryExecution().toString()
     monkeypatch.setattr(lc, "cut_lineage", lambda df: plans.append(plan(df)) or write(df))
     plans.append(plan(lc.fold_events(frame(spark, make(1, n=50)).repartition(2), "ord")))
-    assert len(plans) == 4 and not any(word in p for p in plans for word in ("InPandas", "InArrow", "ArrowEval", "BatchEvalPython"))
+    assert len(plans) == 3 and not any(word in p for p in plans for word in ("InPandas", "InArrow", "ArrowEval", "BatchEvalPython"))
 
 
 @pytest.mark.parametrize("seed", [5, 6])
