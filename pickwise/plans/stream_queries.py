@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pickwise.operators.lifecycle import fold_events
+from pickwise.operators.observations import dedupe
 from pickwise.plans import state_queries as sq
 from pickwise.plans import tables as t
 from pickwise.plans.registry import query
-from pickwise.session import scratch_path
+from pickwise.session import cut_lineage, scratch_path
 from pickwise.streaming import ingest as ing
+from pickwise.streaming import keyed
 
 
 def _stream(spark, sf_dir: str, view, files: int = 4):
@@ -40,11 +43,24 @@ def stream_labels(spark, d):
 
 @query(f"WITH {t.OBS} SELECT pool_idx, round(median(v), 6) AS agg0 FROM obs WHERE {t.CONTRIBUTES} GROUP BY pool_idx")
 def stream_medians(spark, d):
-    """Medians of touched candidates are recomputed per micro-batch; the last one per candidate counts."""
-    log, out = scratch_path(spark, "log"), scratch_path(spark, "medians")
-    _run(spark, _stream(spark, d, t.observations), ing.median_of_touched(log, out))
-    rows = spark.read.parquet(out)
-    return rows.groupBy("pool_idx").agg(F.round(F.max_by("agg0", "version"), 6).alias("agg0"))
+    """Medians from keyed state: a micro-batch reads nothing but itself and the state of its candidates."""
+    out = scratch_path(spark, "medians")
+    _run(spark, keyed.stream_medians(_stream(spark, d, t.observations)), ing.append_updates(out))
+    return ing.latest_rows(spark, out, "pool_idx").select("pool_idx", F.round("agg0", 6).alias("agg0"))
+
+
+@query(f"""WITH {t.DEDUPED}, s AS (SELECT pool_idx, count(*) AS n, median(v) AS m, avg(v) AS a, stddev_pop(v) AS sd FROM deduped WHERE {t.CONTRIBUTES} GROUP BY pool_idx)
+SELECT pool_idx, n, round(m, 6) AS agg0, round(a, 6) AS mean0, round(sd, 6) AS std0, n >= 2 AND sd > 14 * (1 + 1e-12::DOUBLE) AS rejected FROM s""")
+def stream_label_qc(spark, d):
+    """Every event is delivered twice and unordered; de-duplication, labels and quality control run as one stream."""
+    def view(s, sf):
+        log = dedupe(t.observations(s, sf), t.OBS_ORDER)
+        return log.unionByName(log)
+
+    out = scratch_path(spark, "labels")
+    _run(spark, keyed.stream_medians(ing.stream_dedupe(_stream(spark, d, view))), ing.append_updates(out))
+    labels = keyed.with_verdict(ing.latest_rows(spark, out, "pool_idx"), 14.0)
+    return labels.select("pool_idx", "n", *[F.round(c, 6).alias(c) for c in ("agg0", "mean0", "std0")], "rejected")
 
 
 @query(sq.FOLD_SQL + " SELECT * FROM state")
@@ -57,21 +73,17 @@ def stream_candidates(spark, d):
 
 @query(sq._marks_sql(f"CASE WHEN event_type = 'purchase' THEN 'RELEASE' ELSE {sq.MARK_OPS} END"))
 def stream_marks(spark, d):
-    """Marks and results folded on top of the state so far, micro-batch after micro-batch in order."""
-    def view(s, sf):
-        return sq._marks(s, sf, True)
-
-    rows = view(spark, d)
-    path, out = scratch_path(spark, "incoming"), scratch_path(spark, "snapshots")
-    cut = rows.agg(F.expr("percentile_approx(ord, 0.5)")).first()[0]
-    early, late = f"{path}/a", f"{path}/b"
-    rows.filter(F.col("ord") <= cut).write.parquet(early)
-    state = scratch_path(spark, "stream-state")
-    sink = ing.fold_into_states(out, "ord")
-    ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
-    rows.filter(F.col("ord") > cut).write.parquet(late)
-    # a second run goes on from the checkpoint of the first
-    ing.run_available(ing.read_stream(spark, f"{path}/*", rows.schema), state, sink)
+    """The first third of the log is a batch snapshot, the rest comes as two runs of a stream on keyed state."""
+    rows = sq._marks(spark, d, True)
+    path, out, state = (scratch_path(spark, n) for n in ("incoming", "snapshots", "stream-state"))
+    low, high = rows.agg(F.expr("percentile_approx(ord, array(0.33, 0.67))")).first()[0]
+    begin = cut_lineage(fold_events(rows.filter(F.col("ord") <= low), "ord"))
+    ing.append_updates(out)(begin, -1)
+    for part, between in (("a", (F.col("ord") > low) & (F.col("ord") <= high)), ("b", F.col("ord") > high)):
+        rows.filter(between).write.parquet(f"{path}/{part}")
+        # the second run goes on from the checkpoint of the first
+        stream = keyed.stream_marks(ing.read_stream(spark, f"{path}/*", rows.schema), "ord", snapshot=begin)
+        ing.run_available(stream, state, ing.append_updates(out))
     return ing.latest_rows(spark, out, "pool_idx").withColumn("job_id", F.coalesce("job_id", F.lit("-")))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pickwise.functions.states import contributes, open_job
 from pickwise.operators.jobs import latest
-from pickwise.operators.lifecycle import fold_events, observation_phases
-from pickwise.operators.observations import event_key, grouped_median
+from pickwise.operators.lifecycle import observation_phases
+from pickwise.operators.observations import event_key
 from pickwise.sources.stores import versions
 
 
@@ -68,47 +68,6 @@ def latest_rows(spark: SparkSession, path: str, key: str, before: int | None = N
     return latest(rows, key, "version").drop("version")
 
 
-def fold_into_states(path: str, order: str, max_fail_retries: int = 1, max_qc_retries: int = 1):
-    """Sink for marks mixed with results: each micro-batch is folded on top of the state so far.
-
-    Only the candidates a micro-batch touches are read back and written again; ``latest_rows`` gives
-    the whole state.
-    """
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        if not _is_new(spark, path, batch_id):
-            return
-        df.persist()
-        prior = latest_rows(spark, path, "pool_idx", before=batch_id)
-        if prior is not None:
-            prior = prior.join(df.select("pool_idx").distinct(), "pool_idx", "left_semi")
-        state = fold_events(df, order, max_fail_retries, max_qc_retries, prior)
-        state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={batch_id}")
-        df.unpersist()
-
-    return write
-
-
-def median_of_touched(log_path: str, out_path: str, n_objectives: int = 1):
-    """Sink that recomputes medians of the candidates a micro-batch touches, from the whole log."""
-    append = append_to_log(log_path)
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        append(df, batch_id)
-        if not _is_new(spark, out_path, batch_id):
-            return
-        touched = spark.read.parquet(f"{log_path}/version={batch_id}").filter(contributes()).select("pool_idx").distinct()
-        log = spark.read.schema(df.schema).parquet(log_path).filter(contributes()).join(touched, "pool_idx", "left_semi")
-        out = None
-        for i in range(n_objectives):
-            one = grouped_median(log.select("pool_idx", F.get("values", F.lit(i)).alias("v")), ["pool_idx"], "v", f"agg{i}")
-            out = one if out is None else out.join(one, "pool_idx")
-        out.write.mode("overwrite").parquet(f"{out_path}/version={batch_id}")
-
-    return write
-
-
 def progress_rows(log_path: str, out_path: str, ledger: DataFrame | None = None):
     """Sink that ingests a micro-batch and writes one progress row for it."""
     append = append_to_log(log_path)
