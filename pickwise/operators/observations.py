@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwise.functions.states import contributes
+from pickwise.session import cut_lineage
 
-MEDIAN_BINS = 1024
+MEDIAN_BINS = 256  # a power of two
+MEDIAN_SALTS = 16
+MEDIAN_VALUES = 4_096  # different values of a key that are ranked in one group
 ROUNDING = 1e-12
 
 
@@ -76,38 +80,91 @@ def _extra(order: Sequence[str], keys: Sequence[str]) -> list[str]:
     return [c for c in order if c not in ("ts", "smiles", "compound_id", *keys)]
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per key, also when one key holds most rows.
+def _bin(value: Column, splits: Column) -> Column:
+    """How many of the ``MEDIAN_BINS`` - 1 ascending ``splits`` lie below the value, by halving."""
+    steps = F.array(*[F.lit(MEDIAN_BINS >> i) for i in range(1, MEDIAN_BINS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(value > F.get(splits, at + step - 1), at + step).otherwise(at))
 
-    Equal values are counted together first; each key's value range is cut into bins, running
-    counts over the bins find the one or two bins that hold the middle ranks, and only the values
-    of those bins are ranked.
+
+def _salt() -> Column:
+    return F.pmod(F.hash("_v"), F.lit(MEDIAN_SALTS))
+
+
+def _salted(few: DataFrame) -> DataFrame:
+    """One row for each salt; for wide keys alone, of which there are fewer than values by ``MEDIAN_VALUES``."""
+    return few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(MEDIAN_SALTS - 1))))
+
+
+def _middle_bins(counts: DataFrame, open_keys: DataFrame, keys: list[str]) -> DataFrame:
+    """The part of each open key's values that still holds both middle ranks, or the two values themselves (``_a``, ``_b``).
+
+    Splits come from an approximate quantile sketch of the different values, so outliers and uneven values cost nothing; what they
+    hold is then counted exactly. At most ``MEDIAN_BINS`` rows a key come together. Rows are salted, so a hot key is many tasks' work.
     """
-    keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.col("_hi") / 2 - F.col("_lo") / 2
-    place = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * MEDIAN_BINS)
-    binned = counts.join(ends, keys).withColumn(
-        "_bin", F.when(width > 0, F.least(place, F.lit(MEDIAN_BINS - 1))).otherwise(F.lit(0)).cast("int")
+    inside = (
+        counts.withColumn("_salt", _salt()).join(_salted(open_keys), [*keys, "_salt"])
+        .filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*keys, "_salt", "_v", "_c", "_n", "_before")
+    )
+    shares = F.array(*[F.lit(i / MEDIAN_BINS) for i in range(1, MEDIAN_BINS)])
+    splits = inside.groupBy(*keys).agg(F.percentile_approx("_v", shares, 10 * MEDIAN_BINS).alias("_splits"))
+    bins = (
+        inside.join(_salted(splits), [*keys, "_salt"]).groupBy(*keys, _bin(F.col("_v"), F.col("_splits")).alias("_bin"))
+        .agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+             F.first("_n").alias("_n"), F.first("_before").alias("_before"))
     )
-    # at most MEDIAN_BINS rows per key from here on
     running = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    middle = (
-        binned.groupBy(*keys, "_bin", "_n")
-        .agg(F.sum("_c").alias("_bc"))
-        .withColumn("_before", F.coalesce(F.sum("_bc").over(running), F.lit(0)))
-        .filter((F.col("_before") < high) & (F.col("_before") + F.col("_bc") >= low))
-        .select(*keys, "_bin", "_before")
+    placed = bins.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_c").over(running), F.lit(0)))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_before") < rank) & (F.col("_before") + F.col("_c") >= rank)
+
+    part = F.struct("_lo", "_hi", "_d", "_before")
+    found = placed.groupBy(*keys, "_n").agg(F.max(F.when(holds(low), part)).alias("_l"), F.max(F.when(holds(high), part)).alias("_h"))
+    # middle ranks in two bins are the last value of one and the first of the next
+    apart = (F.col("_l._before") != F.col("_h._before")) | (F.col("_l._lo") == F.col("_l._hi"))
+    return found.select(
+        *keys, "_n", "_l._lo", "_l._hi", "_l._d", "_l._before", F.when(apart, F.col("_l._hi")).alias("_a"), F.when(apart, F.col("_h._lo")).alias("_b"),
+    )
+
+
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str, limit: int = MEDIAN_VALUES) -> DataFrame:
+    """Exact median per key, also when one key holds most rows; NULL values and keys are left out, NaN is the largest value.
+
+    Equal values are counted together first. Keys of at most ``limit`` different values are ranked at once. The part of a wider key
+    that holds its middle is narrowed pass by pass, only keys still wider going on; a pass leaves about 1 in ``MEDIAN_BINS`` values.
+    """
+    keys = list(keys)
+    given = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*keys, value)])
+    counts = cut_lineage(
+        df.filter(given).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    )
+    spans = counts.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n"), F.lit(0).cast("long").alias("_before")
     )
-    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = binned.join(middle, [*keys, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(within))
-    hits = ranked.filter(
-        ((F.col("_upto") >= low) & (F.col("_upto") - F.col("_c") < low))
-        | ((F.col("_upto") >= high) & (F.col("_upto") - F.col("_c") < high))
+    wide = F.col("_d") > limit
+    bracket = [*keys, "_lo", "_hi", "_n", "_before"]
+    inside, done = counts.withColumns({"_n": F.lit(None).cast("long"), "_before": F.lit(None).cast("long")}), []
+    if (spans.agg(F.max("_d")).first()[0] or 0) > limit:
+        open_keys, narrowed = cut_lineage(spans.filter(wide).select(*bracket)), []
+        while not open_keys.isEmpty():
+            passed = cut_lineage(_middle_bins(counts, open_keys, keys))
+            narrowed.append(passed.filter(F.col("_a").isNotNull() | ~wide))
+            open_keys = passed.filter(F.col("_a").isNull() & wide).select(*bracket)
+        few = reduce(DataFrame.unionByName, narrowed)  # once each wide key
+        done = [few.filter(F.col("_a").isNotNull()).select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(name))]
+        kept = F.col("_n").isNull() | (F.col("_a").isNull() & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        salted = _salted(few.select(*bracket, "_a"))
+        inside = counts.withColumn("_salt", _salt()).join(salted, [*keys, "_salt"], "left").filter(kept).select(*keys, "_v", "_c", "_n", "_before")
+    within = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.col("_all")
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    ranked = (
+        inside.withColumn("_all", F.coalesce("_n", F.sum("_c").over(Window.partitionBy(*keys))))
+        .withColumn("_upto", F.coalesce("_before", F.lit(0)) + F.sum("_c").over(within))
     )
-    return hits.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+    hits = ranked.filter((F.col("_upto") >= low) & (F.col("_upto") - F.col("_c") < high))
+    return reduce(DataFrame.unionByName, done, hits.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name)))
 
 
 def qc_rejected(max_std: float | None, min_replicates: int = 2) -> Column:

@@ -34,6 +34,34 @@ def stream_dedupe(spark, d):
     return spark.read.parquet(out).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+LATE_SQL = f"""WITH {t.DEDUPED}, cut AS (SELECT *, ts <= TIMESTAMP '1995-06-30' AS first FROM deduped), top AS (SELECT max(ts) AS m FROM cut WHERE first),
+again AS (SELECT cut.*, ts <= m - INTERVAL 60 DAY AS late FROM cut, top WHERE first AND ts > m - INTERVAL 120 DAY),
+lot AS (SELECT 'kept' AS outcome, * FROM deduped UNION ALL SELECT CASE WHEN late THEN 'late' ELSE 'repeated' END, * EXCLUDE (first, late) FROM again)
+SELECT outcome, count(*) AS n, sum(pool_idx)::BIGINT AS ids, sum(quantity)::BIGINT AS quantity FROM lot GROUP BY outcome"""
+
+
+@query(LATE_SQL)
+def stream_late(spark, d):
+    """The newer half of the log brings events of the last 120 days again, with a memory of 60: they are repeated or late."""
+    log = dedupe(t.observations(spark, d), t.OBS_ORDER).withColumn("ts", F.col("ts").cast("timestamp"))
+    first = cut_lineage(log.filter(F.col("ts") <= F.lit("1995-06-30").cast("timestamp")))
+    top = first.agg(F.max("ts").alias("m")).first()["m"]
+    again = first.filter(F.col("ts") > F.lit(top).cast("timestamp") - F.expr("INTERVAL 120 DAYS"))
+    later = log.filter(F.col("ts") > F.lit("1995-06-30").cast("timestamp")).unionByName(again)
+    incoming, parted, kept, s1, s2 = (scratch_path(spark, n) for n in ("incoming", "parted", "kept", "split-state", "dedupe-state"))
+    for n, part in enumerate((first, later)):
+        part.write.parquet(f"{incoming}/{n}")
+        ing.run_available(ing.read_stream(spark, f"{incoming}/*", log.schema), s1, ing.split_late(parted, "ts", "60 DAYS"))
+        on_time = ing.read_stream(spark, f"{parted}/on_time/*", log.schema)
+        ing.run_available(ing.stream_dedupe(on_time, "ts", "60 days"), s2, ing.append_to_log(kept))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("pool_idx").alias("ids"), F.sum("quantity").cast("long").alias("quantity")]
+    parts = {name: spark.read.schema(log.schema).parquet(path).agg(*sums) for name, path in (("kept", kept), ("on_time", f"{parted}/on_time"), ("late", f"{parted}/late"))}
+    taken = parts["kept"].select(*[(-F.col(c)).alias(c) for c in ("n", "ids", "quantity")])
+    repeated = parts["on_time"].unionByName(taken).agg(*[F.sum(c).alias(c) for c in ("n", "ids", "quantity")])
+    named = [df.withColumn("outcome", F.lit(name)) for name, df in (("kept", parts["kept"]), ("late", parts["late"]), ("repeated", repeated))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).select("outcome", "n", "ids", "quantity")
+
+
 @query(f"WITH {t.OBS} SELECT pool_idx, count(*) AS n, round(avg(v), 6) AS agg0, round(stddev_pop(v), 6) AS std0 FROM obs WHERE {t.CONTRIBUTES} GROUP BY pool_idx")
 def stream_labels(spark, d):
     out = scratch_path(spark, "labels")

@@ -31,6 +31,36 @@ def stream_dedupe(obs: DataFrame, ts: str | None = None, delay: str | None = Non
     return keyed.dropDuplicates(["_key"]).drop("_key")
 
 
+def split_late(path: str, ts: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """Sink that parts a micro-batch by the watermark: ``path``/on_time for ``stream_dedupe`` and ``path``/late, with a reason.
+
+    The watermark is the latest event time of all micro-batches before, less ``delay`` (an interval such as ``2 hours``); a row at or behind it, or
+    without a time, is late and kept apart. One row a micro-batch remembers the latest time. De-duplication of what is on time has seen no later
+    time than this sink, so it drops no row as late by itself: every row is kept, repeated or late, and none goes missing.
+    """
+    root = path.rstrip("/")
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        if not _is_new(spark, f"{root}/seen", batch_id):
+            return
+        before = [v for v in versions(spark, f"{root}/seen") if v < batch_id]
+        latest_time = spark.read.parquet(f"{root}/seen/version={before[-1]}").first()["latest"] if before else None
+        mark = F.lit(latest_time).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        when = F.col(ts).cast("timestamp")
+        reason = F.when(when.isNull(), F.lit("no event time")).when(when <= mark, F.lit("behind the watermark"))
+        rows = df.withColumn(ts, when).withColumn("reason", reason)
+        df.persist()
+        rows.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(f"{root}/on_time/version={batch_id}")
+        rows.filter(F.col("reason").isNotNull()).withColumn("watermark", mark).write.mode("overwrite").parquet(f"{root}/late/version={batch_id}")
+        # written last: a micro-batch that has no row here is done again, as a whole
+        seen = df.agg(F.greatest(F.max(when), F.lit(latest_time).cast("timestamp")).alias("latest"))
+        seen.write.mode("overwrite").parquet(f"{root}/seen/version={batch_id}")
+        df.unpersist()
+
+    return write
+
+
 def stream_labels(obs: DataFrame, n_objectives: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Running mean, spread and count per candidate; update mode. State is three numbers per key."""
     vals = [F.get("values", F.lit(i)) for i in range(n_objectives)]

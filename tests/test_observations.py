@@ -64,6 +64,36 @@ def test_grouped_median_of_hot_and_small_keys(spark, seed):
         assert got[k] == pytest.approx(statistics.median(v for kk, v in rows if kk == k))
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40])
+def test_grouped_median_narrows_wide_keys(spark, limit):
+    rng = np.random.default_rng(limit)
+    rows = [(0, float(v)) for v in rng.normal(size=3001)] + [(0, 1e308), (1, 5e-324), (1, 0.0)]
+    rows += [(2, float(2.0 ** v)) for v in rng.integers(-1000, 1000, 800)] + [(3, float(v)) for v in rng.integers(0, 9, 500)]
+    rows += [(4, 1.0)] * 600 + [(4, 2.0)] * 600 + [(5, float("inf")), (5, float("-inf")), (5, 3.0), (6, None), (None, 1.0)]
+    got = {r.k: r.m for r in ob.grouped_median(spark.createDataFrame(rows, "k INT, v DOUBLE"), ["k"], "v", "m", limit).collect()}
+    assert {k: got[k] for k in range(6)} == {k: statistics.median(v for kk, v in rows if kk == k) for k in range(6)}
+    assert set(got) == set(range(6))
+
+
+def test_hot_key_is_split_over_tasks(spark):
+    """One key with many values and an outlier: what is ranked in one group stays within the limit, and the work is salted."""
+    df = spark.range(300_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000 + 1).alias("k"),
+        F.when(F.col("id") == 0, 1e300).otherwise(F.rand(3)).alias("v"),
+    )
+    values = ob.cut_lineage(df)
+    got = {r.k: r.m for r in ob.grouped_median(values, ["k"], "v", "m").collect()}
+    want = {r.k: r.m for r in values.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert got == want
+    open_keys = values.filter("k = 0").groupBy("k").agg(
+        F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count("v").alias("_n"), F.lit(0).cast("long").alias("_before")
+    )
+    left = ob._middle_bins(values.withColumnRenamed("v", "_v").withColumn("_c", F.lit(1).cast("long")), open_keys, ["k"]).first()
+    assert left._d < 100_000 / ob.MEDIAN_BINS * 2
+    sizes = [r["count"] for r in values.filter("k = 0").withColumnRenamed("v", "_v").groupBy(ob._salt()).count().collect()]
+    assert len(sizes) == ob.MEDIAN_SALTS and max(sizes) < 1.2 * min(sizes)
+
+
 def test_training_matrix_stops_on_wrong_width(spark):
     labels = spark.createDataFrame([(0, [1.0, 2.0])], "pool_idx BIGINT, values ARRAY<DOUBLE>")
     cands = spark.createDataFrame([(0, [1])], "pool_idx BIGINT, fp ARRAY<INT>")

@@ -52,3 +52,38 @@ def test_progress_counts_new_labels_only(spark, tmp_path):
     sink(rows(spark, ("b", 0, 1.0), ("c", 5, 1.0)), 1)
     got = sorted((r.batch_id, r.n_new_obs, r.n_new_labels, r.open_jobs) for r in spark.read.parquet(out).collect())
     assert got == [(0, 1, 1, 1), (1, 2, 1, 1)]
+
+
+def test_late_and_timeless_rows_are_kept_apart_with_a_reason(spark, tmp_path):
+    src, parted, log = (str(tmp_path / n) for n in ("src", "parted", "log"))
+
+    def at(item, time):
+        return rows(spark, (item, 0, 1.0)).withColumn("ts", F.lit(time).cast("timestamp"))
+
+    batches = [
+        [("a", "2024-01-01 10:00"), ("b", "2024-01-01 12:00")],
+        [("b", "2024-01-01 12:00"), ("c", "2024-01-01 10:00"), ("d", None), ("e", "2024-01-01 11:00"), ("f", "2024-01-01 11:01")],
+        [("f", "2024-01-01 11:01"), ("a", "2024-01-01 10:00")],
+    ]
+    for n, batch in enumerate(batches):
+        for m, (item, time) in enumerate(batch):
+            at(item, time).write.parquet(f"{src}/{n}-{m}")
+        schema = spark.read.parquet(f"{src}/0-0").schema
+        for _ in range(2):  # a run without news changes nothing
+            ing.run_available(ing.read_stream(spark, f"{src}/*", schema), str(tmp_path / "s1"), ing.split_late(parted, "ts", "1 HOUR"))
+            stream = ing.stream_dedupe(ing.read_stream(spark, f"{parted}/on_time/*", schema), "ts", "1 hour")
+            ing.run_available(stream, str(tmp_path / "s2"), ing.append_to_log(log))
+    kept = sorted(r.item_id for r in spark.read.schema(schema).parquet(log).collect())
+    late = sorted((r.item_id, r.reason) for r in spark.read.parquet(f"{parted}/late").collect())
+    assert kept == ["a", "b", "f"]
+    assert late == [("a", "behind the watermark"), ("c", "behind the watermark"), ("d", "no event time"), ("e", "behind the watermark")]
+
+
+def test_interrupted_split_is_done_again_as_a_whole(spark, tmp_path):
+    root = str(tmp_path / "parted")
+    sink = ing.split_late(root, "ts", "1 HOUR")
+    batch = rows(spark, ("a", 0, 1.0))
+    batch.write.parquet(f"{root}/on_time/version=0")  # an attempt that ended before its last table
+    sink(batch, 0)
+    sink(batch, 0)
+    assert spark.read.parquet(f"{root}/on_time").count() == 1 and versions(spark, f"{root}/seen") == [0]
