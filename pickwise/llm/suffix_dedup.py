@@ -31,11 +31,14 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Match:
     """``least`` words make a match; ``gram`` words begin a suffix; ``near`` neighbours on either side are compared before the
-    exact step, which changes costs, never results."""
+    exact step. Rows of a gram with more than ``heavy`` of them are not brought together, and at most ``ends`` rows from the ends of
+    partitions are compared in one task (more than 2 * ``near`` + 2). These three change costs, never results."""
 
     least: int = 50
     gram: int = 20
     near: int = 8
+    heavy: int = 50_000
+    ends: int = 200_000
 
     @property
     def reach(self) -> int:
@@ -77,32 +80,18 @@ def _sample(m: Match):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, key): those of tokens that occur under two keys. Holds back one key's rows at most."""
-    rest, open_ = None, False  # rows of the last token while it has one key; whether that token is already known to be shared
-    for batch in batches:
-        cols = [batch[c].to_numpy() for c in _SAMPLE_NAMES]
-        if not len(cols[0]):
-            continue
-        if rest is not None and (open_ or len(rest[0])):
-            joined = [np.concatenate(x) for x in zip(rest, cols)]
-        else:
-            joined = cols
-        token, key = joined[0], joined[2]
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        run = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
-        stop = np.r_[start[1:], len(token)]
-        two = key[start] != key[stop - 1]
-        if open_ and token[0] == rest_token:
-            two[0] = True
-        last = token[-1]
-        keep = two[run]
-        done = run < len(start) - 1
-        emit = keep & (done | two[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in joined], names=_SAMPLE_NAMES)
-        open_, rest_token = bool(two[-1]), last
-        hold = ~done & ~two[-1]
-        rest = [c[hold] for c in joined]
+def _shared(sample: DataFrame, m: Match) -> DataFrame:
+    """The rows of ``sample`` whose token occurs under two keys.
+
+    Tokens are judged by partial aggregates. The rows of a token of more than ``m.heavy`` rows stay where they are, whatever its share:
+    such tokens are fewer than rows by ``m.heavy``, and Spark broadcasts their list, or splits the skewed join, by its written size.
+    """
+    tokens = sample.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n"))
+    tokens = cut_lineage(tokens.filter("low <> high").select("token", "n"))
+    heavy = cut_lineage(tokens.filter(F.col("n") > m.heavy).select("token"))
+    light = tokens.filter(F.col("n") <= m.heavy).select("token")
+    rest = sample.join(heavy, "token", "left_anti").join(light, "token", "left_semi")
+    return sample.join(heavy, "token", "left_semi").unionByName(rest)
 
 
 _ENTRY = "token long, context long, one long, two long, left binary, right binary"
@@ -257,9 +246,8 @@ def repeats(docs: DataFrame, m: Match = Match()) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.filter(F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id", "text"))
-    # one shuffle by gram; a frequent gram streams through its task without being collected
-    sample = keyed.select("key", "text").mapInArrow(_sample(m), _SAMPLE)
-    members = cut_lineage(sample.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, _SAMPLE).distinct())
+    sample = cut_lineage(keyed.select("key", "text").mapInArrow(_sample(m), _SAMPLE))
+    members = cut_lineage(_shared(sample, m).distinct())
     entries = members.groupBy("token", "context").agg(F.min("key").alias("one"), F.max("key").alias("two"), F.min(F.struct("key", "place")).alias("at"))
     # as many entries as a text has minimisers at most
     wanted = cut_lineage(entries.groupBy("at.key").agg(F.collect_list(F.struct("at.place", "token", "context", "one", "two")).alias("wanted")))
@@ -269,9 +257,16 @@ def repeats(docs: DataFrame, m: Match = Match()) -> DataFrame:
     for order in (["token", "right", "left", "context"], ["token", "left", "right", "context"]):
         compare = _compare(m, order[1])
         part = cut_lineage(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, _FOUND))
-        # the rows at the ends of all partitions, a few for each
-        ends = cut_lineage(part.filter("before IS NULL").select(*_ENTRY_NAMES).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, _FOUND))
-        both = part.unionByName(ends).filter("before IS NOT NULL")
+        both = part.filter("before IS NOT NULL")
+        # the rows at the ends of all partitions, a few for each, are compared again until they fit one partition
+        while True:
+            ends = cut_lineage(part.filter("before IS NULL").select(*_ENTRY_NAMES).distinct())
+            parts = -(-ends.count() // m.ends)
+            placed = ends.repartitionByRange(parts, *order) if parts > 1 else ends.coalesce(1)
+            part = cut_lineage(placed.sortWithinPartitions(*order).mapInArrow(compare, _FOUND))
+            both = both.unionByName(part.filter("before IS NOT NULL"))
+            if parts <= 1:
+                break
         met, left = both.filter(F.col("before") > _CROWDED).select("token", "context", "before", "after"), both.filter(F.col("before") == _CROWDED).select(*_ENTRY_NAMES)
         found = met if found is None else found.unionByName(met)
         crowded = left if crowded is None else crowded.unionByName(left)
