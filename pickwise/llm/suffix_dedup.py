@@ -80,18 +80,27 @@ def _sample(m: Match):
     return run
 
 
-def _shared(sample: DataFrame, m: Match) -> DataFrame:
-    """The rows of ``sample`` whose token occurs under two keys.
+def _shared(sample: DataFrame, m: Match) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sample`` whose token occurs under two keys, and the tokens of more than ``m.heavy`` rows among these.
 
-    Tokens are judged by partial aggregates. The rows of a token of more than ``m.heavy`` rows stay where they are, whatever its share:
-    such tokens are fewer than rows by ``m.heavy``, and Spark broadcasts their list, or splits the skewed join, by its written size.
+    Tokens are judged by partial aggregates. The rows of a heavy token stay where they are, whatever its share: such tokens are fewer
+    than rows by ``m.heavy``, and Spark broadcasts their list, or splits the skewed join, by its written size.
     """
     tokens = sample.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n"))
     tokens = cut_lineage(tokens.filter("low <> high").select("token", "n"))
     heavy = cut_lineage(tokens.filter(F.col("n") > m.heavy).select("token"))
     light = tokens.filter(F.col("n") <= m.heavy).select("token")
     rest = sample.join(heavy, "token", "left_anti").join(light, "token", "left_semi")
-    return sample.join(heavy, "token", "left_semi").unionByName(rest)
+    return sample.join(heavy, "token", "left_semi").unionByName(rest), heavy
+
+
+def _with_widest(members: DataFrame, widest: DataFrame, heavy: DataFrame, m: Match) -> DataFrame:
+    """``members`` with the widest match of their context; a context of more than ``m.heavy`` copies is not brought together either."""
+    context = ["token", "context"]
+    copies = members.join(heavy, "token", "left_semi").groupBy(*context).agg(F.count(F.lit(1)).alias("n"))
+    many = cut_lineage(copies.filter(F.col("n") > m.heavy).select(*context))
+    wide = cut_lineage(widest.join(many, context, "left_semi"))
+    return members.join(many, context, "left_anti").join(widest, context).unionByName(members.join(wide, context))
 
 
 _ENTRY = "token long, context long, one long, two long, left binary, right binary"
@@ -247,7 +256,8 @@ def repeats(docs: DataFrame, m: Match = Match()) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.filter(F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id", "text"))
     sample = cut_lineage(keyed.select("key", "text").mapInArrow(_sample(m), _SAMPLE))
-    members = cut_lineage(_shared(sample, m).distinct())
+    shared, heavy = _shared(sample, m)
+    members = cut_lineage(shared.distinct())
     entries = members.groupBy("token", "context").agg(F.min("key").alias("one"), F.max("key").alias("two"), F.min(F.struct("key", "place")).alias("at"))
     # as many entries as a text has minimisers at most
     wanted = cut_lineage(entries.groupBy("at.key").agg(F.collect_list(F.struct("at.place", "token", "context", "one", "two")).alias("wanted")))
@@ -272,8 +282,8 @@ def repeats(docs: DataFrame, m: Match = Match()) -> DataFrame:
         crowded = left if crowded is None else crowded.unionByName(left)
     crowded = cut_lineage(crowded.dropDuplicates(["token", "context"]))
     found = found.unionByName(_exact(crowded, m))
-    widest = found.groupBy("token", "context").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    spans = members.join(widest, ["token", "context"]).select(
+    widest = cut_lineage(found.groupBy("token", "context").agg(F.max("before").alias("before"), F.max("after").alias("after")))
+    spans = _with_widest(members, widest, heavy, m).select(
         "key", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + m.gram + F.col("after")).alias("end")
     )
     # as many spans as a text has minimisers at most

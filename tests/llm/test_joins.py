@@ -125,6 +125,8 @@ def test_repeats_around_a_frequent_gram(spark):
     assert rows_of(repeats(documents(spark, docs))) == want
     # the frequent gram stays where it is, and the ends of partitions take several passes
     assert rows_of(repeats(documents(spark, docs), Match(heavy=30, ends=40))) == want
+    copies = docs[:1] + [(1000 + i, docs[0][1]) for i in range(60)] + docs[1:40]
+    assert rows_of(repeats(documents(spark, copies), Match(heavy=30))) == plain_repeats(copies)
 
 
 def test_repeats_of_an_empty_table(spark):
