@@ -19,6 +19,10 @@ from pickwise.operators import lifecycle as lc
 from pickwise.operators.observations import qc_rejected
 
 RUN_VALUES = 512  # distinct values a stored run aims at; a run of more than twice as many is split
+BLOCK_BITS = 8  # candidates whose ids agree but for the last bits share one state row
+PIECE_VALUES = 200_000  # counted values of a block that wait in memory before they go to the state
+_MOMENTS, _COUNTED = ("ids", "n", "mean", "m2", "wide"), ("of", "vals", "counts")
+_TYPES = (np.int64, np.int64, np.float64, np.float64, np.int8, np.int64, np.float64, np.int64)
 LABEL_SCHEMA = "pool_idx BIGINT, n BIGINT, agg0 DOUBLE, mean0 DOUBLE, std0 DOUBLE"
 STATE_SCHEMA = "pool_idx BIGINT, phase STRING, job_id STRING, fail_retries INT, qc_retries INT"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,8 +45,8 @@ def merge_counts(values: np.ndarray, counts: np.ndarray, new_values: np.ndarray,
     return both, total
 
 
-class RunningOrder(StatefulProcessor):
-    """Per key: how often each value came, as sorted runs of bounded length, and an index of the runs with their totals.
+class RunningOrder:
+    """How often each value of one candidate came, as sorted runs of bounded length (``runs``), and an ``index`` of the runs with their totals.
 
     A micro-batch reads the index, the runs its values fall into and the one or two runs that hold the middle ranks.
     """
@@ -50,11 +54,6 @@ class RunningOrder(StatefulProcessor):
     def __init__(self, run_values: int = RUN_VALUES):
         self.run_values = run_values
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.index = handle.getValueState("index", "firsts ARRAY<DOUBLE>, totals ARRAY<BIGINT>, ids ARRAY<BIGINT>, next BIGINT")
-        self.runs = handle.getMapState("runs", "id BIGINT", "vals ARRAY<DOUBLE>, counts ARRAY<BIGINT>")
-        self.moments = handle.getValueState("moments", "n BIGINT, mean DOUBLE, m2 DOUBLE")
-
     def _run(self, run_id: int) -> tuple[np.ndarray, np.ndarray]:
         values, counts = self.runs.getValue((run_id,))
         return np.array(values, dtype=float), np.array(counts, dtype=np.int64)
@@ -85,6 +84,11 @@ class RunningOrder(StatefulProcessor):
         self.index.update((firsts, totals, ids, following))
         self._order = (totals, ids)
 
+    def recall(self) -> None:
+        """The stored order, for ranks without new values."""
+        _, totals, ids, _ = self.index.get()
+        self._order = (list(totals), list(ids))
+
     def _ranked(self, rank: int) -> float:
         """The ``rank``-th smallest value, from 1."""
         totals, ids = self._order
@@ -93,41 +97,158 @@ class RunningOrder(StatefulProcessor):
         values, counts = self._run(ids[place])
         return float(values[np.searchsorted(np.cumsum(counts), rank - (upto[place] - totals[place]))])
 
-    def _spread(self, values: np.ndarray, counts: np.ndarray) -> tuple[int, float, float]:
-        """Count, mean and sum of squared distances, the stored ones merged with the new ones."""
-        n = int(counts.sum())
-        mean = float((values * counts).sum() / n)
-        m2 = float((counts * (values - mean) ** 2).sum())
-        if self.moments.exists():
-            n0, mean0, m20 = self.moments.get()
-            off = mean - mean0
-            m2 += m20 + off * off * n0 * n / (n0 + n)
-            mean = mean0 + off * n / (n0 + n)
-            n += n0
-        self.moments.update((n, mean, m2))
-        return n, mean, m2
-
-    def _counted(self, frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-        values, counts = np.empty(0), np.empty(0, dtype=np.int64)
+
+class _Of:
+    """The part of a map state that belongs to one candidate: its single value, or its entries by a further key."""
+
+    def __init__(self, state, pool_idx: int):
+        self.state, self.key = state, (pool_idx,)
+
+    def exists(self) -> bool:
+        return self.state.containsKey(self.key)
+
+    def get(self) -> tuple:
+        return self.state.getValue(self.key)
+
+    def update(self, row: tuple) -> None:
+        self.state.updateValue(self.key, row)
+
+    def getValue(self, key: tuple) -> tuple:
+        return self.state.getValue((*self.key, *key))
+
+    def updateValue(self, key: tuple, row: tuple) -> None:
+        self.state.updateValue((*self.key, *key), row)
+
+
+def _starts(ids: np.ndarray) -> np.ndarray:
+    """Where each group of equal, sorted ids begins."""
+    return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, dtype=np.int64)
+
+
+def _collapsed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, value, count) lists as one, sorted by id and value, each pair once."""
+    ids, values, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((values, ids))
+    ids, values, counts = ids[order], values[order], counts[order]
+    if not len(ids):
+        return ids, values, counts
+    fresh = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (values[1:] != values[:-1])])
+    return ids[fresh], values[fresh], np.add.reduceat(counts, fresh)
+
+
+class RunningOrders(StatefulProcessor):
+    """The candidates of one block of ids: counted values of those with few different ones together in one state row, the others as runs.
+
+    A block costs a micro-batch two or three calls of the state store, however many of its candidates it touches; a candidate of more than
+    ``2 * run_values`` different values has its own index and runs (``RunningOrder``). A hot candidate's events are counted in pieces of
+    about ``PIECE_VALUES``, so a task holds one block's short lists and one piece.
+    """
+
+    def __init__(self, run_values: int = RUN_VALUES):
+        self.run_values = run_values
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.block = handle.getValueState("block", ", ".join(f"{c} BINARY" for c in (*_MOMENTS, *_COUNTED)))
+        self.index = handle.getMapState("index", "pool_idx BIGINT", "firsts ARRAY<DOUBLE>, totals ARRAY<BIGINT>, ids ARRAY<BIGINT>, next BIGINT")
+        self.runs = handle.getMapState("runs", "pool_idx BIGINT, id BIGINT", "vals ARRAY<DOUBLE>, counts ARRAY<BIGINT>")
+
+    def _load(self) -> None:
+        kept = [np.frombuffer(x, dtype=d) for x, d in zip(self.block.get(), _TYPES)] if self.block.exists() else [np.empty(0, dtype=d) for d in _TYPES]
+        self.moments, self.counted = pd.DataFrame(dict(zip(_MOMENTS[1:], kept[1:5])), index=kept[0]), tuple(kept[5:])
+
+    def _save(self) -> None:
+        m = self.moments
+        kept = [m.index.to_numpy(), *(m[c].to_numpy() for c in _MOMENTS[1:]), *self.counted]
+        self.block.update(tuple(np.ascontiguousarray(x, dtype=d).tobytes() for x, d in zip(kept, _TYPES)))
+
+    def _order(self, pool_idx: int) -> RunningOrder:
+        order = RunningOrder(self.run_values)
+        order.index, order.runs = _Of(self.index, pool_idx), _Of(self.runs, pool_idx)
+        return order
+
+    def _spread(self, ids: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+        """Counts, means and sums of squared distances, the stored ones merged with the new ones."""
+        first = _starts(ids)
+        n = np.add.reduceat(counts, first)
+        mean = np.add.reduceat(values * counts, first) / n
+        m2 = np.add.reduceat(counts * (values - np.repeat(mean, np.diff(np.r_[first, len(ids)]))) ** 2, first)
+        every = self.moments.index.union(ids[first])
+        old = self.moments.reindex(every, fill_value=0)
+        at = every.get_indexer(ids[first])
+        n0, mean0, m20 = (old[c].to_numpy()[at] for c in ("n", "mean", "m2"))
+        off = np.where(n0 > 0, mean - mean0, 0.0)
+        fresh = {"n": n0 + n, "mean": np.where(n0 > 0, mean0 + off * n / (n0 + n), mean), "m2": m2 + m20 + off * off * n0 * n / (n0 + n)}
+        for c, v in fresh.items():
+            column = old[c].to_numpy().copy()
+            column[at] = v
+            old[c] = column
+        self.moments = old
+
+    def _add(self, ids: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted pairs of candidate and value, each once, with their counts."""
+        self._spread(ids, values, counts)
+        is_wide = self.moments["wide"].to_numpy().astype(bool)
+        wide = self.moments.index.to_numpy()[is_wide]
+        runs = np.isin(ids, wide)
+        few = _collapsed([self.counted, (ids[~runs], values[~runs], counts[~runs])])
+        first = _starts(few[0])
+        long = few[0][first][np.diff(np.r_[first, len(few[0])]) > 2 * self.run_values]
+        grown = np.isin(few[0], long)
+        self.counted = tuple(x[~grown] for x in few)
+        for part, mine in (((ids, values, counts), runs), (few, grown)):
+            of, vals, times = (x[mine] for x in part)
+            first = _starts(of)
+            for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(of)]):
+                self._order(int(of[start]))._take(vals[start:stop], times[start:stop])
+        self.moments["wide"] = is_wide | self.moments.index.isin(long)
+
+    def _pieces(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, rows, bound = [], 0, PIECE_VALUES
         for frame in frames:
-            v, c = np.unique(frame["value"].to_numpy(dtype=float), return_counts=True)
-            values, counts = merge_counts(values, counts, v, c)
-        return values, counts
+            ids, values = frame["pool_idx"].to_numpy(dtype=np.int64), frame["value"].to_numpy(dtype=float)
+            held.append((ids, values, np.ones(len(ids), dtype=np.int64)))
+            rows += len(ids)
+            if rows >= bound:
+                held = [_collapsed(held)]
+                if len(held[0][0]) * 2 > PIECE_VALUES:
+                    yield held.pop()
+                rows = len(held[0][0]) if held else 0
+        if held:
+            yield _collapsed(held)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        values, counts = self._counted(rows)
-        if not len(values):
-            return
-        self._take(values, counts)
-        n, mean, m2 = self._spread(values, counts)
-        middle = (self._ranked((n + 1) // 2) / 2) + (self._ranked(n // 2 + 1) / 2)
-        yield pd.DataFrame({"pool_idx": [key[0]], "n": [n], "agg0": [middle], "mean0": [mean], "std0": [(m2 / n) ** 0.5]})
+        self._load()
+        touched = []
+        for piece in self._pieces(rows):
+            self._add(*piece)
+            touched.append(np.unique(piece[0]))
+        self._save()
+        ids = np.unique(np.concatenate(touched))
+        mine = self.moments.loc[ids]
+        n = mine["n"].to_numpy()
+        middle = self._middles(ids, n, mine["wide"].to_numpy().astype(bool))
+        yield pd.DataFrame({"pool_idx": ids, "n": n, "agg0": middle, "mean0": mine["mean"].to_numpy(), "std0": (mine["m2"].to_numpy() / n) ** 0.5})
+
+    def _middles(self, ids: np.ndarray, n: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        of, values, counts = self.counted
+        out = np.empty(len(ids))
+        few = ~wide
+        if few.any():
+            upto = np.cumsum(counts)
+            start = np.searchsorted(of, ids[few])
+            before = upto[start] - counts[start]
+            out[few] = sum(values[np.searchsorted(upto, before + rank)] / 2 for rank in ((n[few] + 1) // 2, n[few] // 2 + 1))
+        for at in np.flatnonzero(wide).tolist():
+            order = self._order(int(ids[at]))
+            order.recall()
+            out[at] = order._ranked((int(n[at]) + 1) // 2) / 2 + order._ranked(int(n[at]) // 2 + 1) / 2
+        return out
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        values, counts = self._counted(iter([initialState]))
-        if len(values):
-            self._take(values, counts)
-            self._spread(values, counts)
+        self._load()
+        for piece in self._pieces(iter([initialState])):
+            self._add(*piece)
+        self._save()
 
     def close(self) -> None:
         pass
@@ -143,7 +264,8 @@ def stream_medians(obs: DataFrame, objective: int = 0, run_values: int = RUN_VAL
     rows = obs.filter(contributes()).select(F.col("pool_idx").cast("long").alias("pool_idx"), (value + F.lit(0.0)).alias("value"))
     rows = rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     use_keyed_state(obs.sparkSession)
-    return rows.groupBy("pool_idx").transformWithStateInPandas(RunningOrder(run_values), LABEL_SCHEMA, "append", "none")
+    rows = rows.withColumn("block", F.shiftright("pool_idx", BLOCK_BITS))
+    return rows.groupBy("block").transformWithStateInPandas(RunningOrders(run_values), LABEL_SCHEMA, "append", "none")
 
 
 def with_verdict(labels: DataFrame, max_std: float | None = 1.0, min_replicates: int = 2) -> DataFrame:

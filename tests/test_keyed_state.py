@@ -2,6 +2,7 @@ import random
 from statistics import median, pstdev
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pickwise.operators.lifecycle import MARKS, fold_events
@@ -111,3 +112,52 @@ def test_events_of_equal_or_no_place(spark, tmp_path):
     df = spark.createDataFrame(rows, EVENTS)
     out = feed([df], str(tmp_path / "in"), lambda s: keyed.stream_marks(s, "ord"), str(tmp_path))
     assert sorted((r.pool_idx, r.phase, r.job_id) for r in out.collect()) == [(1, "SUBMITTED", "a"), (2, "RUNNING", "b")]
+
+
+def test_candidates_of_a_block_share_calls_and_wide_ones_have_runs(spark, tmp_path, monkeypatch):
+    """Ids of several blocks, some with many values, events counted in small pieces; the state store is called by block, not by candidate."""
+    monkeypatch.setattr(keyed, "PIECE_VALUES", 40)
+    calls = {"block": 0, "runs": 0}
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, row):
+            self.kept = row
+            calls["block"] += 1
+
+    class Map(dict):
+        containsKey, getValue = dict.__contains__, dict.__getitem__
+
+        def updateValue(self, key, row):
+            self[key] = row
+            calls["runs"] += 1
+
+    op = keyed.RunningOrders(4)
+    op.block, op.index, op.runs = Value(), Map(), Map()
+    rnd, seen = random.Random(3), {}
+    for n in range(6):
+        rows = [(i, float(rnd.randrange(3))) for i in rnd.sample(range(200), 150)] + [(7, rnd.gauss(0, 1)) for _ in range(30 * (n % 2))]
+        rnd.shuffle(rows)
+        for i, v in rows:
+            seen.setdefault(i, []).append(v)
+        frames = [pd.DataFrame(rows[a:a + 25], columns=["pool_idx", "value"]) for a in range(0, len(rows), 25)]
+        got = pd.concat(op.handleInputRows((0,), iter(frames), None)).set_index("pool_idx")
+        assert set(got.index) == {i for i, _ in rows}
+        for i in got.index:
+            assert got.loc[i, "agg0"] == median(seen[i]) and got.loc[i, "n"] == len(seen[i])
+            assert abs(got.loc[i, "std0"] - pstdev(seen[i])) < 1e-9 and abs(got.loc[i, "mean0"] - sum(seen[i]) / len(seen[i])) < 1e-9
+    assert calls["block"] == 6 and {k[0] for k in op.runs} == {7} and list(op.index) == [(7,)]
+
+
+def test_medians_of_far_apart_ids(spark, tmp_path):
+    rows = [(f"{i}", p, [float(i % 5)]) for i, p in enumerate([0, 255, 256, 2**40, 2**62, 2**62 + 1] * 5)]
+    out = feed([obs(spark, rows[:17]), obs(spark, rows[17:])], str(tmp_path / "in"), keyed.stream_medians, str(tmp_path))
+    want = {p: median(v[0] for _, q, v in rows if q == p) for _, p, _ in rows}
+    assert {r.pool_idx: r.agg0 for r in out.collect()} == want
