@@ -14,12 +14,16 @@ from pickwise.streaming import ingest as ing
 from pickwise.streaming import keyed
 
 
+FILE_ROWS = 250_000  # rows that one task writes to a file of a stream
+
+
 def _stream(spark, sf_dir: str, view, files: int = 4):
-    """A table view as a file stream of several micro-batches."""
+    """A table view as a file stream of two micro-batches: the number of files follows the rows, so no task takes in a fixed share of them."""
     rows = view(spark, sf_dir)
     path = scratch_path(spark, "incoming")
-    rows.repartition(files).write.parquet(path)
-    return ing.read_stream(spark, path, rows.schema, files_per_trigger=2)
+    rows.repartition(max(files, -(-rows.count() // FILE_ROWS))).write.parquet(path)
+    written = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return ing.read_stream(spark, path, rows.schema, files_per_trigger=max(files // 2, -(-written // 2)))
 
 
 def _run(spark, stream, sink, mode="append"):
@@ -82,7 +86,7 @@ SELECT pool_idx, n, round(m, 6) AS agg0, round(a, 6) AS mean0, round(sd, 6) AS s
 def stream_label_qc(spark, d):
     """Every event is delivered twice and unordered; de-duplication, labels and quality control run as one stream."""
     def view(s, sf):
-        log = dedupe(t.observations(s, sf), t.OBS_ORDER)
+        log = cut_lineage(dedupe(t.observations(s, sf), t.OBS_ORDER))
         return log.unionByName(log)
 
     out = scratch_path(spark, "labels")

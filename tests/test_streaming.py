@@ -87,3 +87,16 @@ def test_interrupted_split_is_done_again_as_a_whole(spark, tmp_path):
     sink(batch, 0)
     sink(batch, 0)
     assert spark.read.parquet(f"{root}/on_time").count() == 1 and versions(spark, f"{root}/seen") == [0]
+
+
+def test_files_of_a_stream_follow_the_rows(spark, monkeypatch):
+    """More rows are more files, none of them a fixed share, and still two micro-batches."""
+    from pickwise.plans import stream_queries as sq
+
+    monkeypatch.setattr(sq, "FILE_ROWS", 10)
+    for n, files in ((40, 4), (95, 10)):
+        batches = []
+        stream = sq._stream(spark, "", lambda s, d: s.range(n))  # noqa: B023
+        ing.run_available(stream, sq.scratch_path(spark, "state"), lambda df, _: batches.append([r["count"] for r in df.groupBy(F.input_file_name()).count().collect()]))  # noqa: B023
+        sizes = sum(batches, [])
+        assert len(batches) == 2 and sum(sizes) == n and len(sizes) == files and max(sizes) <= 2 * n / files
