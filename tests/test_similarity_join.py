@@ -84,3 +84,19 @@ def test_plan_has_no_python(spark):
     df = frame(spark, made(8, 30, 64, [4, 9]))
     plan = best_similarity(df, df.filter(F.col("pool_idx") < 10), n_bits=64)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("scan_rows", [8, 1000])
+def test_dense_fingerprints_are_scanned_once(spark, monkeypatch, scan_rows):
+    """Half of all bits are set: lists would hold every pair many times, so all pairs are looked at, block by block."""
+    from pickwise.operators import similarity_join as sj
+
+    scans, scan = [], sj._scan
+    monkeypatch.setattr(sj, "SCAN_ROWS", scan_rows)
+    monkeypatch.setattr(sj, "_scan", lambda *a: scans.append(1) or scan(*a))
+    rng = random.Random(12)
+    rows = [(i, sorted(rng.sample(range(128), rng.choice([1, 60, 64, 70])))) for i in range(90)] + [(90, []), (91, None)]
+    df = frame(spark, rows)
+    assert got(best_similarity(df, df, n_bits=128, apart=True)) == plain(rows, rows, True)
+    assert got(best_similarity(df, df.filter("pool_idx < 3"), n_bits=128)) == plain(rows, rows[:3], False)
+    assert scans
