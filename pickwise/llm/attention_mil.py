@@ -138,8 +138,12 @@ def _slopes(w, x, y, p, saved):
 
 def train(texts: list[str | None], labels: list[int], p: Fit = Fit()) -> Model:
     """Adam on the log loss; features are centred and scaled first. Without labels every score is 0.5."""
+    return learn(*describe(texts), labels, p)
+
+
+def learn(x: np.ndarray, sizes: np.ndarray, labels: list[int], p: Fit = Fit()) -> Model:
+    """``train`` on texts that are described already."""
     rng = np.random.default_rng(p.seed)
-    x, sizes = describe(texts)
     center = x.mean(0) if len(x) else np.zeros(WIDTH)
     scale = x.std(0) + 1e-3 if len(x) else np.ones(WIDTH)
     x = np.clip((x - center) / scale, -8, 8)
@@ -178,10 +182,23 @@ def score(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(labelled: DataFrame, p: Fit = Fit()) -> Model:
-    """A model from ``labelled`` (text, label 0 or 1); rows with a NULL label are left out, NULL text counts as empty."""
+    """A model from ``labelled`` (text, label 0 or 1); rows with a NULL label are left out, NULL text counts as empty.
+
+    The sample's texts are described in tasks; only their passages' figures come to the driver, ``WIDTH`` numbers each.
+    """
     known = labelled.filter(F.col("label").isin(0, 1)).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    rows = bounded_sample(known, ["text", "label"], F.length("text"), p.rows, p.chars).toArrow()
-    return train(rows["text"].to_pylist(), rows["label"].to_pylist(), p)
+    rows = bounded_sample(known, ["text", "label"], F.length("text"), p.rows, p.chars).mapInArrow(_described, "label int, passages long, x binary").toArrow()
+    x = np.concatenate([np.zeros((0, WIDTH)), *(np.frombuffer(v.as_buffer()).reshape(-1, WIDTH) for v in rows["x"])])
+    return learn(x, rows["passages"].to_numpy().astype(np.int64), rows["label"].to_pylist(), p)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            x, sizes = describe(part["text"].to_pylist())
+            each = [v.tobytes() for v in np.split(x, np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([part["label"], pa.array(sizes, pa.int64()), pa.array(each, pa.binary())], names=["label", "passages", "x"])
 
 
 _OUT = "doc_id long, score double, passages long, top_attention double"

@@ -398,3 +398,16 @@ def test_genetic_steps_keep_groupings_valid():
         for p in first + last:
             assert (np.bincount(p, weights=sizes) <= 1024).all() and (np.bincount(p) > 0).all() and p.min() == 0
         assert bound <= last[0].max() + 1 <= first[0].max() + 1
+
+
+def test_quality_fit_brings_no_text_to_the_driver(spark, monkeypatch):
+    """The sample is described in tasks: the model is the one of the texts themselves, which the driver never describes."""
+    rows = [(f"Word {i} goes here. " * (i % 7), i % 2) for i in range(40)]
+    rows[3] = (None, 1)
+    df = spark.createDataFrame(rows, "text string, label int").coalesce(1)
+    p = attention_mil.Fit(epochs=1)
+    told = attention_mil.bounded_sample(df.select(F.coalesce("text", F.lit("")).alias("text"), "label"), ["text", "label"], F.length("text"), p.rows, p.chars).collect()
+    want = attention_mil.train([r.text for r in told], [r.label for r in told], p)
+    monkeypatch.setattr(attention_mil, "train", None)
+    model = attention_mil.fit(df, p)
+    assert np.allclose(model.center, want.center) and np.allclose(model.scale, want.scale)
