@@ -15,6 +15,8 @@ MEDIAN_BINS = 256  # a power of two
 MEDIAN_SALTS = 16
 MEDIAN_VALUES = 4_096  # different values of a key that are ranked in one group
 ROUNDING = 1e-12
+PIECE_BYTES = 16 << 20  # of events, by the optimizer's estimate, that one task sorts to find first ones
+MAX_PIECES = 4_000  # an estimate can be far too high
 
 
 def event_key() -> Column:
@@ -24,14 +26,19 @@ def event_key() -> Column:
 
 
 def dedupe(obs: DataFrame, order: Sequence[str]) -> DataFrame:
-    """First event per key. The rank filter is applied per input partition before the shuffle."""
+    """First event per key. The rank filter is applied per input partition before the shuffle.
+
+    A larger table is dealt into pieces first, by key and input partition, so that no task sorts more than about ``PIECE_BYTES`` of it,
+    before and after; a key of very many events is still cut down where it lies.
+    """
     w = Window.partitionBy("_key").orderBy(*order)
-    return (
-        obs.withColumn("_key", event_key())
-        .withColumn("_n", F.row_number().over(w))
-        .filter(F.col("_n") == 1)
-        .drop("_key", "_n")
-    )
+    rows = obs.withColumn("_key", event_key())
+    pieces = min(-(-obs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() // PIECE_BYTES), MAX_PIECES)
+    if pieces > int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        own = Window.partitionBy("_key", "_part").orderBy(*order)
+        rows = rows.withColumn("_part", F.spark_partition_id()).repartition(pieces, "_key", "_part")
+        rows = rows.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") == 1).drop("_part", "_n").repartition(pieces, "_key")
+    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_key", "_n")
 
 
 def contributing(obs: DataFrame) -> DataFrame:

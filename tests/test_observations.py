@@ -119,3 +119,16 @@ def test_spread_at_the_limit_is_accepted(spark):
     stats = spark.createDataFrame([(0, 2, 14.000000000000002), (1, 2, 14.0), (2, 2, 14.001)], "pool_idx BIGINT, n BIGINT, std0 DOUBLE")
     good, bad = ob.split_labels(stats, 14.0)
     assert sorted(r.pool_idx for r in good.collect()) == [0, 1] and [r.pool_idx for r in bad.collect()] == [2]
+
+
+def test_large_tables_are_deduplicated_in_pieces(spark, monkeypatch):
+    """More pieces than shuffle partitions: the same first events, and a task sorts a piece of the rows alone."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 5 == 0, "hot").otherwise((F.col("id") % 1500).cast("string")).alias("item_id"), (F.col("id") * 37 % 4001).alias("ts"),
+        F.lit(1).alias("pool_idx"), F.lit("COMPLETED").alias("state"), F.lit("experimental").alias("kind"),
+    )
+    want = sorted(map(str, ob.dedupe(df, ["ts"]).collect()))
+    monkeypatch.setattr(ob, "PIECE_BYTES", 2000)
+    out = ob.dedupe(df, ["ts"])
+    assert sorted(map(str, out.collect())) == want and len(want) == len({r.item_id for r in out.collect()})
+    assert out.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
