@@ -34,7 +34,7 @@ def dedupe(obs: DataFrame, order: Sequence[str]) -> DataFrame:
     w = Window.partitionBy("_key").orderBy(*order)
     rows = obs.withColumn("_key", event_key())
     pieces = min(-(-obs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() // PIECE_BYTES), MAX_PIECES)
-    if pieces > int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    if pieces > obs.sparkSession.sparkContext.defaultParallelism:
         own = Window.partitionBy("_key", "_part").orderBy(*order)
         rows = rows.withColumn("_part", F.spark_partition_id()).repartition(pieces, "_key", "_part")
         rows = rows.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") == 1).drop("_part", "_n").repartition(pieces, "_key")
