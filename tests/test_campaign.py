@@ -3,6 +3,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from pickwise.operators.bootstrap_forest import BootstrapForest, _score, best_split, grow
@@ -220,3 +221,41 @@ def test_loop_leaves_what_is_under_way(spark, library, tmp_path):
     rules = replace(RULES, acquisition="random")
     rows = cl.run_loop(cands, evaluate, rules, 3).collect()
     assert len({r.pool_idx for r in rows}) == len(rows) == 50
+
+
+def test_on_bit_lists_are_scored_by_the_forest_as_their_vectors_are(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(b) for b in np.flatnonzero(rng.random(40) < 0.4)], float(rng.normal())) for i in range(80)]
+    labels = spark.createDataFrame(rows, "pool_idx BIGINT, fp ARRAY<INT>, activity DOUBLE")
+    odd = spark.createDataFrame([(100, []), (101, [39, 0, 0]), (102, [40, -1, 3]), (103, [None, 7]), (104, [5, 2])], "pool_idx BIGINT, fp ARRAY<INT>")
+    everything = labels.select("pool_idx", "fp").unionByName(odd)
+    forest = ForestSurrogate(9, 1, 12, 2).fit(bit_features(labels, n_bits=40), ["activity"])
+    figures = lambda df: {r.pool_idx: (r.mean0, r.std0) for r in df.collect()}
+    assert figures(forest.predict_bits(everything, "fp", 40)) == figures(forest.predict(bit_features(everything, n_bits=40)))
+    with pytest.raises(Exception, match="no features"):
+        forest.predict_bits(spark.createDataFrame([(1, None)], "pool_idx BIGINT, fp ARRAY<INT>"), "fp", 40).collect()
+
+
+def test_a_round_builds_no_vectors_from_the_librarys_lists(spark):
+    from pickwise.operators import surrogate as su
+
+    labels = spark.createDataFrame([(i, [i % 7, 7 + i % 3], float(i)) for i in range(30)], "pool_idx BIGINT, features ARRAY<INT>, activity DOUBLE")
+    cands = spark.range(200).select(F.col("id").alias("pool_idx"), F.array((F.col("id") % 7).cast("int"), (F.col("id") % 11).cast("int")).alias("features"))
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ca, "bit_features", lambda df, *a: seen.append(df.count()) or su.bit_features(df, *a))
+        assert ca.select_round(cands, labels, replace(RULES, n_bits=16), taken=labels).count() == 10
+    assert seen == [30]
+
+
+def test_forest_fit_keeps_the_labels_nodes(spark, library, monkeypatch):
+    from pickwise.operators import surrogate as su
+
+    cands, truth = library
+    made = []
+    monkeypatch.setattr(su, "RandomForestRegressor", lambda **kw: made.append(kw) or RandomForestRegressor(**kw))
+    labels = cands.join(truth, "pool_idx")
+    forest = ForestSurrogate(4, 0, 6).fit(labels, ["activity"])
+    assert made[0]["cacheNodeIds"]
+    other = RandomForestRegressor(**{**made[0], "cacheNodeIds": False}).fit(labels)
+    assert other.toDebugString.split("\n")[1:] == forest.models[0].toDebugString.split("\n")[1:]

@@ -45,6 +45,15 @@ def test_random_sample_does_not_depend_on_partitions(spark):
     assert pick(p.coalesce(1), 1) == pick(p.repartition(7), 1) != pick(p, 2)
 
 
+def test_a_long_draw_that_takes_columns_along_sends_no_list_to_one_task(spark):
+    p = spark.range(3000).select((F.col("id") % 2900).alias("pool_idx"), F.array("id").alias("features"))
+    wide = ac.random_batch(p, 1500, ac.Params(seed=5, keep=("features",)))
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan.split("Union")[0] and "Limit 1500" not in plan
+    pick = lambda df: [(r["rank"], r.pool_idx, r.score) for r in df.orderBy("rank").collect()]
+    assert pick(wide) == pick(ac.random_batch(p, 1500, ac.Params(seed=5)))
+
+
 def test_feasibility_policies(spark):
     lib = spark.createDataFrame([(i, float(i)) for i in range(100)], "pool_idx BIGINT, sa_ease DOUBLE")
     assert fe.feasible(lib, lib, 0.1).n_feasible == 90
