@@ -248,6 +248,27 @@ def test_a_round_builds_no_vectors_from_the_librarys_lists(spark):
     assert seen == [30]
 
 
+def test_a_rounds_fit_is_not_dealt_over_the_labels_files(spark, library, monkeypatch):
+    """Every partition sends the figures of all open nodes at every level."""
+    cands, truth = library
+    seen, fit = [], ForestSurrogate.fit
+    monkeypatch.setattr(ForestSurrogate, "fit", lambda self, df, names: seen.append((df.count(), df.rdd.getNumPartitions())) or fit(self, df, names))
+    labels = cands.join(truth, "pool_idx").filter("pool_idx < 60").repartition(12)
+    assert ca.select_round(cands, labels, replace(RULES, surrogate="forest", n_trees=3), taken=labels).count() == RULES.batch_size
+    assert seen == [(60, 1)]
+    assert ca.gathered(spark.range(90), 40).rdd.getNumPartitions() == 3 and ca.gathered(spark.range(0), 40).count() == 0
+
+
+def test_bit_forest_equals_trees_row_by_row():
+    from pickwise.operators.bootstrap_forest import _score_bits, bit_forest
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 40)) < 0.4).astype(np.uint8)
+    trees = [tuple(np.array(a) for a in grow(x[:n], rng.random(n), np.ones(n), rng)) for n in (1, 2, 90, 300)]
+    assert np.array_equal(_score_bits(bit_forest(trees), x), _score(trees, x))
+    assert _score_bits(bit_forest(trees), x[:0]).shape == (0, 4)
+
+
 def test_forest_fit_keeps_the_labels_nodes(spark, library, monkeypatch):
     from pickwise.operators import surrogate as su
 

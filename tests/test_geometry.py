@@ -103,3 +103,29 @@ def test_grouped_hypervolume(spark, monkeypatch):
     assert {r.g: r.hypervolume for r in pa.grouped_hypervolume(df, ["g"], names, [0.0] * 3).collect()} == want
     monkeypatch.setattr(pa, "BLOCK_ROWS", 5)  # fronts too long for one task
     assert {r.g: r.hypervolume for r in pa.grouped_hypervolume(df, ["g"], names, [0.0] * 3).collect()} == want
+
+
+def test_pair_fingerprints_equal_plain_pairs(spark):
+    """Bits in the order of their first pair; odd white space, texts without a pair, repeats, and texts over several pieces."""
+    import hashlib
+    import pyarrow
+    import re
+
+    from pickwise.functions import fingerprints as fpf
+
+    rng = np.random.default_rng(8)
+    texts = [None, "", " \t\n", "one", " one ", "a b", "\x0ba\r\nb\x0c a ", "a a a a a a", "\u00e4\u00a0b \u2003 c", "x" * 300 + " y"]
+    texts += [" ".join(f"w{i}" for i in rng.integers(0, 60, n)) + "\n" * (n % 3) for n in rng.integers(1, 400, 60)]
+
+    def plain(text, n_bits):
+        h = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % n_bits for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w]
+        return list(dict.fromkeys((h[i] * 1031 + h[i + k] * 733 + k * 379) % n_bits for k in (1, 2, 3) for i in range(len(h) - k))) if len(h) > 1 else None
+
+    for n_bits, part in ((2048, 4), (1_000_000, 1)):
+        rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(part)
+        got = {r.id: r for r in fpf.fingerprint(rows, n_bits=n_bits).collect()}
+        for i, text in enumerate(texts):
+            want = plain(text, n_bits)
+            assert (got[i].fp, got[i].popcount, got[i].valid) == (want, want and len(want), want is not None), i
+    sizes = [len(p) for p in fpf.pieces(pyarrow.array(["a" * 5, None, "b" * 50, "c", "d"]), 10, 2)]
+    assert sizes == [2, 1, 2]
