@@ -256,7 +256,26 @@ def test_a_rounds_fit_is_not_dealt_over_the_labels_files(spark, library, monkeyp
     labels = cands.join(truth, "pool_idx").filter("pool_idx < 60").repartition(12)
     assert ca.select_round(cands, labels, replace(RULES, surrogate="forest", n_trees=3), taken=labels).count() == RULES.batch_size
     assert seen == [(60, 1)]
-    assert ca.gathered(spark.range(90), 40).rdd.getNumPartitions() == 3 and ca.gathered(spark.range(0), 40).count() == 0
+    assert ca.gathered(spark.range(90).withColumnRenamed("id", "pool_idx"), 40).rdd.getNumPartitions() == 3
+
+
+def test_packed_bits_give_the_rows_of_on_bit_lists(spark):
+    """A campaign scores packed bits without lists or vectors; a NULL fingerprint is no fingerprint."""
+    from pickwise.functions.fingerprints import bit_lists, packed_bytes
+
+    rng = np.random.default_rng(9)
+    rows = [(i, sorted(rng.choice(50, rng.integers(0, 9), replace=False).tolist()), float(i % 13)) for i in range(150)]
+    df = spark.createDataFrame(rows, "pool_idx BIGINT, fp ARRAY<INT>, activity DOUBLE").withColumn("packed", packed_bytes(F.col("fp"), 50))
+    assert df.filter(~F.col("fp").eqNullSafe(bit_lists(F.col("packed")))).count() == 0
+    none = spark.createDataFrame([(None,)], "fp ARRAY<INT>").select(packed_bytes(F.col("fp")).alias("p"))
+    assert none.select("p", bit_lists(F.col("p")).alias("l")).collect() == [(None, None)]
+    labels = df.filter("pool_idx < 40")
+    for kind in ("forest", "trees"):
+        got = []
+        for column in ("fp", "packed"):
+            rules = replace(RULES, surrogate=kind, n_trees=4, n_bits=50, features=column)
+            got.append([(r.rank, r.pool_idx, r.score) for r in ca.select_round(df.drop("activity"), labels, rules, taken=labels).orderBy("rank").collect()])
+        assert got[0] == got[1] and len(got[0]) == RULES.batch_size
 
 
 def test_bit_forest_equals_trees_row_by_row():

@@ -111,6 +111,8 @@ def test_pair_fingerprints_equal_plain_pairs(spark):
     import pyarrow
     import re
 
+    from pyspark.sql import functions as F
+
     from pickwise.functions import fingerprints as fpf
 
     rng = np.random.default_rng(8)
@@ -127,5 +129,7 @@ def test_pair_fingerprints_equal_plain_pairs(spark):
         for i, text in enumerate(texts):
             want = plain(text, n_bits)
             assert (got[i].fp, got[i].popcount, got[i].valid) == (want, want and len(want), want is not None), i
+    both = fpf.fingerprint(rows.filter("id > 1"), n_bits=2048, packed=True)
+    assert both.filter(~F.col("packed").eqNullSafe(fpf.packed_bytes(F.col("fp")))).count() == 0 and both.filter("packed is not null").count() == 65
     sizes = [len(p) for p in fpf.pieces(pyarrow.array(["a" * 5, None, "b" * 50, "c", "d"]), 10, 2)]
     assert sizes == [2, 1, 2]
